@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, sharding, simhash
-from .common import table
+from . import bpe, chat, decontam, lm, quality, sharding, simhash
+from .common import held_out, table
 
 
 def op1_sampled_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,10 +41,36 @@ FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
 """
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "text"), net)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ["doc_id"])
+
+
+def op7_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out(F.col("doc_id"), 7).alias("held_out"), "text")
+    model = lm.fit(docs.where("NOT held_out"))
+    scored = lm.score(docs, model, ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sampled_sharding, op2_benchmark_decontamination, op9_simhash_near_dedup)}
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    own = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.segments(rows.unionByName(added)))
+
+
+QUERIES = {f.__name__: f for f in (op1_sampled_sharding, op2_benchmark_decontamination, op4_quality_classifier, op6_byte_bpe, op7_suffix_tree_scores, op9_simhash_near_dedup, op10_chat_formatting)}
 ORACLE_SQL = {"op2_benchmark_decontamination": OP2_SQL}
