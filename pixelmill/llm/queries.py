@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, lm, quality, sharding, simhash
+from . import bpe, chat, covertree, decontam, lm, pii, quality, sharding, simhash
 from .common import held_out, table
 
 
@@ -48,6 +48,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ["doc_id"])
@@ -60,6 +64,10 @@ def op7_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op8_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -72,5 +80,5 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.segments(rows.unionByName(added)))
 
 
-QUERIES = {f.__name__: f for f in (op1_sampled_sharding, op2_benchmark_decontamination, op4_quality_classifier, op6_byte_bpe, op7_suffix_tree_scores, op9_simhash_near_dedup, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_sampled_sharding, op2_benchmark_decontamination, op4_quality_classifier, op5_cover_tree_near_dedup, op6_byte_bpe, op7_suffix_tree_scores, op8_bootstrapped_pii, op9_simhash_near_dedup, op10_chat_formatting)}
 ORACLE_SQL = {"op2_benchmark_decontamination": OP2_SQL}

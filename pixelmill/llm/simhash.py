@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, fresh, spool
-from .components import connected_components
+from .components import connected_components, forest
 
 SHINGLE, SEED, BITS = 3, 42, 2
 #: Width of a distance band; a partner within 2 bits is in the same band or the one next to it.
@@ -96,26 +96,6 @@ def cells_of(fps: np.ndarray, vantages: int, bits: int = BITS) -> tuple[np.ndarr
     return cell[keep], row[keep], (cell == home[row])[keep]
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links a-b: each node with the smallest node of its component, where they differ."""
-    nodes, flat = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = flat[:len(a)], flat[len(a):]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 def tree_links(points: np.ndarray, queries: np.ndarray, bits: int = BITS, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links between points and queries (points are among the queries), by a vantage-point tree that is
     built and traversed at once: a query goes to the inner or outer side only if the triangle bound lets it."""
