@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, covertree, decontam, lm, pii, quality, sharding, simhash
+from . import bpe, chat, covertree, decontam, licenses, lm, pii, quality, sharding, simhash
 from .common import held_out, table
 
 
@@ -41,6 +41,11 @@ FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "license", "coverage", "first_word", "end_word", F.array_join("licenses", ",").alias("licenses"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -80,5 +85,5 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.segments(rows.unionByName(added)))
 
 
-QUERIES = {f.__name__: f for f in (op1_sampled_sharding, op2_benchmark_decontamination, op4_quality_classifier, op5_cover_tree_near_dedup, op6_byte_bpe, op7_suffix_tree_scores, op8_bootstrapped_pii, op9_simhash_near_dedup, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_sampled_sharding, op2_benchmark_decontamination, op3_license_scan, op4_quality_classifier, op5_cover_tree_near_dedup, op6_byte_bpe, op7_suffix_tree_scores, op8_bootstrapped_pii, op9_simhash_near_dedup, op10_chat_formatting)}
 ORACLE_SQL = {"op2_benchmark_decontamination": OP2_SQL}
