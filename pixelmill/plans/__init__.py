@@ -1,8 +1,6 @@
 """The registered queries and the SQL that checks them."""
 
-from collections.abc import Callable
+from . import features, grids, molecules, tables, zones  # noqa: F401  (they register their queries)
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1,0 +1 @@
+"""Frozen models on streams."""
