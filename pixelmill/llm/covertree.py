@@ -58,10 +58,19 @@ def _net(x: np.ndarray, rows: np.ndarray, radius: float) -> np.ndarray:
 
 
 class Node:
-    __slots__ = ("centre", "rows", "reach", "level", "_children")
+    __slots__ = ("centre", "rows", "reach", "level", "below")
 
     def __init__(self, centre: int, rows: np.ndarray, reach: float, level: int):
-        self.centre, self.rows, self.reach, self.level, self._children = centre, rows, reach, level, None
+        self.centre, self.rows, self.reach, self.level = centre, rows, reach, level
+        self.below: Nodes | None = None
+
+
+class Nodes:
+    """Nodes of one net, with their centres and covering radii as arrays."""
+
+    def __init__(self, nodes: list[Node]):
+        self.nodes = nodes
+        self.centres, self.reaches = np.array([n.centre for n in nodes], np.int64), np.array([n.reach for n in nodes])
 
 
 class CoverTree:
@@ -75,17 +84,17 @@ class CoverTree:
             return 0.0
         return float(np.sqrt(max(0.0, 2 - 2 * float((self.x[rows] @ self.x[centre]).min())))) + SLACK
 
-    def children(self, node: Node) -> list[Node]:
-        """The nodes of the next net below; nothing below the finest."""
-        if node._children is None:
-            if node.level == len(RADII) or len(node.rows) < 2:
-                node._children = []
-            else:
+    def children(self, node: Node) -> Nodes:
+        """The nodes of the next net below; none below the finest."""
+        if node.below is None:
+            nodes = []
+            if node.level < len(RADII) and len(node.rows) > 1:
                 centre = _net(self.x, node.rows, RADII[node.level])
                 order = np.argsort(centre, kind="stable")
                 starts = np.flatnonzero(np.concatenate(([True], np.diff(centre[order]) != 0)))
-                node._children = [Node(int(centre[g[0]]), node.rows[g], self._reach(int(centre[g[0]]), node.rows[g]), node.level + 1) for g in np.split(order, starts[1:])]
-        return node._children
+                nodes = [Node(int(centre[g[0]]), node.rows[g], self._reach(int(centre[g[0]]), node.rows[g]), node.level + 1) for g in np.split(order, starts[1:])]
+            node.below = Nodes(nodes)
+        return node.below
 
 
 class Links:
@@ -133,23 +142,21 @@ def dual(a: CoverTree, b: CoverTree, cosine: float, out: Links) -> None:
         if len(p.rows) * len(q.rows) <= 1024:
             compare(p.rows, q.rows, self_pair)
             continue
-        # open the wider node, or both of a pair of equals
-        ps = a.children(p) if self_pair or p.reach >= q.reach else [p]
-        qs = ps if self_pair else b.children(q) if q.reach >= p.reach else [q]
-        if not ps or not qs:
+        # the node of the coarser net is opened, both if they are of the same
+        ps = a.children(p) if p.level <= q.level else Nodes([p])
+        qs = ps if self_pair else b.children(q) if q.level <= p.level else Nodes([q])
+        if not ps.nodes or not qs.nodes:
             compare(p.rows, q.rows, self_pair)
             continue
-        pc, qc = np.array([n.centre for n in ps]), np.array([n.centre for n in qs])
-        pr, qr = np.array([n.reach for n in ps]), np.array([n.reach for n in qs])
-        step = max(1, (1 << 21) // len(qs))
-        for at in range(0, len(ps), step):
-            apart = np.sqrt(np.maximum(0, 2 - 2 * (a.x[pc[at:at + step]] @ b.x[qc].T)))
-            both = pr[at:at + step, None] + qr[None, :]
+        step = max(1, (1 << 21) // len(qs.nodes))
+        for at in range(0, len(ps.nodes), step):
+            apart = np.sqrt(np.maximum(0, 2 - 2 * (a.x[ps.centres[at:at + step]] @ b.x[qs.centres].T)))
+            both = ps.reaches[at:at + step, None] + qs.reaches[None, :]
             near = apart <= both + reach + SLACK
             if self_pair:
-                near &= np.arange(at, at + len(apart))[:, None] <= np.arange(len(qs))[None, :]
+                near &= np.arange(at, at + len(apart))[:, None] <= np.arange(len(qs.nodes))[None, :]
             for i, j in zip(*(v.tolist() for v in np.nonzero(near))):
-                n, m = ps[at + i], qs[j]
+                n, m = ps.nodes[at + i], qs.nodes[j]
                 if not (same and n is m) and apart[i, j] + both[i, j] <= reach - SLACK:
                     out.whole(n.rows, m.rows)
                 else:
