@@ -71,6 +71,9 @@ class Nodes:
     def __init__(self, nodes: list[Node]):
         self.nodes = nodes
         self.centres, self.reaches = np.array([n.centre for n in nodes], np.int64), np.array([n.reach for n in nodes])
+        self.sizes = np.array([len(n.rows) for n in nodes], np.int64)
+        self.rows = np.concatenate([n.rows for n in nodes]) if nodes else np.zeros(0, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
 
 class CoverTree:
@@ -135,6 +138,19 @@ def dual(a: CoverTree, b: CoverTree, cosine: float, out: Links) -> None:
             if len(i):
                 out.pairs(p[at + i], q[j])
 
+    def spread(ps: Nodes, i: np.ndarray, qs: Nodes, j: np.ndarray) -> None:
+        """Every vector of node i[t] with every one of node j[t], for small nodes."""
+        for at in range(0, len(i), 20_000):
+            n, m = i[at:at + 20_000], j[at:at + 20_000]
+            work = ps.sizes[n] * qs.sizes[m]
+            pair = np.repeat(np.arange(len(n)), work)
+            place = np.arange(len(pair)) - np.repeat(np.cumsum(work) - work, work)
+            x, y = place // qs.sizes[m][pair], place % qs.sizes[m][pair]
+            left, right = ps.rows[ps.starts[n][pair] + x], qs.rows[qs.starts[m][pair] + y]
+            hit = np.einsum("nd,nd->n", a.x[left], b.x[right]) >= cosine
+            if hit.any():
+                out.pairs(left[hit], right[hit])
+
     stack = [(a.root, b.root)]
     while stack:
         p, q = stack.pop()
@@ -148,19 +164,36 @@ def dual(a: CoverTree, b: CoverTree, cosine: float, out: Links) -> None:
         if not ps.nodes or not qs.nodes:
             compare(p.rows, q.rows, self_pair)
             continue
-        step = max(1, (1 << 21) // len(qs.nodes))
-        for at in range(0, len(ps.nodes), step):
-            apart = np.sqrt(np.maximum(0, 2 - 2 * (a.x[ps.centres[at:at + step]] @ b.x[qs.centres].T)))
-            both = ps.reaches[at:at + step, None] + qs.reaches[None, :]
-            near = apart <= both + reach + SLACK
-            if self_pair:
-                near &= np.arange(at, at + len(apart))[:, None] <= np.arange(len(qs.nodes))[None, :]
-            for i, j in zip(*(v.tolist() for v in np.nonzero(near))):
-                n, m = ps.nodes[at + i], qs.nodes[j]
-                if not (same and n is m) and apart[i, j] + both[i, j] <= reach - SLACK:
-                    out.whole(n.rows, m.rows)
-                else:
-                    stack.append((n, m))
+        # nodes of one vector are leaves: among each other they are compared at once
+        p_one, q_one = ps.reaches == 0, qs.reaches == 0
+        p_wide, q_wide = np.flatnonzero(~p_one), np.flatnonzero(~q_one)
+        p_one, q_one = np.flatnonzero(p_one), np.flatnonzero(q_one)
+        if len(p_one) and len(q_one):
+            compare(ps.centres[p_one], qs.centres[q_one], self_pair)
+        everything = np.arange(len(qs.nodes))
+        for left, right in ((p_wide, everything), (p_one, q_wide)):
+            if self_pair and left is p_one:
+                continue  # met from the other side
+            step = max(1, (1 << 20) // max(1, len(right)))
+            for at in range(0, len(left) if len(right) else 0, step):
+                some = left[at:at + step]
+                apart = np.sqrt(np.maximum(0, 2 - 2 * (a.x[ps.centres[some]] @ b.x[qs.centres[right]].T)))
+                both = ps.reaches[some, None] + qs.reaches[None, right]
+                near = apart <= both + reach + SLACK
+                if self_pair:  # a pair of wide nodes once, a wide one with each single one
+                    near &= (some[:, None] <= right[None, :]) | (qs.reaches[right] == 0)[None, :]
+                i, j = np.nonzero(near)
+                whole = apart[i, j] + both[i, j] <= reach - SLACK
+                i, j = some[i], right[j]
+                if same:
+                    whole &= i != j if self_pair else True
+                work = ps.sizes[i] * qs.sizes[j]
+                for n, m in zip(i[whole].tolist(), j[whole].tolist()):
+                    out.whole(ps.nodes[n].rows, qs.nodes[m].rows)
+                small = ~whole & (work <= 64) & ((i != j) if self_pair else True)
+                spread(ps, i[small], qs, j[small])
+                for n, m in zip(i[~whole & ~small].tolist(), j[~whole & ~small].tolist()):
+                    stack.append((ps.nodes[n], qs.nodes[m]))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
