@@ -19,7 +19,8 @@ from .common import ascii_lower, fresh, literal_array, spool
 
 N = 13
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word before A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Most windows of the benchmark that are broadcast, and most that the bitmap is made from.
 MAX_BROADCAST, MAX_BITMAP = 2_000_000, 100_000
 
@@ -107,7 +108,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", n:
     spans = fresh(docs, "_spans")
     bad = bad.select(row, F.col("_spans").alias(spans))
     text = F.col(text_col)
-    # positions in words_of count words only, as here; the case of letters is kept
     words, gaps = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD)
     held = F.transform(words, lambda w, i: F.when(F.exists(F.col(spans), lambda s: (i >= s.pos) & (i < s.pos + s.k)), F.lit("")).otherwise(F.concat(w, F.get(gaps, i + 1))))
     cut = F.concat(F.get(gaps, F.lit(0)), F.array_join(held, ""))

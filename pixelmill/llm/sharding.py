@@ -1,7 +1,7 @@
 """Sampled splitters: size-weighted key samples give quantile boundaries; records are range-partitioned by them.
 
 The key of a record is (hash of its text, its id), so equal texts are neighbours.  A boundary is moved to the start
-of its group of equal texts, unless the group fills more than one range: such an overfull group is subdivided by id.
+of its group of equal texts, unless the group fills more than SPLIT ranges: such an overfull group is subdivided by id.
 Ranges that are still overfull after exact counting are sampled again and subdivided.  The exact sizes of the ranges
 (a few thousand numbers, bounded by parameters) then decide which run of ranges makes which shard.
 
@@ -22,6 +22,8 @@ from pyspark.sql.window import Window
 
 from .common import literal_array, spool
 
+#: A group of equal texts is subdivided if it fills more ranges than this (a thirtieth of a shard with the defaults).
+SPLIT = 4
 #: Sorts after every key that begins with the same hash.
 AFTER = "~"
 
@@ -79,13 +81,14 @@ def _boundaries(records: DataFrame, ranges: int, samples: int) -> list[str]:
     out = set()
     for group, keys in groups.items():
         out.add(group)
-        if len(keys) > 1:  # a group of equal texts that fills whole ranges
-            out.update(keys)
+        if len(keys) > 1:  # a group of equal texts that fills a range is one of its own
             out.add(group + AFTER)
+        if len(keys) > SPLIT:  # one that fills several is subdivided
+            out.update(keys)
     return sorted(out)
 
 
-def plan_shards(records: DataFrame, shards: int = 8, ranges_per_shard: int = 128, samples_per_range: int = 24, overfull: float = 4.0, rounds: int = 3) -> ShardPlan:
+def plan_shards(records: DataFrame, shards: int = 8, ranges_per_shard: int = 128, samples_per_range: int = 24, overfull: float = 8.0, rounds: int = 3) -> ShardPlan:
     """records: key string, size long.  At most ranges_per_shard * shards * samples_per_range sampled keys reach the driver in a round."""
     ranges = shards * ranges_per_shard
     boundaries = _boundaries(records, ranges, ranges * samples_per_range)
