@@ -31,6 +31,8 @@ BAND = 4
 CELL_ROWS, MAX_VANTAGES = 40_000, 10
 #: Rows of a tree's leaf.
 LEAF = 256
+#: Most rows to drop whose numbers are broadcast; beyond it they are joined by a shuffle.
+MAX_BROADCAST = 2_000_000
 #: Shingles whose bits are counted at once, to bound memory on very long texts.
 BLOCK = 1 << 15
 
@@ -187,9 +189,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     ids = numbered.select(F.col(row), F.col(text_col))
     found = near_duplicates(ids, row, text_col, bits).select(row, "component_id")
     order = numbered.select(F.col(row), F.col(id_col).alias("_id")).join(found, row)
-    firsts = order.groupBy("component_id").agg(F.min(F.struct("_id", row)).alias("least")).select(F.col(f"least.{row}").alias(row))
-    firsts = spool(firsts)
-    return numbered.join(firsts, row, "left_semi").select(docs.columns)
+    first = order.groupBy("component_id").agg(F.min(F.struct("_id", row)).alias("least")).select(F.col(f"least.{row}").alias(row))
+    gone = spool(order.select(row).join(first, row, "left_anti"))
+    small = gone.count() <= MAX_BROADCAST
+    return numbered.join(F.broadcast(gone) if small else gone, row, "left_anti").select(docs.columns)
 
 
 def as_hex(fp):
