@@ -169,8 +169,8 @@ def test_language_model(spark):
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (model.tokens + model.kinds + 1)) for x in w))
         if len(w) < 1000:
             assert got[i]["score"] == pytest.approx(plain_score(model.automaton, counts, t), rel=1e-4)
-    real = range(len(texts) - 60)
-    assert sum(got[i]["score"] for i in real) > sum(got[i]["base_score"] for i in real)
+    flat = lm.Automaton.build([r for r in rows if r[0] == 0]).scores([lm.words_of(t.encode()) for t in other[:len(texts) - 60]])
+    assert sum(got[i]["score"] for i in range(len(texts) - 60)) > 0.6 * flat.sum()  # contexts save much
     p = np.power(10.0, model.automaton.log10.reshape(-1, model.automaton.symbols).astype(float))
     assert (p[:, 1:].sum(axis=1) < 1).all()
 
@@ -179,7 +179,7 @@ def test_language_model_rare_words(spark, monkeypatch):
     monkeypatch.setattr(lm, "DICTIONARY", 2)
     train = ["a a a b c"] * 5 + ["b d"]
     model = lm.fit(frame(spark, train))
-    assert len(model.dictionary) <= 2
+    assert len(model.dictionary) <= 3
     r = lm.score(frame(spark, ["a d d zz"]), model, ["doc_id"]).first()
     c = Counter(t for x in train for t in tokens(x))
     assert r["n_known"] == 4 and r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (model.tokens + model.kinds + 1)) for x in tokens("a d d zz")))
