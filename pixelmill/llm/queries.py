@@ -85,5 +85,28 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.segments(rows.unionByName(added)))
 
 
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(node, seen) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+OP10_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m(control) AS (VALUES ('<<SYS>>'), ('<</SYS>>'), ('[INST]'), ('[/INST]'), ('<s>'), ('</s>'), ('<|'), ('|>'), ('\')),
+f AS (SELECT *, length(text) + (SELECT sum((length(text) - length(replace(text, control, ''))) // length(control)) FROM m)
++ CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 9 + length(role) END AS chars,
+CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END AS code FROM c)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(chars) AS BIGINT) AS formatted_chars, regexp_full_match(string_agg(code, '' ORDER BY turn, role, text), 's?(ua)+') AS ordered
+FROM f GROUP BY conv_id
+"""
+
 QUERIES = {f.__name__: f for f in (op1_sampled_sharding, op2_benchmark_decontamination, op3_license_scan, op4_quality_classifier, op5_cover_tree_near_dedup, op6_byte_bpe, op7_suffix_tree_scores, op8_bootstrapped_pii, op9_simhash_near_dedup, op10_chat_formatting)}
-ORACLE_SQL = {"op2_benchmark_decontamination": OP2_SQL}
+ORACLE_SQL = {"op2_benchmark_decontamination": OP2_SQL, "op5_cover_tree_near_dedup": OP5_SQL, "op10_chat_formatting": OP10_SQL}
