@@ -389,3 +389,45 @@ def zone_tree(spark, sf_dir):
 def heldout_quality(spark, sf_dir):
     e = emb_long(spark, sf_dir).withColumn("p", F.col("value") * 0.9 + 0.01)
     return I.heldout(e, ["feature_id"], "value", "p").select("feature_id", r("r"), r("rmse"))
+
+
+@query("""WITH e AS (SELECT vec_id AS section_id, unnest(range(0, CAST(len(embedding) AS BIGINT))) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE vec_id < 100) SELECT section_id, CAST(i // 8 + 1 AS BIGINT) AS x, CAST(i % 8 + 1 AS BIGINT) AS y, round(v, 6) AS value FROM e WHERE v >= 0""")
+def flatten_images(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").where("vec_id < 100")
+    row = lambda i: F.transform(F.slice("embedding", 8 * i + 1, 8), lambda v: F.when(v >= 0, v.cast("double")))
+    images = e.select(F.col("vec_id").alias("section_id"), F.array(*(row(i) for i in range(8))).alias("image"))
+    return X.flatten_images(images).select("section_id", n("x"), n("y"), r("value"))
+
+
+@query(f"""WITH {EMB}, s AS ({STATS}), v AS (SELECT feature_id, avg(v) - var_pop(v) / 2 AS score, avg(abs(m)) AS moran, count(*) FILTER (m < -0.01) AS missing FROM s GROUP BY 1) SELECT feature_id FROM v WHERE moran > 0.008 AND missing < 3 AND score > 0""")
+def selected_features(spark, sf_dir):
+    e = emb_long(spark, sf_dir)
+    means = e.groupBy("feature_id", "section_id").agg(F.avg("value").alias("m"))
+    moran = means.select("feature_id", "section_id", F.abs("m").alias("moran_i"))
+    return R.select_features(moran, A.variance_of_variances(e), A.section_dropout(e, "feature_id", "section_id", "value", -0.01, 3), threshold=0.008)
+
+
+@query("""WITH native AS (SELECT p_partkey AS pixel_id, p_brand AS name, p_retailprice AS value FROM part WHERE p_partkey % 2 = 0 AND p_brand < 'Brand#3'), restored AS (SELECT p_partkey AS pixel_id, p_type AS mz_key, p_retailprice / 2 AS value FROM part),
+notes AS (SELECT DISTINCT p_type AS mz_key, CASE WHEN p_type LIKE '%O%' THEN 'N ' || p_type ELSE '_db' END AS annotation, CAST(length(p_type) AS DOUBLE) AS score FROM part)
+SELECT pixel_id, name, round(value, 4) AS value FROM native UNION ALL SELECT pixel_id, annotation, round(value, 4) FROM restored JOIN notes ON restored.mz_key = notes.mz_key WHERE annotation <> '_db' AND score >= 6 AND annotation NOT IN (SELECT name FROM native)""")
+def final_matrix(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    native = p.where("p_partkey % 2 = 0 AND p_brand < 'Brand#3'").select(F.col("p_partkey").alias("pixel_id"), F.col("p_brand").alias("name"), F.col("p_retailprice").alias("value"))
+    restored = p.select(F.col("p_partkey").alias("pixel_id"), F.col("p_type").alias("mz_key"), (F.col("p_retailprice") / 2).alias("value"))
+    notes = p.select(F.col("p_type").alias("mz_key")).distinct().select("mz_key", F.when(F.col("mz_key").contains("O"), F.concat(F.lit("N "), "mz_key")).otherwise("_db").alias("annotation"), F.length("mz_key").cast("double").alias("score"))
+    return R.final_matrix(native, restored, notes, 6.0).select("pixel_id", "name", r("value", 4))
+
+
+@query()
+def spatial_modules(spark, sf_dir):
+    """Modules of sources by their enrichment in languages."""
+    t = A.enrichment(A.crosstab(table(spark, sf_dir, "documents"), "source", "lang"), "source", "lang")
+    return G.spatial_modules(t, "source", "lang")
+
+
+@query()
+def biclusters(spark, sf_dir):
+    """Two-way clusters of zones and features."""
+    m = L.centroid_matrix(emb_long(spark, sf_dir), "zone")
+    _, zones = L.two_way_clusters(m.to_numpy().T)
+    return spark.createDataFrame([(int(z), int(c)) for z, c in zip(m.index, zones)], "zone long, cluster long")

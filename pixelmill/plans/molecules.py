@@ -104,3 +104,19 @@ def reaction_network(spark, sf_dir):
     enzymes = spark.createDataFrame([(a, b, e) for (a, b), e in ENZYMES], "reagent_class string, product_class string, enzyme array<string>")
     net = G.reaction_network(N.molecule_properties(molecules(spark, sf_dir), "name"), enzymes)
     return net.select("reagent", "product", F.array_join("enzyme", ",").alias("enzymes"))
+
+
+@query(f"WITH {MOL}, {PROPS}, c(class, color) AS (VALUES ('PC', '#aa0000'), ('PE', '#00aa00'), ('SM', '#0000aa')) SELECT name, coalesce(color, 'gray') AS color FROM props LEFT JOIN c ON c.class = props.class")
+def molecule_colors(spark, sf_dir):
+    c = spark.createDataFrame([("PC", "#aa0000"), ("PE", "#00aa00"), ("SM", "#0000aa")], "class string, color string")
+    return N.molecule_properties(molecules(spark, sf_dir), "name", c).select("name", "color")
+
+
+@query(f"WITH {MOL}, {PROPS} SELECT class, CAST(count(*) AS BIGINT) AS n, min(name) AS first FROM props GROUP BY 1")
+def class_counts(spark, sf_dir):
+    return N.molecule_properties(molecules(spark, sf_dir), "name").groupBy("class").agg(F.count("*").alias("n"), F.min("name").alias("first"))
+
+
+@query(f"WITH {MOL} SELECT name, regexp_replace(name, '[^A-Za-z0-9._-]+', '_', 'g') AS file FROM mol")
+def safe_file_names(spark, sf_dir):
+    return molecules(spark, sf_dir).select("name", N.safe_file_name(F.col("name")).alias("file"))

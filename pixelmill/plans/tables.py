@@ -210,3 +210,9 @@ def first_appearance(spark, sf_dir):
     from pyspark.sql.window import Window
     f = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("first_ts"))
     return f.select("user_id", "event_type", F.dense_rank().over(Window.partitionBy("user_id").orderBy("first_ts", "event_type")).cast("long").alias("frame"))
+
+
+@query("SELECT o_orderkey, trim(o_orderpriority) AS path, TRY_CAST(split_part(o_orderpriority, '-', 1) AS INTEGER) IS NULL AS bad, CAST(TRY_CAST(split_part(o_orderpriority, '-', 1) AS INTEGER) AS BIGINT) AS x FROM orders")
+def normalised_keys(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit(" "), "o_orderpriority", F.lit(" ")).alias("path"), F.get(F.split("o_orderpriority", "-"), F.lit(0)).alias("x"))
+    return X.normalise_keys(o, ["path"], ["x"]).select("o_orderkey", "path", F.col("x").isNull().alias("bad"), n("x"))
