@@ -158,10 +158,8 @@ def test_language_model(spark):
     stream = [b"\n" * lm.DEPTH + " ".join(tokens(x)[:-1]).encode() + b"\n" for x in train]
     grams = Counter(s[i - lm.DEPTH:i + 1] for s in stream for i in range(lm.DEPTH, len(s)))
     frame_of = spark.createDataFrame([(int.from_bytes(g, "big"), n) for g, n in grams.items()], "gram long, n long")
-    rows = lm.contexts(frame_of)
-    counts = {b"": {}}
-    for length, context, following, n in rows:
-        counts.setdefault(context.to_bytes(length, "big"), {})[following] = n
+    found = lm.contexts(frame_of)
+    counts = {k: dict(zip(b.tolist(), n.tolist())) for k, (b, n) in found.items()}
     assert len(counts) > 20
     for i, t in enumerate(other):
         w = tokens(t)
@@ -169,10 +167,10 @@ def test_language_model(spark):
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (model.tokens + model.kinds + 1)) for x in w))
         if len(w) < 1000:
             assert got[i]["score"] == pytest.approx(plain_score(model.automaton, counts, t), rel=1e-4)
-    flat = lm.Automaton.build([r for r in rows if r[0] == 0]).scores([lm.words_of(t.encode()) for t in other[:len(texts) - 60]])
+    flat = lm.Automaton.build({b"": found[b""]}).scores([lm.words_of(t.encode()) for t in other[:len(texts) - 60]])
     assert sum(got[i]["score"] for i in range(len(texts) - 60)) > 0.6 * flat.sum()  # contexts save much
     p = np.power(10.0, model.automaton.log10.reshape(-1, model.automaton.symbols).astype(float))
-    assert (p[:, 1:].sum(axis=1) < 1).all()
+    assert (p[:, 1:].sum(axis=1) < 1 + 1e-5).all()
 
 
 def test_language_model_rare_words(spark, monkeypatch):
