@@ -27,6 +27,8 @@ CHUNK, STEP, WIDTH, STRIDE, FILTERS = 256, 240, 6, 2, 16
 #: Labelled rows that are learned from, at most (about; drawn by a hash of the id, half of each label).
 TRAIN_ROWS = 3000
 EPOCHS, BATCH, RATE, SEED = 14, 32, 0.01, 7
+#: Longest of the short spans that are learned from besides whole texts, in bytes.
+SPAN = 160
 #: Chunks that are scored at once, to bound memory.
 AT_ONCE = 512
 THRESHOLD = 0.7
@@ -97,11 +99,18 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = SEED) -> Net:
     parameters = [net.table, net.bias, net.weight, net.base]
     first = [np.zeros_like(p) for p in parameters]
     second = [np.zeros_like(p) for p in parameters]
+    # short texts are few but must be judged as well: a short random span of each text is learned from besides the whole
     cut = [chunks_of(t) for t in texts]
+    for i, t in enumerate(texts):
+        size = int(rng.integers(8, SPAN))
+        if len(t) > size:
+            at = int(rng.integers(0, len(t) - size))
+            cut.append(chunks_of(t[at:at + size]))
+            labels, weights = np.append(labels, labels[i]), np.append(weights, weights[i])
     places, step = np.arange(WIDTH), 0
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(cut))
         for at in range(0, len(order), BATCH):
             rows = order[at:at + BATCH]
             chunks = np.concatenate([cut[r] for r in rows])
