@@ -231,16 +231,16 @@ def centroid_matrix(long: DataFrame, zone: str, feature: str = "feature_id", val
 
 
 def centroid_distances(means: DataFrame, zone: str, feature: str = "feature_id", value: str = "mean") -> DataFrame:
-    """a < b, Euclidean and cosine distance of zone means; and cosine distance over the union of their supports."""
+    """a < b, L2 and cosine distance of zone means; and cosine distance over the union of their supports."""
     left = means.select(F.col(zone).alias("a"), feature, F.col(value).alias("x"))
     right = means.select(F.col(zone).alias("b"), feature, F.col(value).alias("y"))
     pairs = left.join(right, feature).where("a < b").groupBy("a", "b").agg(
-        F.sqrt(F.sum(F.pow(F.col("x") - F.col("y"), 2))).alias("euclidean"), F.sum(F.col("x") * F.col("y")).alias("_xy"),
+        F.sqrt(F.sum(F.pow(F.col("x") - F.col("y"), 2))).alias("l2"), F.sum(F.col("x") * F.col("y")).alias("_xy"),
         F.sum(F.col("x") * F.col("x")).alias("_xx"), F.sum(F.col("y") * F.col("y")).alias("_yy"),
     )
     cosine = 1 - ratio(F.col("_xy"), F.sqrt("_xx") * F.sqrt("_yy"))
     clean = F.when((F.col("_xx") == 0) & (F.col("_yy") == 0), 0.0).when((F.col("_xx") == 0) | (F.col("_yy") == 0), 1.0).otherwise(cosine)
-    return pairs.select("a", "b", "euclidean", cosine.alias("cosine"), clean.alias("union_cosine"))
+    return pairs.select("a", "b", "l2", cosine.alias("cosine"), clean.alias("union_cosine"))
 
 
 # ---- small matrices on the driver --------------------------------------------------------------------------------------

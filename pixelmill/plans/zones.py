@@ -64,11 +64,11 @@ def zone_centroids(spark, sf_dir):
 
 
 @query(f"""WITH {EMB}, m AS (SELECT zone, feature_id, avg(value) AS v FROM emb GROUP BY 1, 2)
-SELECT x.zone AS a, y.zone AS b, round(sqrt(sum((x.v - y.v) * (x.v - y.v))), 6) AS euclidean, round(1 - sum(x.v * y.v) / (sqrt(sum(x.v * x.v)) * sqrt(sum(y.v * y.v))), 6) AS cosine, round(1 - sum(x.v * y.v) / (sqrt(sum(x.v * x.v)) * sqrt(sum(y.v * y.v))), 6) AS union_cosine
+SELECT x.zone AS a, y.zone AS b, round(sqrt(sum((x.v - y.v) * (x.v - y.v))), 6) AS l2, round(1 - sum(x.v * y.v) / (sqrt(sum(x.v * x.v)) * sqrt(sum(y.v * y.v))), 6) AS cosine, round(1 - sum(x.v * y.v) / (sqrt(sum(x.v * x.v)) * sqrt(sum(y.v * y.v))), 6) AS union_cosine
 FROM m x JOIN m y ON x.feature_id = y.feature_id AND x.zone < y.zone GROUP BY 1, 2""")
 def centroid_distance(spark, sf_dir):
     d = L.centroid_distances(A.centroids(emb_long(spark, sf_dir), "zone"), "zone")
-    return d.select("a", "b", r("euclidean"), r("cosine"), r("union_cosine"))
+    return d.select("a", "b", r("l2"), r("cosine"), r("union_cosine"))
 
 
 @query("""WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2), s AS (SELECT DISTINCT source FROM c), l AS (SELECT DISTINCT lang FROM c),
