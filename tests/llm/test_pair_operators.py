@@ -54,6 +54,19 @@ def test_small_groups_stay_together(spark):
     assert all(len(s) == 1 for s in where.values())
 
 
+def test_overfull_ranges_are_subdivided(spark):
+    """With next to no samples the first ranges are uneven; counting finds that and cuts them again."""
+    rows = [(i, "text %d" % i * (1 + i % 9)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    records = df.select("doc_id", sharding.size_of(F.col("text")).alias("size"), sharding.key_of(F.col("doc_id"), F.col("text")).alias("key"))
+    rough = sharding.plan_shards(records, 4, 16, 1, overfull=1.5, rounds=0)
+    fine = sharding.plan_shards(records, 4, 16, 1, overfull=1.5, rounds=3)
+    assert len(fine.boundaries) > len(rough.boundaries) and max(fine.shard_bytes) - min(fine.shard_bytes) <= max(rough.shard_bytes) - min(rough.shard_bytes)
+    assert sum(fine.shard_bytes) == sum(r["size"] for r in records.collect())
+    got = fine.assign(records, F.col("key")).collect()
+    assert all(r["shard"] == sharding.shard_of_key(fine, r["key"]) for r in got)
+
+
 def test_shards_of_odd_tables(spark):
     assert shard(spark, []) == []
     got = shard(spark, [(None, None), (1, ""), (1, ""), (2, "é" * 5), (3, "x" * 200_000)])
