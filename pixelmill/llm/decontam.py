@@ -98,7 +98,8 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the contaminated rows ("documents"), or with the hit words cut out of those rows ("spans")."""
     row = fresh(docs, "_row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    # written once: a second scan may be split otherwise and would number other rows
+    numbered = spool(docs.withColumn(row, F.monotonically_increasing_id()))
     hits = find_hits(numbered, items, n, id_col, text_col, row).where(contaminated(F.col("n_hit"), F.col("n_words")))
     bad = spool(hits.select(F.col("row").alias(row), F.col("spans").alias("_spans")))
     small = bad.count() <= MAX_BROADCAST

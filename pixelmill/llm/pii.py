@@ -176,7 +176,8 @@ def _named(kind: str) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each span of personal data replaced by <KIND>."""
     row, extra, spans = fresh(docs, "_row"), fresh(docs, "_extra"), fresh(docs, "_spans")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    # written once: a second scan may be split otherwise and would number other rows
+    numbered = spool(docs.withColumn(row, F.monotonically_increasing_id()))
     _, new = find(numbered, id_col, text_col, row)
     found = new.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("start", "end", "kind")).alias(extra))
     small = new.count() <= MAX_BROADCAST

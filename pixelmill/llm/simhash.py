@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """docs with one row of each component: the first row of its smallest id."""
     row = fresh(docs, "_row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    # written once: a second scan may be split otherwise and would number other rows
+    numbered = spool(docs.withColumn(row, F.monotonically_increasing_id()))
     ids = numbered.select(F.col(row), F.col(text_col))
     found = near_duplicates(ids, row, text_col, bits).select(row, "component_id")
     order = numbered.select(F.col(row), F.col(id_col).alias("_id")).join(found, row)

@@ -267,6 +267,44 @@ def test_escaping_is_reversible():
         assert chat.unescape(e) == t and not any(c in e for c in w.t.controls())
 
 
+# ---- row numbers -----------------------------------------------------------------------------------------------------------------
+
+def test_row_numbers_outlive_another_split(spark, tmp_path, monkeypatch):
+    """Decisions by row number hold when later scans of the same files are split in another way."""
+    from pixelmill.llm import common, decontam, simhash
+
+    rng = np.random.default_rng(4)
+    words = lambda: " ".join("".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(30))
+    item = words()
+    texts = [words() for _ in range(24)]
+    texts += [texts[3], texts[11], item, *(f"call hotline: +1 (555) 010-99{i:02d} now" for i in range(6)), "call hotline: (555) 010-1234 now"]
+    frame(spark, texts).repartition(8, "doc_id").write.parquet(str(tmp_path / "docs"))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def spool(df):
+        out = common.spool(df)
+        spark.conf.set(key, "1g")  # from now on all files make few partitions
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return out
+
+    def run(step):
+        spark.conf.set(key, "1k")
+        return {r["doc_id"]: r["text"] for r in step(spark.read.parquet(str(tmp_path / "docs"))).collect()}
+
+    for module in (simhash, decontam, pii):
+        monkeypatch.setattr(module, "spool", spool)
+    try:
+        kept = run(simhash.keep_one)
+        assert set(range(len(texts))) - set(kept) >= {24, 25} and set(range(24)) <= set(kept)
+        assert set(run(lambda d: decontam.decontaminate(d, items))) == set(range(len(texts))) - {26}
+        clean = run(pii.redact)
+        assert clean[len(texts) - 1] == "call hotline: <PHONE> now" and all(clean[i] == texts[i] for i in range(27))
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 # ---- pipeline ------------------------------------------------------------------------------------------------------------------------
 
 def test_pipeline(spark, tmp_path):
