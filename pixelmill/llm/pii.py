@@ -1,10 +1,13 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame expressions only.
 
-Base patterns give the seeds.  The word before a seed is a lexical pattern for its kind.  Looser shapes give candidates
-that are not yet known.  In each round a pattern's confidence is the share of all its occurrences in the corpus that
-stand before a known entity of the kind (it needs MIN_SEEDS different ones); a candidate value's score is one minus the
-product of the doubts of all patterns it stands behind; values at or above ACCEPT become known for the next round,
-wherever they stand.  Pattern and value scores are grouped sums; only (kind, value, pattern) edges are joined.
+Base patterns give the seeds.  What stands before a seed is a lexical pattern for its kind: the word before it and a
+blank, or, where it begins within a word, the part of the word before it.  Looser shapes give candidates that are not
+yet known.  In each round a pattern's confidence is the share of all its occurrences in the corpus that stand before a
+known entity of the kind (it needs MIN_SEEDS different ones); a candidate value's score is one minus the product of the
+doubts of all patterns it stands behind; values at or above ACCEPT become known for the next round, wherever they stand,
+and make further patterns.  Rounds end when none adds a value.  Occurrences are those of whole words, or of longer words
+that begin with the part; words that do not fit into WINDOW characters are no patterns.  Pattern and value scores are
+grouped sums; only (kind, value, pattern) edges are joined.
 
 Matches are leftmost and non-overlapping.  The regular expressions are written so that Java's matcher needs neither
 recursion nor a second try within a run of characters; texts of any length are linear.
@@ -36,9 +39,11 @@ BASE = {
 #: Shapes of candidates, looser than the base patterns.
 LOOSE = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++",
-    "phone": r"(?<![0-9.:+-])\(?[0-9]{2,4}[)\x20.-][\x20().0-9-]{4,16}[0-9](?![0-9])",
+    "phone": r"(?<![0-9.+-])(?<![0-9]:)\(?[0-9]{2,4}[)\x20.-][\x20().0-9-]{4,16}[0-9](?![0-9])",
 }
-MIN_SEEDS, CONFIDENT, ACCEPT, ROUNDS = 3, 0.5, 0.5, 3
+MIN_SEEDS, CONFIDENT, ACCEPT = 3, 0.5, 0.5
+#: Characters before a match that are looked at for its context.
+WINDOW = 64
 #: Most patterns or rows with new spans that are broadcast; beyond it they are joined by a shuffle.
 MAX_BROADCAST = 500_000
 SPAN = "struct<start:int,end:int,value:string,context:string>"
@@ -68,20 +73,32 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """start, end (code points), value and context (the word before, lower case, digits as 0) of each match."""
+def _plain(words: Column) -> Column:
+    """Lower case, digits as 0."""
+    return F.regexp_replace(F.lower(words), "[0-9]", "0")
+
+
+def matches(text: Column, pattern: str, original: Column | None = None) -> Column:
+    """start, end (code points), value and context of each match: the word before and a blank, or the part of the match's own
+    word before it; lower case, digits as 0.  original: the text before digits were joined, if they were."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
     def add(a: Column, i: Column) -> Column:
         gap, value = F.get(gaps, i), F.get(found, i)
         start = a.end + F.length(gap)
-        before = F.regexp_extract(F.right(gap, F.lit(64)), r"(\S+)\s*$", 1)
-        span = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.regexp_replace(F.lower(before), "[0-9]", "0").alias("context"))
-        return F.struct((start + F.length(value)).alias("end"), F.concat(a.out, F.array(span)).alias("out"))
+        # one character more than the window shows whether its first word is whole; matches before are part of the words
+        before = F.right(F.concat(a.tail, gap), F.lit(WINDOW + 1))
+        if original is not None:
+            before = F.when(F.contains(before, F.lit(JOINT)), F.substring(original, F.greatest(start - WINDOW, F.lit(1)), F.least(start, F.lit(WINDOW + 1)))).otherwise(before)
+        whole = F.when(F.length(before) > WINDOW, before).otherwise(F.concat(F.lit(" "), before))
+        context = F.regexp_replace(F.regexp_extract(whole, r"\s(\S+\s*)$", 1), r"\s+$", " ")
+        span = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), _plain(context).alias("context"))
+        tail = F.right(F.concat(a.tail, gap, value), F.lit(WINDOW + 1))
+        return F.struct((start + F.length(value)).alias("end"), tail.alias("tail"), F.concat(a.out, F.array(span)).alias("out"))
 
     none = F.array().cast(f"array<{SPAN}>")
     at = F.sequence(F.lit(0), F.size(found) - 1)
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(at, F.struct(F.lit(0).alias("end"), none.alias("out")), add, lambda a: a.out))
+    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(at, F.struct(F.lit(0).alias("end"), F.lit("").alias("tail"), none.alias("out")), add, lambda a: a.out))
 
 
 def joined_digits(text: Column) -> Column:
@@ -98,7 +115,7 @@ def with_base(docs: DataFrame, text: Column) -> DataFrame:
     joined = fresh(docs, "_joined")
     out = docs.withColumn(joined, joined_digits(F.coalesce(text, F.lit(""))))
     for kind in KINDS:
-        out = out.withColumn(f"base_{kind}", matches(F.col(joined) if kind == "card" else F.coalesce(text, F.lit("")), BASE[kind]))
+        out = out.withColumn(f"base_{kind}", matches(F.col(joined), BASE[kind], F.coalesce(text, F.lit(""))) if kind == "card" else matches(F.coalesce(text, F.lit("")), BASE[kind]))
     return out.withColumns({f"base_{k}": _only_valid(k) for k in KINDS}).drop(joined)
 
 
@@ -110,7 +127,18 @@ def _free(column: str, taken: Column, enough: Callable[[Column], Column]) -> Col
     return F.filter(column, lambda s: ~_overlaps(s, taken) & enough(s))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def _occurrences(rows: DataFrame, contexts: DataFrame) -> DataFrame:
+    """context, occurs: how often each of contexts stands in the texts of rows, before whatever it is."""
+    small = contexts.count() <= MAX_BROADCAST
+    wanted = F.broadcast(contexts) if small else contexts
+    words = spool(rows.select(F.explode(F.split(_plain(F.col("text")), r"\s+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n")))
+    whole = words.select(F.concat("word", F.lit(" ")).alias("context"), "n")
+    lengths = F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(WINDOW)))
+    parts = words.where(F.length("word") > 1).select(F.explode(F.transform(lengths, lambda k: F.left("word", k))).alias("context"), "n")
+    return whole.unionByName(parts).join(wanted, "context").groupBy("context").agg(F.sum("n").alias("occurs"))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Per row of docs: row, id, base_<kind>; and the new spans: row, kind, start, end."""
     rows = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spans = with_base(rows, F.col("text"))
@@ -130,18 +158,19 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_co
     entities = spool(entities)
     # one edge for a value and a pattern, with its weight: what a hot value or pattern repeats is summed before the shuffle
     edges = spool(entities.groupBy("kind", "value", "context").agg(F.count("*").alias("n"), F.max("seed").alias("known")))
-    patterns = spool(edges.where("known AND context <> ''").groupBy("kind", "context").agg(F.count("*").alias("values")).where(F.col("values") >= MIN_SEEDS).select("context").distinct())
-    small = patterns.count() <= MAX_BROADCAST
-    words = rows.select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[0-9]", "0"), r"\s+")).alias("context"))
-    occurs = spool(words.join(F.broadcast(patterns) if small else patterns, "context").groupBy("context").agg(F.count("*").alias("occurs")))
+    # only a context of MIN_SEEDS values, known or not, can become a pattern in any round
+    contexts = spool(edges.where("context <> ''").groupBy("kind", "context").agg(F.count("*").alias("values")).where(F.col("values") >= MIN_SEEDS).select("context").distinct())
+    occurs = spool(_occurrences(rows, contexts))
     known = edges.select("kind", "value", "known")
-    for _ in range(rounds):
+    reached_before, values = -1, known.where("known").select("kind", "value").distinct().count()
+    while values > reached_before:
         mine = edges.drop("known").join(known.groupBy("kind", "value").agg(F.max("known").alias("known")), ["kind", "value"])
         scored = mine.where("known").groupBy("kind", "context").agg(F.count("*").alias("values"), F.sum("n").alias("hits")).where(F.col("values") >= MIN_SEEDS)
         scored = scored.join(occurs, "context").select("kind", "context", F.least(F.lit(0.999), F.col("hits") / F.col("occurs")).alias("confidence")).where(F.col("confidence") >= CONFIDENT)
         doubt = F.sum(F.log(1 - F.col("confidence")))
         reached = mine.join(scored, ["kind", "context"]).groupBy("kind", "value").agg((1 - F.exp(doubt)).alias("score"))
         known = spool(mine.select("kind", "value", "known").unionByName(reached.select("kind", "value", (F.col("score") >= ACCEPT).alias("known"))).groupBy("kind", "value").agg(F.max("known").alias("known")))
+        reached_before, values = values, known.where("known").count()
     new = entities.where("NOT seed").join(known.where("known").select("kind", "value"), ["kind", "value"], "left_semi")
     return spans, spool(new.select("row", "kind", "start", "end"))
 

@@ -226,6 +226,27 @@ def test_patterns_find_what_base_ones_miss(spark):
     assert pii.redact(docs).columns == docs.columns
 
 
+def test_later_patterns_find_more(spark):
+    """Values found behind a first pattern make a second one, those behind it a third and so on, till nothing is added."""
+    steps = ["first", "second", "third", "fourth", "fifth", "sixth"]
+    loose = [[f"(555) 0{i}0-12{j:02d}" for j in range(3)] for i in range(len(steps))]
+    texts = [f"first +1 (555) 910-99{i:02d} now" for i in range(6)]
+    for i, word in enumerate(steps):
+        texts += [f"{word} {x} now" for x in loose[i]]
+        if i:
+            texts += [f"{word} {x} now" for x in loose[i - 1]]
+    got = {r["doc_id"]: r["spans"] for r in pii.summary(frame(spark, texts)).collect()}
+    assert all(got[i].startswith("phone:") for i in range(len(texts))), got
+
+
+def test_patterns_may_touch(spark):
+    """A pattern without a blank before the entity counts where longer words begin with it."""
+    texts = [f"x tel:+49 30 1234{i:02d} y" for i in range(6)] + [f"see mail:a{i}@b.c, +49 30 9999{i:02d} too" for i in range(4)]
+    texts += ["x tel:(555) 010-1234 y", "see mail:e (at) b.c too", "x of(555) 010-4321 y", *[f"of+49 30 7777{i:02d}" for i in range(3)], *["often offered"] * 9]
+    got = {r["doc_id"]: r["spans"] for r in pii.summary(frame(spark, texts)).collect()}
+    assert got[10] == "phone:6:20" and got[11] == "email:9:19" and got[12] == ""
+
+
 def test_redaction_merges_overlaps(spark):
     texts = [None, "", "mail a@b.cd or 1.2.3.4, card 4111 1111 1111 1111.", "é +1 555 010 9999 é"]
     got = [r["text"] for r in pii.redact(frame(spark, texts)).orderBy("doc_id").collect()]
