@@ -36,10 +36,13 @@ BASE = {
     "card": rf"(?<![0-9{JOINT}])(?:[0-9]{JOINT}?){{12,18}}[0-9](?![0-9{JOINT}])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Shapes of candidates, looser than the base patterns.
+DOT = r" ?(?:\.|\(dot\)|\[dot\]|\[\.\]) ?"
+#: Shapes of candidates, looser than the base patterns: also IPv6, and up to three separators between the digits of a card.
 LOOSE = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9.+-])(?<![0-9]:)\(?[0-9]{2,4}[)\x20.-][\x20().0-9-]{4,16}[0-9](?![0-9])",
+    "card": r"[0-9](?<![0-9][\x20./_-]{0,3}[0-9])(?:[\x20./_-]{0,3}[0-9]){12,18}+(?![\x20./_-]{0,3}[0-9])",
+    "ip": rf"(?<![0-9.])[0-9]{{1,3}}+(?:{DOT}[0-9]{{1,3}}+){{3}}(?![0-9])|(?<![0-9A-Za-z:])[0-9A-Fa-f]{{0,4}}+:[0-9A-Fa-f:]++(?![0-9A-Za-z])",
 }
 MIN_SEEDS, CONFIDENT, ACCEPT = 3, 0.5, 0.5
 #: Characters before a match that are looked at for its context.
@@ -78,13 +81,26 @@ def _plain(words: Column) -> Column:
     return F.regexp_replace(F.lower(words), "[0-9]", "0")
 
 
+def plausible(kind: str, value: Column) -> Column:
+    """Whether a loose match can be an entity of its kind."""
+    if kind == "phone":
+        return F.length(digits_of(value)).between(7, 15)
+    if kind == "ip":
+        four = F.regexp_replace(value, DOT, ".").rlike(rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$")
+        groups = F.size(F.filter(F.split(value, ":"), lambda g: g != ""))
+        six = value.rlike("^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$")
+        short = value.rlike("^(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?$") & groups.between(1, 7)
+        return F.when(F.length(value) <= 45, four | six | short).otherwise(False)  # longer ones are no address, and not for a matcher that recurses
+    return valid(kind, value)
+
+
 def matches(text: Column, pattern: str, original: Column | None = None) -> Column:
     """start, end (code points), value and context of each match: the word before and a blank, or the part of the match's own
     word before it; lower case, digits as 0.  original: the text before digits were joined, if they were."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
-    def add(a: Column, i: Column) -> Column:
-        gap, value = F.get(gaps, i), F.get(found, i)
+    def add(a: Column, s: Column) -> Column:
+        gap, value = s.gap, s.value
         start = a.end + F.length(gap)
         # one character more than the window shows whether its first word is whole; matches before are part of the words
         before = F.right(F.concat(a.tail, gap), F.lit(WINDOW + 1))
@@ -97,8 +113,9 @@ def matches(text: Column, pattern: str, original: Column | None = None) -> Colum
         return F.struct((start + F.length(value)).alias("end"), tail.alias("tail"), F.concat(a.out, F.array(span)).alias("out"))
 
     none = F.array().cast(f"array<{SPAN}>")
-    at = F.sequence(F.lit(0), F.size(found) - 1)
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(at, F.struct(F.lit(0).alias("end"), F.lit("").alias("tail"), none.alias("out")), add, lambda a: a.out))
+    # as elements, not looked up by place within the lambda, where the text would be split again for each match
+    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
+    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, F.struct(F.lit(0).alias("end"), F.lit("").alias("tail"), none.alias("out")), add, lambda a: a.out))
 
 
 def joined_digits(text: Column) -> Column:
@@ -146,8 +163,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_co
         spans = spans.withColumn(f"loose_{kind}", matches(F.col("text"), pattern))
     taken = F.concat(*(F.col(f"base_{k}") for k in KINDS))
     for kind in LOOSE:
-        enough = (lambda s: F.length(digits_of(s.value)).between(7, 15)) if kind == "phone" else (lambda s: F.lit(True))
-        spans = spans.withColumn(f"loose_{kind}", _free(f"loose_{kind}", taken, enough))
+        spans = spans.withColumn(f"loose_{kind}", _free(f"loose_{kind}", taken, lambda s, kind=kind: plausible(kind, s.value)))
     spans = spool(spans.drop("text"))
     entities = None
     for kind in KINDS:

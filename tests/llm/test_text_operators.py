@@ -247,6 +247,18 @@ def test_patterns_may_touch(spark):
     assert got[10] == "phone:6:20" and got[11] == "email:9:19" and got[12] == ""
 
 
+def test_cards_and_addresses_are_discovered(spark):
+    """Loose cards and addresses behind a confident pattern are found; without one, or with wrong digits, they are not."""
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881", "4222 2222 2222 2222"]
+    texts = [f"paid with {c} today" for c in cards[:3]] + [f"server 10.0.0.{i} is up" for i in range(3)]
+    texts += ["paid with 4111  1111  1111  1111 today", "paid with 4012.8888.8888.1881 today", "paid with 4012.8888.8888.1882 today"]
+    texts += ["server 2001:db8::ff00:42:8329 is up", "server 10 . 0 . 0 . 77 is up", "server 10[.]0[.]0[.]78 is up", "server 1:2:3:4:5:6:7:8 is up", "server 12:30:45 is up", "at fe80::1 or 4222/2222/2222/2222"]
+    got = {r["doc_id"]: r["spans"] for r in pii.summary(frame(spark, texts + ["1  " * 30_000, "1:" * 30_000, "1 . " * 2_000, *(f"server 10.0.1.{i} is up" for i in range(4))])).collect()}
+    assert got[6] == "card:10:32" and got[7] == "card:10:29" and "card" not in got[8]
+    assert [got[i] for i in range(9, 13)] == ["ip:7:29", "ip:7:22", "ip:7:22", "ip:7:22"]
+    assert "ip" not in got[13] and got[14] == ""
+
+
 def test_redaction_merges_overlaps(spark):
     texts = [None, "", "mail a@b.cd or 1.2.3.4, card 4111 1111 1111 1111.", "é +1 555 010 9999 é"]
     got = [r["text"] for r in pii.redact(frame(spark, texts)).orderBy("doc_id").collect()]
