@@ -1,12 +1,13 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 The corpus gives exact counts of words and of byte (DEPTH + 1)-grams, pre-aggregated in each task before one shuffle.
-Contexts of each length come from sums over the grams; a context is retained if its next-symbol distribution diverges
-from that of its longest proper suffix by at least GAIN bits over its occurrences, and the MAX_CONTEXTS of most gain
-make the tree (the bound of the model's size).  Distributions are smoothed towards the suffix's one (Witten-Bell), down
-to an add-one distribution over bytes.  The tree becomes an automaton: a state is the longest suffix of the history
-that a context begins with, so scoring is a table look-up per symbol.  Texts are cut into segments that warm up on the
-DEPTH symbols before them, and all segments of a batch step together.
+Contexts of each length come from sums over the grams; a context of LEAST occurrences is retained if its next-symbol
+distribution diverges from that of its longest proper suffix by at least GAIN bits over its occurrences.  All of these
+make the tree, so it grows with the corpus.  Distributions are smoothed towards the suffix's one (Witten-Bell), down to
+an add-one distribution over bytes.  The tree is a sorted table for each length; what a symbol costs follows from the
+gram it ends, so each distinct gram of a slice of text is looked up once, from the shortest context to the longest.
+A tree of more than PART_ROWS rows is cut by the last two bytes of contexts, which all contexts of a symbol share; texts
+are then read once for each part and the sums added.
 
 Symbols are the bytes of the lower-cased words, one space between words and one end; that string and the sequence of
 tokens determine each other, so the score is the log10 probability of the token sequence.
@@ -20,6 +21,7 @@ N and V are 0 and each byte has probability 1/257; empty tables give empty resul
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,17 +33,20 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, spool
 
-DEPTH = 5
-#: Bits that a context must save over its training occurrences, and how many contexts are kept at most.
-GAIN, MAX_CONTEXTS = 30.0, 16_384
-#: A context must occur so often, or so large a share of all symbols if that is more (bounds what is looked at).
-LEAST, LEAST_SHARE = 20, 2e-7
+#: Most bytes of a context: grams of one more fit into a long.
+DEPTH = 6
+#: Bits that a context must save over its training occurrences, and how often it must occur.
+GAIN, LEAST = 30.0, 20
+#: Rows (next symbols of contexts) of the tree that are broadcast at once.
+PART_ROWS = 2_000_000
+#: How length, context, next and n are packed.
+PACKED = ("u1", "u8", "u1", "i8")
 DICTIONARY = 100_000
-SEGMENT = 512
 #: Bytes of text that are turned into arrays at once, and entries that a task holds before it hands them on.
 SLICE, HELD = 1 << 20, 600_000
+#: Grams that are looked up at once.
+BLOCK = 1 << 20
 END = b"\n"
-UNSEEN = 0
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -66,14 +71,20 @@ def streams(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
 
-def grams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of DEPTH + 1 bytes (the last one is the next symbol) and how often each occurs."""
+def coded(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of DEPTH + 1 bytes (the last one is the next symbol), and whether that is a symbol of a document."""
     code = np.zeros(len(data) - DEPTH, dtype=np.uint64)
     for j in range(DEPTH + 1):
         code = (code << np.uint64(8)) | data[j:len(data) - DEPTH + j]
     real = np.ones(len(code), dtype=bool)
     for j in range(DEPTH):  # where the next symbol is one of the ends before a later document
         real[starts[1:-1] + j - DEPTH] = False
+    return code, real
+
+
+def grams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of DEPTH + 1 bytes and how often each occurs."""
+    code, real = coded(data, starts)
     return np.unique(code[real], return_counts=True)
 
 
@@ -127,21 +138,19 @@ def corpus_counts(docs: DataFrame, text: Column) -> DataFrame:
     return counted.groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
-def contexts(gram_counts: DataFrame) -> dict[bytes, tuple[np.ndarray, np.ndarray]]:
-    """Next bytes and their counts of the retained contexts and of the empty one; gram_counts: gram long, n long."""
+def tree(gram_counts: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """length, context, next, n of each retained context; and the counts of bytes (the empty context)."""
     orders = {}
     for k in range(DEPTH, -1, -1):
         key = F.col("gram").bitwiseAND(F.lit((1 << (8 * k + 8)) - 1))
         orders[k] = spool(gram_counts.groupBy(key.alias("gram")).agg(F.sum("n").alias("n")))
         gram_counts = orders[k]
-    total = orders[0].agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST, int(total * LEAST_SHARE))
     kept = []
     for k in range(1, DEPTH + 1):
         def context(length: int, name: str) -> DataFrame:
             full = F.shiftright(F.col("gram"), 8).bitwiseAND(F.lit((1 << (8 * length)) - 1))
             sums = orders[length].groupBy(full.alias(f"{name}_context")).agg(F.sum("n").alias(f"{name}_total"))
-            return sums.where(F.col(f"{name}_total") >= least)
+            return sums.where(F.col(f"{name}_total") >= LEAST)
 
         own, parent = context(k, "own"), context(k - 1, "parent")
         rows = orders[k].withColumn("own_context", F.shiftright(F.col("gram"), 8)).join(own, "own_context")
@@ -149,106 +158,151 @@ def contexts(gram_counts: DataFrame) -> dict[bytes, tuple[np.ndarray, np.ndarray
         rows = rows.withColumn("parent_gram", F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1))).join(low, "parent_gram")
         rows = rows.withColumn("parent_context", F.shiftright(F.col("parent_gram"), 8)).join(parent, "parent_context")
         bits = F.col("n") * F.log2(F.col("n") / F.col("own_total") * F.col("parent_total") / F.col("parent_n"))
-        kept.append(rows.groupBy("own_context").agg(F.sum(bits).alias("gain")).where(F.col("gain") >= GAIN).select(F.lit(k).alias("length"), F.col("own_context").alias("context"), "gain"))
+        best = rows.groupBy("own_context").agg(F.sum(bits).alias("gain")).where(F.col("gain") >= GAIN).select(F.col("own_context").alias("context"))
+        following = orders[k].select(F.shiftright(F.col("gram"), 8).alias("context"), F.col("gram").bitwiseAND(F.lit(255)).alias("next"), "n")
+        kept.append(following.join(best, "context", "left_semi").select(F.lit(k).alias("length"), "context", "next", "n"))
     everything = kept[0]
     for more in kept[1:]:
         everything = everything.unionByName(more)
-    # no more than MAX_CONTEXTS small rows: the size of the model
-    best = everything.orderBy(F.desc("gain"), "length", "context").limit(MAX_CONTEXTS).collect()
-    root = sorted((r["gram"], r["n"]) for r in orders[0].collect())  # at most 256 rows
-    out = {b"": (np.array([g for g, _ in root], np.int64), np.array([n for _, n in root], np.int64))}
-    spark = gram_counts.sparkSession
-    for k in range(1, DEPTH + 1):
-        mine = [(r["context"],) for r in best if r["length"] == k]
-        if mine:
-            wanted = F.broadcast(spark.createDataFrame(mine, "context long"))
-            rows = orders[k].select(F.shiftright(F.col("gram"), 8).alias("context"), F.col("gram").bitwiseAND(F.lit(255)).alias("next"), "n").join(wanted, "context").toPandas().sort_values(["context", "next"])
-            context, following, n = (rows[c].to_numpy() for c in ("context", "next", "n"))
-            cuts = np.flatnonzero(np.diff(context)) + 1
-            for at, b, c in zip(np.concatenate(([0], cuts)), np.split(following, cuts), np.split(n, cuts)):
-                out[int(context[at]).to_bytes(k, "big")] = b, c
+    return spool(everything), {r["gram"]: r["n"] for r in orders[0].collect()}  # at most 256 bytes
+
+
+def _lists(rows: DataFrame, root: dict[int, int]) -> dict[bytes, tuple[np.ndarray, np.ndarray]]:
+    seen = sorted(root.items())
+    out = {b"": (np.array([g for g, _ in seen], np.int64), np.array([n for _, n in seen], np.int64))}
+    frame = rows.toPandas().sort_values(["length", "context", "next"])
+    for (k, c), part in frame.groupby(["length", "context"]):
+        out[int(c).to_bytes(int(k), "big")] = part["next"].to_numpy(), part["n"].to_numpy()
     return out
 
 
+def contexts(gram_counts: DataFrame) -> dict[bytes, tuple[np.ndarray, np.ndarray]]:
+    """Next bytes and their counts of the retained contexts and of the empty one, all on the driver; gram_counts: gram long, n long."""
+    return _lists(*tree(gram_counts))
+
+
+def _find(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where codes stand in the sorted table, and whether they do."""
+    at = np.minimum(np.searchsorted(table, codes), len(table) - 1)
+    return at, table[at] == codes
+
+
 @dataclass
 class Automaton:
-    symbol: np.ndarray  # byte -> symbol; UNSEEN stands for each byte that training lacks
-    symbols: int
-    step: np.ndarray  # state * symbols + symbol -> next state
-    log10: np.ndarray  # state * symbols + symbol -> log10 probability
+    root: np.ndarray  # byte -> probability behind the empty context
+    symbol: np.ndarray  # byte -> symbol; 0 stands for each byte that training lacks
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by length from 1: contexts, share of the suffix, grams, own share
+    tails: np.ndarray | None = None  # of a part: which last two bytes are its own
+
+    @classmethod
+    def of(cls, root: dict[int, int], length: np.ndarray, context: np.ndarray, following: np.ndarray, n: np.ndarray, tails: np.ndarray | None = None) -> Automaton:
+        total = sum(root.values())
+        p, symbol = np.full(256, 1 / (total + 257)), np.zeros(256, np.uint8)
+        for i, (byte, times) in enumerate(sorted(root.items())):
+            p[byte], symbol[byte] = (times + 1) / (total + 257), i + 1
+        levels = []
+        for k in range(1, DEPTH + 1):
+            mine = length == k
+            code = (context[mine].astype(np.uint64) << np.uint64(8)) | following[mine].astype(np.uint64)
+            order = np.argsort(code)
+            code, times = code[order], n[mine][order].astype(np.float64)
+            if not len(code):
+                levels.append((code, times, code, times))
+                continue
+            own, first, kinds = np.unique(code >> np.uint64(8), return_index=True, return_counts=True)
+            sums = np.add.reduceat(times, first) + kinds
+            levels.append((own, (kinds / sums).astype(np.float32), code, (times / np.repeat(sums, kinds)).astype(np.float32)))
+        return cls(p, symbol, levels, tails)
 
     @classmethod
     def build(cls, counts: dict[bytes, tuple[np.ndarray, np.ndarray]]) -> Automaton:
-        seen, seen_n = counts[b""]
-        symbol = np.zeros(256, dtype=np.uint8)
-        symbol[seen] = np.arange(1, len(seen) + 1)
-        symbols = len(seen) + 1
-        states = sorted({c[:i] for c in counts for i in range(len(c) + 1)}, key=lambda s: (len(s), s))
-        number = {s: i for i, s in enumerate(states)}
-        step = np.zeros((len(states), symbols), dtype=np.int32)
-        p = np.zeros((len(states), symbols), dtype=np.float32)
-        fail = np.zeros(len(states), dtype=np.int64)
-        total = int(seen_n.sum())
-        p[0] = 1 / (total + 257)
-        p[0, symbol[seen]] = (seen_n + 1) / (total + 257)
-        for i, s in enumerate(states):
-            if s:
-                fail[i] = next(number[s[j:]] for j in range(1, len(s) + 1) if s[j:] in number)
-                p[i] = p[fail[i]]
-                if s in counts:
-                    following, n = counts[s]
-                    total, kinds = int(n.sum()), len(n)
-                    p[i] *= kinds / (total + kinds)
-                    p[i, symbol[following]] += n / (total + kinds)
-        children: dict[int, list[tuple[int, int]]] = {}
-        for i, s in enumerate(states):
-            if s and symbol[s[-1]]:
-                children.setdefault(number[s[:-1]], []).append((int(symbol[s[-1]]), i))
-        for i, s in enumerate(states):
-            if s:
-                step[i] = step[fail[i]]
-            for a, child in children.get(i, ()):
-                step[i, a] = child
-        return cls(symbol, symbols, step.ravel(), np.log10(p, out=p).ravel())
+        rows = [(len(c), int.from_bytes(c, "big"), int(b), int(t)) for c, (following, n) in counts.items() if c for b, t in zip(following, n)]
+        return cls.of(dict(zip(*(x.tolist() for x in counts[b""]))), *np.array(rows, np.int64).reshape(-1, 4).T)
+
+    @property
+    def symbols(self) -> int:
+        return int(self.symbol.max()) + 1
+
+    @property
+    def log10(self) -> np.ndarray:
+        """context * symbols + symbol -> log10 probability, the empty context first: to look at, scores do not need it."""
+        every = np.concatenate([np.zeros(1, np.uint64), *(own for own, *_ in self.levels)])
+        seen = np.flatnonzero(self.symbol).astype(np.uint64)
+        p = self.p(((every[:, None] << np.uint64(8)) | seen[None, :]).ravel()).reshape(len(every), -1)
+        return np.log10(np.concatenate((np.full((len(every), 1), self.root.min()), p), axis=1)).ravel()
+
+    def p(self, codes: np.ndarray) -> np.ndarray:
+        """Probability of the last byte of each gram behind the others."""
+        out = self.root[(codes & np.uint64(255)).astype(np.intp)]
+        for k, (own, back, code, share) in enumerate(self.levels, 1):
+            if len(own):
+                at, there = _find(own, (codes >> np.uint64(8)) & np.uint64((1 << (8 * k)) - 1))
+                there = np.flatnonzero(there)
+                gram, known = _find(code, codes[there] & np.uint64((1 << (8 * k + 8)) - 1))
+                out[there] = out[there] * back[at[there]] + np.where(known, share[gram], 0)
+        return out
 
     def scores(self, docs: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each document."""
+        """log10 probability of each document, or of what is this part's own."""
         data, starts = streams(docs)
-        data = self.symbol[data]
-        lengths = np.diff(starts) - DEPTH
-        segments = -(-lengths // SEGMENT)
-        owner = np.repeat(np.arange(len(docs)), segments)
-        place = (np.arange(len(owner)) - np.repeat(np.cumsum(segments) - segments, segments)) * SEGMENT
-        left = np.minimum(lengths[owner] - place, SEGMENT)
-        data = np.concatenate((data, np.zeros(SEGMENT + DEPTH, np.uint8)))
-        order = np.argsort(-left, kind="stable")
-        at, left_sorted = (starts[owner] + place)[order], left[order]
-        state = np.zeros(len(order), dtype=np.int64)
-        sums = np.zeros(len(order))
-        active = len(order)
-        for t in range(SEGMENT + DEPTH):
-            while active and left_sorted[active - 1] + DEPTH <= t:
-                active = int(np.searchsorted(-left_sorted, -(t - DEPTH), side="left"))
-            if not active:
-                break
-            cell = state[:active] * self.symbols + data[at[:active] + t]
-            if t >= DEPTH:
-                sums[:active] += self.log10[cell]
-            state[:active] = self.step[cell]
-        each = np.zeros(len(order))
-        each[order] = sums
-        return np.bincount(owner, each, minlength=len(docs))
+        codes, real = coded(data, starts)
+        owner = np.repeat(np.arange(len(docs)), np.diff(starts) - DEPTH)
+        codes = codes[real]
+        if self.tails is not None:
+            mine = self.tails[((codes >> np.uint64(8)) & np.uint64(65535)).astype(np.intp)]
+            codes, owner = codes[mine], owner[mine]
+        out = np.zeros(len(docs))
+        for at in range(0, len(codes), BLOCK):
+            distinct, place = np.unique(codes[at:at + BLOCK], return_inverse=True)
+            out += np.bincount(owner[at:at + BLOCK], np.log10(self.p(distinct))[place], minlength=len(docs))
+        return out
+
+
+def parts_of(rows: DataFrame) -> list[np.ndarray | None]:
+    """The last two bytes of each part, as a mask; contexts of one byte are in every part."""
+    tails = rows.where("length > 1").groupBy(F.col("context").bitwiseAND(F.lit(65535)).alias("tail")).agg(F.count("*").alias("n")).collect()  # at most 65,536
+    number = -(-sum(r["n"] for r in tails) // PART_ROWS)
+    if number < 2:
+        return [None]
+    sizes, part = [0] * number, np.arange(65536) % number
+    for r in sorted(tails, key=lambda r: (-r["n"], r["tail"])):
+        part[r["tail"]] = sizes.index(min(sizes))
+        sizes[part[r["tail"]]] += r["n"]
+    return [part == i for i in range(number)]
+
+
+def load(rows: DataFrame, root: dict[int, int], tails: np.ndarray | None) -> Automaton:
+    if tails is not None:
+        wanted = rows.sparkSession.createDataFrame([(int(t),) for t in np.flatnonzero(tails)], "tail long")
+        longer = rows.where("length > 1").join(F.broadcast(wanted), F.col("context").bitwiseAND(F.lit(65535)) == F.col("tail"), "left_semi")
+        rows = rows.where("length = 1").unionByName(longer)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [pa.array([zlib.compress(batch.column(i).to_numpy(zero_copy_only=False).astype(t).tobytes(), 1)], pa.binary()) for i, t in enumerate(PACKED)]
+            yield pa.RecordBatch.from_arrays(packed, names=["length", "context", "next", "n"])
+
+    # arrays are packed in the tasks: the driver holds few bytes a row
+    found = rows.select("length", "context", "next", "n").mapInArrow(pack, "length binary, context binary, next binary, n binary").collect()
+    return Automaton.of(root, *(np.frombuffer(b"".join(zlib.decompress(r[i]) for r in found), t) for i, t in enumerate(PACKED)), tails)
 
 
 @dataclass
 class Model:
-    automaton: Automaton
+    rows: DataFrame  # length, context, next, n
+    root: dict[int, int]
+    parts: list[np.ndarray | None]
     words: DataFrame  # word, n
     dictionary: dict[bytes, int]
     tokens: int  # N
     kinds: int  # V
     least: int  # words of at least this count are in the dictionary
 
+    @property
+    def automaton(self) -> Automaton:
+        """The whole tree, on the driver."""
+        return load(self.rows, self.root, None)
+
 
 def fit(training: DataFrame, text_col: str = "text") -> Model:
     counted = spool(corpus_counts(training, F.col(text_col)))
@@ -265,21 +319,32 @@ def fit(training: DataFrame, text_col: str = "text") -> Model:
         least = n
     frame = words.where((F.col("n") >= least) | (F.col("word") == F.lit(END))).toPandas()  # the end of texts is always looked up
     dictionary = dict(zip(map(bytes, frame["word"]), frame["n"].tolist()))
-    kept = contexts(counted.where("gram IS NOT NULL").select("gram", "n"))
-    return Model(Automaton.build(kept), words, dictionary, tokens, kinds, least)
+    rows, root = tree(counted.where("gram IS NOT NULL").select("gram", "n"))
+    return Model(rows, root, parts_of(rows), words, dictionary, tokens, kinds, least)
+
+
+def _partial(shared):
+    """_row, _key (joins with nothing) and the part's own sum of each row of (_row, _text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shared.value
+        for batch in batches:
+            scores = [x for part in _slices(t.as_py() for t in batch.column(1)) for x in automaton.scores(part)]
+            rows = batch.column(0)
+            yield pa.RecordBatch.from_arrays([rows, pa.array([b" %d" % r for r in rows.to_pylist()], pa.binary()), pa.array(scores, pa.float64())], names=["_row", "_key", "_score"])
+    return run
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs, n_tokens, n_known, base_score and score of each row."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.automaton.symbol, model.automaton.symbols, model.automaton.step, model.automaton.log10, model.dictionary))
+    shared = spark.sparkContext.broadcast((load(model.rows, model.root, model.parts[0]), model.dictionary))
     kept = docs.select(*keep)
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
     names = [*keep, "_row", "_key", "_times", "_tokens", "_known", "_sum", "_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, symbols, step, log10, dictionary = shared.value
-        automaton, get, logs = Automaton(symbol, symbols, step, log10), dictionary.get, {}
+        automaton, dictionary = shared.value
+        get, logs = dictionary.get, {}
 
         def log_of(n: int) -> float:
             if n not in logs:
@@ -320,8 +385,13 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([*(picked.columns if keep else []), *own], names=names)
 
     numbered = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), F.col(text_col).cast("string").cast("binary").alias("_text"))
+    if len(model.parts) > 1:
+        numbered = spool(numbered)  # read once for each part
     flat = numbered.mapInArrow(run, kinds + "_row long, _key binary, _times long, _tokens long, _known long, _sum double, _score double")
     rest = model.words.where((F.col("n") < model.least) & (F.col("word") != F.lit(END))).select(F.col("word").alias("_key"), "n")
+    for tails in model.parts[1:]:
+        more = numbered.select("_row", "_text").mapInArrow(_partial(spark.sparkContext.broadcast(load(model.rows, model.root, tails))), "_row long, _key binary, _score double")
+        flat = flat.unionByName(more, allowMissingColumns=True)
     joined = flat.join(rest, "_key", "left")
     n = F.coalesce("n", F.lit(0))
     sums = joined.groupBy("_row").agg(
@@ -329,7 +399,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
         F.max("_tokens").alias("n_tokens"),
         (F.max("_known") + F.sum(F.when(n > 0, F.col("_times")).otherwise(0))).alias("n_known"),
         (F.max("_sum") + F.sum(F.col("_times") * F.log10(n + 1))).alias("_sum"),
-        F.max("_score").alias("score"),
+        F.sum("_score").alias("score"),
     )
     base = F.col("_sum") - F.col("n_tokens") * F.log10(F.lit(float(model.tokens + model.kinds + 1)))
     return sums.select(*keep, "n_tokens", "n_known", base.alias("base_score"), "score")

@@ -185,6 +185,23 @@ def test_language_model_rare_words(spark, monkeypatch):
     assert empty.tokens == 0 and lm.score(frame(spark, ["x"]), empty, ["doc_id"]).first()["n_known"] == 0
 
 
+def test_language_model_keeps_every_context(spark, monkeypatch):
+    """More contexts than any fixed number, and rare ones however large the corpus; parts score like the whole tree."""
+    pairs = [(a, b) for a in range(60, 200) for b in range(60, 200)]
+    rows = [((a << 16) | (b << 8) | 60 + (a * 31 + b * 17) % 140, 25) for a, b in pairs] + [((1 << 16) | (1 << 8) | 1, 400_000_000)]
+    found = lm.contexts(spark.createDataFrame(rows, "gram long, n long"))
+    assert all(bytes(p) in found for p in pairs)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["The", "cat", "sat", "on", "mats", "today", "ünd"], int(n))) for n in rng.integers(0, 60, 60)] + ODD[:4]
+    whole = lm.fit(frame(spark, texts))
+    monkeypatch.setattr(lm, "PART_ROWS", 10)
+    cut = lm.fit(frame(spark, texts))
+    assert whole.parts == [None] and len(cut.parts) > 2
+    a, b = ({r["doc_id"]: r for r in lm.score(frame(spark, texts), m, ["doc_id"]).collect()} for m in (whole, cut))
+    for i in range(len(texts)):
+        assert a[i]["score"] == pytest.approx(b[i]["score"], rel=1e-9) and a[i][:4] == b[i][:4]
+
+
 # ---- personal data -----------------------------------------------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
