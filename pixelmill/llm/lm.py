@@ -1,22 +1,25 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-The corpus gives exact counts of words and of byte (DEPTH + 1)-grams, pre-aggregated in each task before one shuffle.
-Contexts of each length come from sums over the grams; a context of LEAST occurrences is retained if its next-symbol
-distribution diverges from that of its longest proper suffix by at least GAIN bits over its occurrences.  All of these
-make the tree, so it grows with the corpus.  Distributions are smoothed towards the suffix's one (Witten-Bell), down to
-an add-one distribution over bytes.  The tree is a sorted table for each length; what a symbol costs follows from the
-gram it ends, so each distinct gram of a slice of text is looked up once, from the shortest context to the longest.
-A tree of more than PART_ROWS rows is cut by the last two bytes of contexts, which all contexts of a symbol share; texts
-are then read once for each part and the sums added.
-
 Symbols are the bytes of the lower-cased words, one space between words and one end; that string and the sequence of
 tokens determine each other, so the score is the log10 probability of the token sequence.
 
+A gram is DEPTH bytes of context, the latest one first, and the byte behind them.  Grams and words are counted in place
+and shuffled once.  In that order all contexts that end alike are neighbours, so the tree is climbed as sorted grams
+stream by: a context of LEAST occurrences is retained if its next-symbol distribution diverges from that of its longest
+proper suffix by GAIN bits over its occurrences, and so are the suffixes of retained contexts.  No step holds more than
+a block of grams and those of one shorter context.  The tree grows with the corpus; nothing caps it.
+
+Distributions are smoothed towards the suffix's one (Witten-Bell), down to an add-one distribution over bytes.  The tree
+is broadcast as sorted arrays; beyond PART_ROWS rows it is cut by the last two bytes of contexts, which all contexts of a
+symbol share, and texts are read once for each part and the sums added.  What grams cost is remembered in a table of
+MEMO places; what it has no place for is looked up again.
+
 The base score needs the count of each token.  The words of most counts (at most DICTIONARY of them, broadcast) are
 looked up in place, all others by a join, summed per document first.
 
 Defined cases: a null or empty text is one end; rows are scored each for itself, repeated or not; with no training row
-N and V are 0 and each byte has probability 1/257; empty tables give empty results; extra columns do not matter.
+N and V are 0 and each byte has probability 1/257; empty tables give empty results; extra columns do not matter, and
+`keep` must not name a column of the result.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +39,21 @@ from .common import LOWER_BYTES, spool
 #: Most bytes of a context: grams of one more fit into a long.
 DEPTH = 6
 #: Bits that a context must save over its training occurrences, and how often it must occur.
-GAIN, LEAST = 30.0, 20
-#: Rows (next symbols of contexts) of the tree that are broadcast at once.
-PART_ROWS = 2_000_000
-#: How length, context, next and n are packed.
-PACKED = ("u1", "u8", "u1", "i8")
+GAIN, LEAST = 16.0, 8
+#: Contexts of more bytes than this are judged where their last SPLIT bytes are together.
+SPLIT = 3
+#: Rows (next symbols of contexts) of the tree that are broadcast at once, 12 bytes each.
+PART_ROWS = 8_000_000
+#: How length, gram and n are packed.
+PACKED = ("u1", "u8", "u8")
 DICTIONARY = 100_000
 #: Bytes of text that are turned into arrays at once, and entries that a task holds before it hands them on.
 SLICE, HELD = 1 << 20, 600_000
-#: Grams that are looked up at once.
-BLOCK = 1 << 20
+#: Places (a power of two) for remembered grams, 12 bytes each, and how far from its own place a gram is looked for.
+MEMO, PROBES = 1 << 22, 6
 END = b"\n"
+TOP = np.uint64(8 * DEPTH + 8)
+BYTE = np.uint64(8)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -65,39 +72,35 @@ def _slices(texts: Iterator[bytes | None]) -> Iterator[list[list[bytes]]]:
         yield held
 
 
-def streams(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of docs, DEPTH ends before each and one behind it, and where each begins (the last number: where all end)."""
+def coded(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of each symbol of docs, and where each document's begin (DEPTH ends stand before it, one behind it)."""
     parts = [END * DEPTH + b" ".join(words) + END for words in docs]
-    return np.frombuffer(b"".join(parts), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-
-
-def coded(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of DEPTH + 1 bytes (the last one is the next symbol), and whether that is a symbol of a document."""
-    code = np.zeros(len(data) - DEPTH, dtype=np.uint64)
-    for j in range(DEPTH + 1):
-        code = (code << np.uint64(8)) | data[j:len(data) - DEPTH + j]
+    data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    sizes = np.array([len(p) for p in parts])
+    starts = np.cumsum(sizes) - sizes
+    code = data[DEPTH:].astype(np.uint64)
+    for j in range(1, DEPTH + 1):
+        code |= data[DEPTH - j:len(data) - j].astype(np.uint64) << (TOP - BYTE * np.uint64(j))
     real = np.ones(len(code), dtype=bool)
-    for j in range(DEPTH):  # where the next symbol is one of the ends before a later document
-        real[starts[1:-1] + j - DEPTH] = False
-    return code, real
+    for j in range(DEPTH):  # the ends before later documents are no symbols
+        real[starts[1:] + j - DEPTH] = False
+    return code[real], starts - DEPTH * np.arange(len(docs))
 
 
-def grams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of DEPTH + 1 bytes and how often each occurs."""
-    code, real = coded(data, starts)
-    return np.unique(code[real], return_counts=True)
+def _merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal neighbours added up."""
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[first], np.add.reduceat(counts, first)
 
 
-def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _sorted(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     codes, counts = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
     order = np.argsort(codes, kind="stable")
-    codes, counts = codes[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-    return codes[first], np.add.reduceat(counts, first)
+    return _merged(codes[order], counts[order])
 
 
 def corpus_counts(docs: DataFrame, text: Column) -> DataFrame:
-    """word (null for grams), gram (null for words), n: exact counts over all of docs."""
+    """word (null for grams), gram (null for words), n: what each task has counted, not yet summed over tasks."""
     names = ["word", "gram", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +116,7 @@ def corpus_counts(docs: DataFrame, text: Column) -> DataFrame:
 
         def emit_grams() -> Iterator[pa.RecordBatch]:
             if held:
-                codes, counts = _merged(held)
+                codes, counts = _sorted(held)
                 held.clear()
                 for at in range(0, len(codes), 100_000):
                     part = codes[at:at + 100_000].astype(np.int64)
@@ -124,61 +127,189 @@ def corpus_counts(docs: DataFrame, text: Column) -> DataFrame:
                 for w in part:
                     words.update(w)
                 words[END] += len(part)
-                held.append(grams(*streams(part)))
+                held.append(np.unique(coded(part)[0], return_counts=True))
                 if len(words) > HELD:
                     yield from emit_words()
-                if sum(len(c) for c, _ in held) > HELD:
-                    held[:] = [_merged(held)]
-                    if len(held[0][0]) > 3 * HELD // 4:
+                if sum(len(c) for c, _ in held) > 4 * HELD:
+                    held[:] = [_sorted(held)]
+                    if len(held[0][0]) > 3 * HELD:
                         yield from emit_grams()
         yield from emit_words()
         yield from emit_grams()
 
-    counted = docs.select(text.cast("string").cast("binary").alias("text")).mapInArrow(run, "word binary, gram long, n long")
-    return counted.groupBy("word", "gram").agg(F.sum("n").alias("n"))
-
-
-def tree(gram_counts: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """length, context, next, n of each retained context; and the counts of bytes (the empty context)."""
-    orders = {}
-    for k in range(DEPTH, -1, -1):
-        key = F.col("gram").bitwiseAND(F.lit((1 << (8 * k + 8)) - 1))
-        orders[k] = spool(gram_counts.groupBy(key.alias("gram")).agg(F.sum("n").alias("n")))
-        gram_counts = orders[k]
-    kept = []
-    for k in range(1, DEPTH + 1):
-        def context(length: int, name: str) -> DataFrame:
-            full = F.shiftright(F.col("gram"), 8).bitwiseAND(F.lit((1 << (8 * length)) - 1))
-            sums = orders[length].groupBy(full.alias(f"{name}_context")).agg(F.sum("n").alias(f"{name}_total"))
-            return sums.where(F.col(f"{name}_total") >= LEAST)
-
-        own, parent = context(k, "own"), context(k - 1, "parent")
-        rows = orders[k].withColumn("own_context", F.shiftright(F.col("gram"), 8)).join(own, "own_context")
-        low = orders[k - 1].withColumnRenamed("gram", "parent_gram").withColumnRenamed("n", "parent_n")
-        rows = rows.withColumn("parent_gram", F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1))).join(low, "parent_gram")
-        rows = rows.withColumn("parent_context", F.shiftright(F.col("parent_gram"), 8)).join(parent, "parent_context")
-        bits = F.col("n") * F.log2(F.col("n") / F.col("own_total") * F.col("parent_total") / F.col("parent_n"))
-        best = rows.groupBy("own_context").agg(F.sum(bits).alias("gain")).where(F.col("gain") >= GAIN).select(F.col("own_context").alias("context"))
-        following = orders[k].select(F.shiftright(F.col("gram"), 8).alias("context"), F.col("gram").bitwiseAND(F.lit(255)).alias("next"), "n")
-        kept.append(following.join(best, "context", "left_semi").select(F.lit(k).alias("length"), "context", "next", "n"))
-    everything = kept[0]
-    for more in kept[1:]:
-        everything = everything.unionByName(more)
-    return spool(everything), {r["gram"]: r["n"] for r in orders[0].collect()}  # at most 256 bytes
-
-
-def _lists(rows: DataFrame, root: dict[int, int]) -> dict[bytes, tuple[np.ndarray, np.ndarray]]:
-    seen = sorted(root.items())
-    out = {b"": (np.array([g for g, _ in seen], np.int64), np.array([n for _, n in seen], np.int64))}
-    frame = rows.toPandas().sort_values(["length", "context", "next"])
-    for (k, c), part in frame.groupby(["length", "context"]):
-        out[int(c).to_bytes(int(k), "big")] = part["next"].to_numpy(), part["n"].to_numpy()
-    return out
+    return docs.select(text.cast("string").cast("binary").alias("text")).mapInArrow(run, "word binary, gram long, n long")
+
+
+Grams = tuple[np.ndarray, np.ndarray, np.ndarray]  # codes, counts, and whether a longer context has been retained
+
+
+def climb(codes: np.ndarray, counts: np.ndarray, needed: np.ndarray) -> tuple[Grams, Grams]:
+    """From the sorted grams of contexts of one length, all of a shorter context's together: those of the retained
+    contexts, and the grams of the contexts that are one byte shorter."""
+    context, following = codes >> BYTE, codes & np.uint64(255)
+    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    runs = np.diff(np.append(first, len(codes)))
+    total = np.add.reduceat(counts, first)
+    above, place = np.unique((context >> BYTE << BYTE) | following, return_inverse=True)
+    above_n = np.bincount(place, counts).astype(np.int64)
+    parents = np.flatnonzero(np.concatenate(([True], above[1:] >> BYTE != above[:-1] >> BYTE)))
+    kinds = np.diff(np.append(parents, len(above)))
+    above_total = np.repeat(np.add.reduceat(above_n, parents), kinds)
+    bits = counts * np.log2(counts / np.repeat(total, runs) * (above_total / above_n)[place])
+    keep = (total >= LEAST) & (np.add.reduceat(bits, first) >= GAIN) | np.logical_or.reduceat(needed, first)
+    kept = np.repeat(keep, runs)
+    wanted = np.zeros(len(above), dtype=bool)
+    wanted[place[kept]] = True
+    wanted = np.repeat(np.logical_or.reduceat(wanted, parents), kinds)
+    return (codes[kept], counts[kept], needed[kept]), (above, above_n, wanted)
+
+
+def _summed(chunks: Iterator[Grams]) -> Iterator[Grams]:
+    """Equal grams of sorted chunks added up."""
+    held: Grams | None = None
+    for chunk in chunks:
+        codes, counts, needed = chunk if held is None else tuple(map(np.concatenate, zip(held, chunk)))
+        first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+        codes, counts, needed = codes[first], np.add.reduceat(counts, first), np.logical_or.reduceat(needed, first)
+        held = codes[-1:], counts[-1:], needed[-1:]
+        if len(codes) > 1:
+            yield codes[:-1], counts[:-1], needed[:-1]
+    if held is not None:
+        yield held
+
 
+def _level(length: int, chunks: Iterator[Grams], out: list[tuple[int, Grams]]) -> Iterator[Grams]:
+    """Judges the contexts of a length in sorted chunks, puts the retained ones into out and yields the next shorter ones."""
+    held: Grams | None = None
+    for chunk in chunks:
+        whole = chunk if held is None else tuple(map(np.concatenate, zip(held, chunk)))
+        parent = whole[0] >> np.uint64(16)
+        cut = int(np.searchsorted(parent, parent[-1]))  # more of the last shorter context may follow
+        held = tuple(x[cut:] for x in whole)
+        if cut:
+            kept, above = climb(*(x[:cut] for x in whole))
+            out.append((length, kept))
+            yield above
+    if held is not None:
+        kept, above = climb(*held)
+        out.append((length, kept))
+        yield above
+
+
+def judged(chunks: Iterator[Grams], longest: int, shortest: int) -> Iterator[tuple[int, Grams]]:
+    """length and grams of retained contexts, from sorted grams of contexts of `longest` bytes; length 0 for the grams
+    of contexts one byte shorter than `shortest`, which are not judged."""
+    out: list[tuple[int, Grams]] = []
+    chunks = _summed(chunks)
+    for length in range(longest, shortest - 1, -1):
+        chunks = _level(length, chunks, out)
+    for left in chunks:
+        yield from out
+        out.clear()
+        yield 0, left
+    yield from out
+
+
+NAMES = ["length", "word", "gram", "n", "needed"]
+KINDS = "length int, word binary, gram long, n long, needed boolean"
+
+
+def _out(length: int, grams: Grams) -> Iterator[pa.RecordBatch]:
+    codes, counts, needed = grams
+    for at in range(0, len(codes), 100_000):
+        part = codes[at:at + 100_000].astype(np.int64)
+        columns = [pa.array(np.full(len(part), length, np.int32)), pa.nulls(len(part), pa.binary()), pa.array(part), pa.array(counts[at:at + 100_000], pa.int64()), pa.array(needed[at:at + 100_000])]
+        yield pa.RecordBatch.from_arrays(columns, names=NAMES)
+
+
+def _gathered(batches: Iterator[tuple[np.ndarray, ...]], rows: int = 300_000) -> Iterator[Grams]:
+    held, size = [], 0
+    for batch in batches:
+        if len(batch[0]):
+            held.append(batch)
+            size += len(batch[0])
+        if size >= rows:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, size = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
 
-def contexts(gram_counts: DataFrame) -> dict[bytes, tuple[np.ndarray, np.ndarray]]:
-    """Next bytes and their counts of the retained contexts and of the empty one, all on the driver; gram_counts: gram long, n long."""
-    return _lists(*tree(gram_counts))
+
+def _climbed(longest: int, shortest: int):
+    """Sums words and judges contexts of sorted rows (word, gram, n, needed); words come first and get length -1."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[bytes, int] = {}  # those of the latest hash
+        ready: list[pa.RecordBatch] = []
+        hashed = None
+
+        def done() -> pa.RecordBatch:
+            keys = list(words)
+            return pa.RecordBatch.from_arrays([pa.array([-1] * len(keys), pa.int32()), pa.array(keys, pa.binary()), pa.nulls(len(keys), pa.int64()), pa.array([words[k] for k in keys], pa.int64()), pa.nulls(len(keys), pa.bool_())], names=NAMES)
+
+        def grams() -> Iterator[Grams]:
+            nonlocal hashed
+            for batch in batches:
+                key = batch.column(0).to_numpy()
+                at = int(np.searchsorted(key, 0))
+                if at:
+                    for h, w, n in zip(key[:at].tolist(), batch.column(1)[:at].to_pylist(), batch.column(2)[:at].to_pylist()):
+                        if h != hashed and len(words) > 10_000:
+                            ready.append(done())
+                            words.clear()
+                        hashed = h
+                        words[w] = words.get(w, 0) + n
+                if at < len(key):
+                    needed = batch.column(3).to_numpy(zero_copy_only=False)[at:].astype(bool)
+                    yield key[at:].astype(np.uint64), batch.column(2).to_numpy()[at:], needed
+                else:
+                    yield np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+        def steps() -> Iterator[pa.RecordBatch]:
+            for length, found in judged(_gathered(grams()), longest, shortest):
+                yield from ready
+                ready.clear()
+                yield from _out(length, found)
+
+        yield from steps()
+        yield from ready
+        if words:
+            yield done()
+    return run
+
+
+def tree(counted: DataFrame) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """counted: word, gram, n, in any number of rows each.  Returns word, n of all words; length, gram, n of each retained
+    context, a gram being the context (latest byte first) and the next byte; and the counts of bytes (the empty context)."""
+    spark = counted.sparkSession
+    word = -1 - F.xxhash64("word").bitwiseAND(F.lit((1 << 62) - 1))
+    keyed = counted.select(F.coalesce("gram", word).alias("key"), "word", "n", F.lit(False).alias("needed"))
+    below = F.shiftright("key", 8 * (DEPTH + 1 - SPLIT))
+    dealt = keyed.repartition(F.when(F.col("key") < 0, F.col("key")).otherwise(below)).sortWithinPartitions("key", "word")
+    found = spool(dealt.mapInArrow(_climbed(DEPTH, SPLIT + 1), KINDS))
+    short = found.where("length = 0").select(F.col("gram").alias("key"), "word", "n", "needed")
+    short = short.repartition(F.shiftright("key", 8 * SPLIT)).sortWithinPartitions("key")
+    less = spool(short.mapInArrow(_climbed(SPLIT, 2), KINDS))
+    # contexts of one byte: at most 65,536 grams
+    bytes_of = less.where("length = 0").groupBy("gram").agg(F.sum("n").alias("n"), F.max("needed").alias("needed")).orderBy("gram").collect()
+    rows, root = found.unionByName(less).where("length > 0").select("length", "gram", "n"), {}
+    if bytes_of:
+        grams = np.array([r["gram"] for r in bytes_of], np.uint64), np.array([r["n"] for r in bytes_of], np.int64), np.array([r["needed"] for r in bytes_of], bool)
+        kept, above = climb(*grams)
+        root = dict(zip(above[0].tolist(), above[1].tolist()))
+        if len(kept[0]):
+            ones = spark.createDataFrame([(1, int(g), int(n)) for g, n in zip(*kept[:2])], "length int, gram long, n long")
+            rows = rows.unionByName(ones)
+    return found.where("length = -1").select("word", "n"), rows, root
+
+
+def contexts(counted: DataFrame) -> dict[bytes, dict[int, int]]:
+    """Next bytes and their counts of the retained contexts (in the order of the text) and of the empty one, on the driver."""
+    _, rows, root = tree(counted)
+    out = {b"": root}
+    for r in rows.collect():
+        context = (r["gram"] >> 8).to_bytes(r["length"], "big")[::-1]
+        out.setdefault(context, {})[r["gram"] & 255] = r["n"]
+    return out
 
 
 def _find(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,80 +318,123 @@ def _find(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, table[at] == codes
 
 
+class Memo:
+    """Remembers numbers by code in a bounded table of open addressing."""
+
+    def __init__(self, places: int):
+        self.shift = np.uint64(65 - places.bit_length())
+        self.codes = np.full(places + PROBES, np.uint64((1 << 64) - 1))
+        self.values = np.zeros(places + PROBES, np.float32)
+
+    def _place(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, codes: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Fills out where codes are known; returns where they are not."""
+        place = self._place(codes)
+        left = np.flatnonzero(self.codes[place] != codes)
+        np.take(self.values, place, out=out)
+        for probe in range(1, PROBES):
+            if not len(left):
+                break
+            at = place[left] + probe
+            hit = self.codes[at] == codes[left]
+            out[left[hit]] = self.values[at[hit]]
+            left = left[~hit]
+        return left
+
+    def put(self, codes: np.ndarray, values: np.ndarray) -> None:
+        place = self._place(codes)
+        for probe in range(PROBES):
+            at = place + probe
+            free = np.flatnonzero(self.codes[at] == np.uint64((1 << 64) - 1))
+            self.codes[at[free]] = codes[free]
+            mine = self.codes[at] == codes
+            self.values[at[mine]] = values[mine]
+            codes, values, place = codes[~mine], values[~mine], place[~mine]
+
+
 @dataclass
 class Automaton:
     root: np.ndarray  # byte -> probability behind the empty context
-    symbol: np.ndarray  # byte -> symbol; 0 stands for each byte that training lacks
-    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by length from 1: contexts, share of the suffix, grams, own share
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by length from 1: contexts, share of the suffix, place of the context and next byte, own share
     tails: np.ndarray | None = None  # of a part: which last two bytes are its own
+    memo: Memo | None = field(default=None, repr=False)
 
     @classmethod
-    def of(cls, root: dict[int, int], length: np.ndarray, context: np.ndarray, following: np.ndarray, n: np.ndarray, tails: np.ndarray | None = None) -> Automaton:
+    def of(cls, root: dict[int, int], length: np.ndarray, gram: np.ndarray, n: np.ndarray, tails: np.ndarray | None = None) -> Automaton:
         total = sum(root.values())
-        p, symbol = np.full(256, 1 / (total + 257)), np.zeros(256, np.uint8)
-        for i, (byte, times) in enumerate(sorted(root.items())):
-            p[byte], symbol[byte] = (times + 1) / (total + 257), i + 1
+        p = np.full(256, 1 / (total + 257))
+        for byte, times in root.items():
+            p[byte] = (times + 1) / (total + 257)
         levels = []
         for k in range(1, DEPTH + 1):
             mine = length == k
-            code = (context[mine].astype(np.uint64) << np.uint64(8)) | following[mine].astype(np.uint64)
+            code, times = gram[mine].astype(np.uint64), n[mine].astype(np.float64)
             order = np.argsort(code)
-            code, times = code[order], n[mine][order].astype(np.float64)
-            if not len(code):
-                levels.append((code, times, code, times))
-                continue
-            own, first, kinds = np.unique(code >> np.uint64(8), return_index=True, return_counts=True)
-            sums = np.add.reduceat(times, first) + kinds
-            levels.append((own, (kinds / sums).astype(np.float32), code, (times / np.repeat(sums, kinds)).astype(np.float32)))
-        return cls(p, symbol, levels, tails)
+            code, times = code[order], times[order]
+            own, first, kinds = np.unique(code >> BYTE, return_index=True, return_counts=True)
+            sums = np.add.reduceat(times, first) + kinds if len(own) else np.zeros(0)
+            place = (np.repeat(np.arange(len(own), dtype=np.uint64), kinds) << BYTE) | (code & np.uint64(255))
+            levels.append((own, (kinds / sums).astype(np.float32), place, (times / np.repeat(sums, kinds)).astype(np.float32)))
+        return cls(p, levels, tails)
 
     @classmethod
-    def build(cls, counts: dict[bytes, tuple[np.ndarray, np.ndarray]]) -> Automaton:
-        rows = [(len(c), int.from_bytes(c, "big"), int(b), int(t)) for c, (following, n) in counts.items() if c for b, t in zip(following, n)]
-        return cls.of(dict(zip(*(x.tolist() for x in counts[b""]))), *np.array(rows, np.int64).reshape(-1, 4).T)
-
-    @property
-    def symbols(self) -> int:
-        return int(self.symbol.max()) + 1
-
-    @property
-    def log10(self) -> np.ndarray:
-        """context * symbols + symbol -> log10 probability, the empty context first: to look at, scores do not need it."""
-        every = np.concatenate([np.zeros(1, np.uint64), *(own for own, *_ in self.levels)])
-        seen = np.flatnonzero(self.symbol).astype(np.uint64)
-        p = self.p(((every[:, None] << np.uint64(8)) | seen[None, :]).ravel()).reshape(len(every), -1)
-        return np.log10(np.concatenate((np.full((len(every), 1), self.root.min()), p), axis=1)).ravel()
+    def build(cls, counts: dict[bytes, dict[int, int]]) -> Automaton:
+        rows = [(len(c), int.from_bytes(c[::-1] + bytes([b]), "big"), t) for c, following in counts.items() if c for b, t in following.items()]
+        return cls.of(counts[b""], *np.array(rows, np.int64).reshape(-1, 3).T)
 
     def p(self, codes: np.ndarray) -> np.ndarray:
-        """Probability of the last byte of each gram behind the others."""
-        out = self.root[(codes & np.uint64(255)).astype(np.intp)]
-        for k, (own, back, code, share) in enumerate(self.levels, 1):
-            if len(own):
-                at, there = _find(own, (codes >> np.uint64(8)) & np.uint64((1 << (8 * k)) - 1))
-                there = np.flatnonzero(there)
-                gram, known = _find(code, codes[there] & np.uint64((1 << (8 * k + 8)) - 1))
-                out[there] = out[there] * back[at[there]] + np.where(known, share[gram], 0)
+        """Probability of the last byte of each of sorted grams behind the others.  A context's suffixes are in the tree
+        if it is, so what one length lacks is not looked for in the next."""
+        following = codes & np.uint64(255)
+        out, alive = self.root[following.astype(np.intp)], np.arange(len(codes))
+        for k, (own, back, place, share) in enumerate(self.levels, 1):
+            if not len(alive) or not len(own):
+                break
+            context = codes[alive] >> (TOP - BYTE * np.uint64(k))
+            first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+            runs = np.diff(np.append(first, len(context)))
+            at, there = _find(own, context[first])
+            alive, at = alive[np.repeat(there, runs)], np.repeat(at[there], runs[there])
+            gram, known = _find(place, (at.astype(np.uint64) << BYTE) | following[alive])
+            out[alive] = out[alive] * back[at] + np.where(known, share[gram], 0)
+        return out
+
+    def log10(self, codes: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each gram, rounded alike whether it is remembered or not."""
+        if self.memo is None:
+            self.memo = Memo(MEMO)
+        out = np.empty(len(codes), np.float32)
+        left = self.memo.get(codes, out)
+        if len(left):
+            fresh, place = np.unique(codes[left], return_inverse=True)
+            values = np.log10(self.p(fresh)).astype(np.float32)
+            out[left] = values[place]
+            self.memo.put(fresh, values)
         return out
 
     def scores(self, docs: list[list[bytes]]) -> np.ndarray:
         """log10 probability of each document, or of what is this part's own."""
-        data, starts = streams(docs)
-        codes, real = coded(data, starts)
-        owner = np.repeat(np.arange(len(docs)), np.diff(starts) - DEPTH)
-        codes = codes[real]
-        if self.tails is not None:
-            mine = self.tails[((codes >> np.uint64(8)) & np.uint64(65535)).astype(np.intp)]
-            codes, owner = codes[mine], owner[mine]
-        out = np.zeros(len(docs))
-        for at in range(0, len(codes), BLOCK):
-            distinct, place = np.unique(codes[at:at + BLOCK], return_inverse=True)
-            out += np.bincount(owner[at:at + BLOCK], np.log10(self.p(distinct))[place], minlength=len(docs))
-        return out
+        codes, starts = coded(docs)
+        if self.tails is None:
+            return np.add.reduceat(self.log10(codes).astype(np.float64), starts)
+        mine = self.tails[(codes >> (TOP - np.uint64(16))).astype(np.intp)]
+        owner = np.repeat(np.arange(len(docs)), np.diff(np.append(starts, len(codes))))[mine]
+        return np.bincount(owner, self.log10(codes[mine]), minlength=len(docs))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memo": None}
+
+
+def _tail() -> Column:
+    """The last two bytes of a context of at least two."""
+    return F.expr("shiftright(gram, 8 * length - 8)")
 
 
 def parts_of(rows: DataFrame) -> list[np.ndarray | None]:
     """The last two bytes of each part, as a mask; contexts of one byte are in every part."""
-    tails = rows.where("length > 1").groupBy(F.col("context").bitwiseAND(F.lit(65535)).alias("tail")).agg(F.count("*").alias("n")).collect()  # at most 65,536
+    tails = rows.where("length > 1").groupBy(_tail().alias("tail")).agg(F.count("*").alias("n")).collect()  # at most 65,536
     number = -(-sum(r["n"] for r in tails) // PART_ROWS)
     if number < 2:
         return [None]
@@ -274,26 +448,25 @@ def parts_of(rows: DataFrame) -> list[np.ndarray | None]:
 def load(rows: DataFrame, root: dict[int, int], tails: np.ndarray | None) -> Automaton:
     if tails is not None:
         wanted = rows.sparkSession.createDataFrame([(int(t),) for t in np.flatnonzero(tails)], "tail long")
-        longer = rows.where("length > 1").join(F.broadcast(wanted), F.col("context").bitwiseAND(F.lit(65535)) == F.col("tail"), "left_semi")
+        longer = rows.where("length > 1").join(F.broadcast(wanted), _tail() == F.col("tail"), "left_semi")
         rows = rows.where("length = 1").unionByName(longer)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [pa.array([zlib.compress(batch.column(i).to_numpy(zero_copy_only=False).astype(t).tobytes(), 1)], pa.binary()) for i, t in enumerate(PACKED)]
-            yield pa.RecordBatch.from_arrays(packed, names=["length", "context", "next", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(c.to_numpy().astype(t).tobytes(), 1)], pa.binary()) for c, t in zip(batch.columns, PACKED)], names=["length", "gram", "n"])
 
     # arrays are packed in the tasks: the driver holds few bytes a row
-    found = rows.select("length", "context", "next", "n").mapInArrow(pack, "length binary, context binary, next binary, n binary").collect()
+    found = rows.select("length", "gram", "n").mapInArrow(pack, "length binary, gram binary, n binary").collect()
     return Automaton.of(root, *(np.frombuffer(b"".join(zlib.decompress(r[i]) for r in found), t) for i, t in enumerate(PACKED)), tails)
 
 
 @dataclass
 class Model:
-    rows: DataFrame  # length, context, next, n
+    rows: DataFrame  # length, gram, n
     root: dict[int, int]
     parts: list[np.ndarray | None]
     words: DataFrame  # word, n
-    dictionary: dict[bytes, int]
+    dictionary: dict[bytes, float]  # log10 of the count and one
     tokens: int  # N
     kinds: int  # V
     least: int  # words of at least this count are in the dictionary
@@ -305,8 +478,7 @@ class Model:
 
 
 def fit(training: DataFrame, text_col: str = "text") -> Model:
-    counted = spool(corpus_counts(training, F.col(text_col)))
-    words = counted.where("word IS NOT NULL").select("word", "n")
+    words, rows, root = tree(corpus_counts(training, F.col(text_col)))
     tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # the smallest count that no more than DICTIONARY words reach
     common = words.where(F.col("n") >= max(1, tokens // (50 * DICTIONARY)))
@@ -318,8 +490,7 @@ def fit(training: DataFrame, text_col: str = "text") -> Model:
             break
         least = n
     frame = words.where((F.col("n") >= least) | (F.col("word") == F.lit(END))).toPandas()  # the end of texts is always looked up
-    dictionary = dict(zip(map(bytes, frame["word"]), frame["n"].tolist()))
-    rows, root = tree(counted.where("gram IS NOT NULL").select("gram", "n"))
+    dictionary = dict(zip(map(bytes, frame["word"]), np.log10(frame["n"].to_numpy() + 1.0).tolist()))
     return Model(rows, root, parts_of(rows), words, dictionary, tokens, kinds, least)
 
 
@@ -344,13 +515,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, dictionary = shared.value
-        get, logs = dictionary.get, {}
-
-        def log_of(n: int) -> float:
-            if n not in logs:
-                logs[n] = float(np.log10(n + 1))
-            return logs[n]
-
+        get, end = dictionary.get, dictionary.get(END)
         for batch in batches:
             done = 0
             rows = batch.column(len(keep))
@@ -361,14 +526,15 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
                     n_row = rows[done + i].as_py()
                     found = list(map(get, words))
                     rare = Counter(w for w, n in zip(words, found) if n is None) if None in found else {}
-                    found = [n for n in found if n is not None] + [get(END, 0)]
+                    if rare:
+                        found = [n for n in found if n is not None]
                     index.append(done + i)
                     row.append(n_row)
                     key.append(b" %d" % n_row)  # no word has a space: joins with nothing
                     times.append(0)
                     tokens.append(len(words) + 1)
-                    known.append(len(found) - (not get(END, 0)))
-                    sums.append(sum(map(log_of, found)))
+                    known.append(len(found) + (end is not None))
+                    sums.append(sum(found) + (end or 0.0))
                     total.append(float(scores[i]))
                     for w, n in rare.items():
                         index.append(done + i)

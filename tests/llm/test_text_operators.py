@@ -128,7 +128,24 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER)) + ["\n"]
 
 
-def plain_score(automaton, counts, text):
+def plain_contexts(texts):
+    """Next bytes and counts of the contexts that pass the divergence test and of their suffixes, by plain counting."""
+    seen = {}
+    for x in texts:
+        data = b"\n" * lm.DEPTH + " ".join(tokens(x)[:-1]).encode() + b"\n"
+        for i in range(lm.DEPTH, len(data)):
+            for k in range(lm.DEPTH + 1):
+                seen.setdefault(data[i - k:i], Counter())[data[i]] += 1
+    kept = {b""}
+    for context, following in seen.items():
+        n, parent = sum(following.values()), seen[context[1:]]
+        bits = sum(c * math.log2(c / n / (parent[s] / sum(parent.values()))) for s, c in following.items())
+        if context and n >= lm.LEAST and bits >= lm.GAIN:
+            kept |= {context[i:] for i in range(len(context))}
+    return {c: dict(seen[c]) for c in kept}
+
+
+def plain_score(counts, text):
     """Probability by looking for the longest retained suffix at each symbol, smoothed down to the empty context."""
     data = ("\n" * lm.DEPTH + " ".join(tokens(text)[:-1]) + "\n").encode()
     total = sum(counts[b""].values())
@@ -136,9 +153,8 @@ def plain_score(automaton, counts, text):
     def p(context, s):
         if not context:
             return (counts[b""].get(s, 0) + 1) / (total + 257)
-        shorter = next(context[i:] for i in range(1, len(context) + 1) if context[i:] in counts)
         own = counts[context]
-        return (own.get(s, 0) + len(own) * p(shorter, s)) / (sum(own.values()) + len(own))
+        return (own.get(s, 0) + len(own) * p(context[1:], s)) / (sum(own.values()) + len(own))
 
     out = 0.0
     for i in range(lm.DEPTH, len(data)):
@@ -155,22 +171,50 @@ def test_language_model(spark):
     got = {r["doc_id"]: r for r in lm.score(frame(spark, other), model, ["doc_id", "words"]).collect()}
     c = Counter(t for x in train for t in tokens(x))
     assert (model.tokens, model.kinds) == (sum(c.values()), len(c))
-    stream = [b"\n" * lm.DEPTH + " ".join(tokens(x)[:-1]).encode() + b"\n" for x in train]
-    grams = Counter(s[i - lm.DEPTH:i + 1] for s in stream for i in range(lm.DEPTH, len(s)))
-    frame_of = spark.createDataFrame([(int.from_bytes(g, "big"), n) for g, n in grams.items()], "gram long, n long")
-    found = lm.contexts(frame_of)
-    counts = {k: dict(zip(b.tolist(), n.tolist())) for k, (b, n) in found.items()}
-    assert len(counts) > 20
+    counts = plain_contexts(train)
+    assert len(counts) > 20 and lm.contexts(lm.corpus_counts(frame(spark, train).repartition(3), F.col("text"))) == counts
     for i, t in enumerate(other):
         w = tokens(t)
         assert got[i]["n_tokens"] == len(w) and got[i]["n_known"] == sum(c[x] > 0 for x in w)
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (model.tokens + model.kinds + 1)) for x in w))
         if len(w) < 1000:
-            assert got[i]["score"] == pytest.approx(plain_score(model.automaton, counts, t), rel=1e-4)
-    flat = lm.Automaton.build({b"": found[b""]}).scores([lm.words_of(t.encode()) for t in other[:len(texts) - 60]])
+            assert got[i]["score"] == pytest.approx(plain_score(counts, t), rel=1e-5)
+    flat = lm.Automaton.build({b"": counts[b""]}).scores([lm.words_of(t.encode()) for t in other[:len(texts) - 60]])
     assert sum(got[i]["score"] for i in range(len(texts) - 60)) > 0.6 * flat.sum()  # contexts save much
-    p = np.power(10.0, model.automaton.log10.reshape(-1, model.automaton.symbols).astype(float))
-    assert (p[:, 1:].sum(axis=1) < 1 + 1e-5).all()
+    tree = model.automaton
+    for context in list(counts)[:200]:
+        whole = (b"\n" * lm.DEPTH + context)[-lm.DEPTH:][::-1]
+        every = np.array([int.from_bytes(whole + bytes([b]), "big") for b in range(256)], np.uint64)
+        assert tree.p(every).sum() < 1 + 1e-5
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_contexts_stream(rows):
+    """Sorted grams in chunks of any size give the tree of all of them, with what is left for the shorter contexts."""
+    rng = np.random.default_rng(rows)
+    words = [bytes(rng.choice(list(b"abcde"), 5).tolist()) for _ in range(40)]
+    codes, _ = lm.coded([[words[i] for i in rng.integers(0, 40, 300)] for _ in range(6)])
+    codes = np.sort(codes)
+    chunks = [(codes[i:i + rows], np.ones(len(codes[i:i + rows]), np.int64), np.zeros(len(codes[i:i + rows]), bool)) for i in range(0, len(codes), rows)]
+    got = {}
+    for length, (c, n, _) in lm.judged(iter(chunks), lm.DEPTH, 1):
+        for g, x in zip(c.tolist(), n.tolist()):
+            assert (length, g) not in got
+            got[length, g] = x
+    all_at_once = [(codes, np.ones(len(codes), np.int64), np.zeros(len(codes), bool))]
+    want = {(length, g): x for length, (c, n, _) in lm.judged(iter(all_at_once), lm.DEPTH, 1) for g, x in zip(c.tolist(), n.tolist())}
+    assert got == want and len(got) > 300
+
+
+def test_memory_of_grams():
+    rng = np.random.default_rng(0)
+    memo = lm.Memo(1 << 10)  # far too small
+    codes = np.unique(rng.integers(0, 1 << 56, 5000, dtype=np.uint64))
+    memo.put(codes, (codes % np.uint64(1000)).astype(np.float32))
+    out = np.empty(len(codes), np.float32)
+    left = memo.get(codes, out)
+    known = np.setdiff1d(np.arange(len(codes)), left)
+    assert len(known) > 800 and (out[known] == (codes[known] % np.uint64(1000))).all()
 
 
 def test_language_model_rare_words(spark, monkeypatch):
@@ -188,8 +232,8 @@ def test_language_model_rare_words(spark, monkeypatch):
 def test_language_model_keeps_every_context(spark, monkeypatch):
     """More contexts than any fixed number, and rare ones however large the corpus; parts score like the whole tree."""
     pairs = [(a, b) for a in range(60, 200) for b in range(60, 200)]
-    rows = [((a << 16) | (b << 8) | 60 + (a * 31 + b * 17) % 140, 25) for a, b in pairs] + [((1 << 16) | (1 << 8) | 1, 400_000_000)]
-    found = lm.contexts(spark.createDataFrame(rows, "gram long, n long"))
+    rows = [((b << 48) | (a << 40) | 60 + (a * 31 + b * 17) % 140, 25) for a, b in pairs] + [((1 << 48) | (1 << 40) | 1, 400_000_000)]
+    found = lm.contexts(spark.createDataFrame(rows, "gram long, n long").withColumn("word", F.lit(None).cast("binary")))
     assert all(bytes(p) in found for p in pairs)
     rng = np.random.default_rng(8)
     texts = [" ".join(rng.choice(["The", "cat", "sat", "on", "mats", "today", "ünd"], int(n))) for n in rng.integers(0, 60, 60)] + ODD[:4]
