@@ -220,5 +220,27 @@ def test_cover_tree(spark, block):
     assert covertree.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_items_digest():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+def test_dense_blocks_need_bounded_memory():
+    """Two dense blocks have some four million links around the threshold; counts are exact and pairs are never all held."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    x = (np.full((4000, 64), 0.125) + rng.normal(0, 0.024, (4000, 64))).astype(np.float32)
+    blocks = [covertree.nets(covertree.unit(part)) for part in (x[:2000], x[2000:])]
+    table = pa.table({
+        "first": pa.array(np.arange(4000) < 2000), "class": pa.array(np.arange(4000)), "weight": pa.array(1 + np.arange(4000) % 3),
+        "place": pa.array(np.tile(np.arange(2000, dtype=np.int32), 2)), "vector": pa.array(list(x)), "nets": pa.array(list(np.concatenate(blocks).astype(np.int32))),
+    })
+    order = pa.array(rng.permutation(4000))  # rows reach a task in any order
+    tracemalloc.start()
+    got = covertree.block_pair(table.take(order), 0.95).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    unit = covertree.unit(x)
+    hit, weight = unit[:2000] @ unit[2000:].T >= 0.95, 1 + np.arange(4000) % 3
+    want = np.concatenate((hit @ weight[2000:], weight[:2000] @ hit))
+    assert hit.sum() > 2_000_000 and peak < 150e6
+    assert {r["a"]: r["n"] for r in got if r["b"] is None} == {i: n for i, n in enumerate(want.tolist()) if n}
+    assert components(4000, [(r["a"], r["b"]) for r in got if r["n"] is None]) == components(4000, [(0, 2000 + int(j)) for j in np.flatnonzero(hit[0])] + [(int(i), 2000 + int(np.flatnonzero(hit[i])[0])) for i in range(2000) if hit[i].any()] + [(int(np.flatnonzero(hit[:, j])[0]), 2000 + int(j)) for j in range(2000) if hit[:, j].any()])
