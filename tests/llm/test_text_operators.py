@@ -303,11 +303,22 @@ def test_later_patterns_find_more(spark):
 def test_patterns_may_touch(spark):
     """A pattern without a blank before the entity counts where longer words begin with it."""
     texts = [f"x tel:+49 30 1234{i:02d} y" for i in range(6)] + [f"see mail:a{i}@b.c, +49 30 9999{i:02d} too" for i in range(4)]
-    texts += ["x tel:(555) 010-1234 y", "see mail:e (at) b.c too", "x of(555) 010-4321 y", *[f"of+49 30 7777{i:02d}" for i in range(3)], *["often offered"] * 9]
+    texts += ["x tel:(555) 010-1234 y", "see mail:e (at) b.c too", "x of(555) 010-4321 z", *[f"of+49 30 7777{i:02d}" for i in range(3)], *["often offered"] * 9]
     got = {r["doc_id"]: r["spans"] for r in pii.summary(frame(spark, texts)).collect()}
     assert got[10] == "phone:6:20" and got[11] == "email:9:19" and got[12] == ""
 
 
+def test_what_follows_is_a_pattern_too(spark):
+    texts = [f"w{i} +49 30 1234{i:02d} (direct line)" for i in range(5)] + [f"u{i} a{i}@b.cd/home" for i in range(4)]
+    texts += ["v (555) 010-1234 (direct line)", "v e (at) b.cd/home", "v (555) 010-4321 elsewhere"]
+    docs = frame(spark, texts).withColumnsRenamed({"kind": "base_email", "row": "_base_ip", "words": "_extra"})
+    got = {r["doc_id"]: r["spans"] for r in pii.summary(docs).collect()}
+    assert [got[i] for i in range(9, 12)] == ["phone:2:16", "email:2:13", ""]
+    clean = pii.redact(docs)
+    assert clean.columns == docs.columns and {r["doc_id"]: r["text"] for r in clean.collect()}[9] == "v <PHONE> (direct line)"
+    assert {r["base_email"] for r in clean.collect()} == {1}
+
+
 def test_cards_and_addresses_are_discovered(spark):
     """Loose cards and addresses behind a confident pattern are found; without one, or with wrong digits, they are not."""
     cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881", "4222 2222 2222 2222"]
