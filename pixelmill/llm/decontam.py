@@ -1,9 +1,10 @@
 """Benchmark decontamination: a broadcast set of benchmark n-grams, token windows of the documents, exact verification.
 
 Documents are cut into words once.  A window is a candidate if the hash of its first and last word is in a bitmap
-(a constant made from the benchmark); candidates carry their whole n-gram and are joined with the set on string equality,
-so hits are exact.  The set is broadcast behind a check of its size; beyond the bound it is joined by a shuffle and
-beyond the bitmap's bound every window is a candidate.  Nothing but ids and candidates is shuffled.
+(a constant made from the benchmark, of a bounded size); candidates carry their whole n-gram and are joined with the set
+on string equality, so hits are exact.  The set is broadcast behind a check of its size; beyond the bound the candidates
+are joined with it by a shuffle.  A benchmark of any size gets a bitmap: beyond MAX_BITS / 8 windows it is denser and
+lets more candidates through, that is all.  Nothing but ids and candidates is shuffled.
 
 Defined cases: a null text has no words; an item of fewer than n words, but not none, is one window; an item without an
 id marks words but is not listed; repeated rows are judged each for itself; empty tables give empty or clean results;
@@ -21,8 +22,8 @@ N = 13
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A word before A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Most windows of the benchmark that are broadcast, and most that the bitmap is made from.
-MAX_BROADCAST, MAX_BITMAP = 2_000_000, 100_000
+#: Most windows of the benchmark that are broadcast, and most bits of the bitmap (a power of two).
+MAX_BROADCAST, MAX_BITS = 2_000_000, 1 << 26
 
 
 def words_of(text: Column) -> Column:
@@ -42,28 +43,31 @@ def benchmark_windows(items: DataFrame, n: int = N, id_col: str = "item_id", tex
     return flat.groupBy("gram", "k", "ends").agg(F.collect_set("item_id").alias("items"))
 
 
-def _bitmap(hashes: list[int]) -> tuple[Column, int]:
+def _bitmap(windows: DataFrame, count: int) -> tuple[Column, int]:
+    """A bit for each hash of ends, 32 bits a window as long as MAX_BITS allows; its cells of 64 bits reach the driver."""
     bits = 1024
-    while bits < 32 * len(hashes):
+    while bits < 32 * count and bits < MAX_BITS:
         bits *= 2
+    at = F.col("ends").bitwiseAND(F.lit(bits - 1))
+    set_ = F.expr("1L").alias("one")
+    words = windows.select(F.shiftright(at, 6).cast("int").alias("cell"), at.bitwiseAND(F.lit(63)).cast("int").alias("place"), set_)
+    found = words.groupBy("cell").agg(F.bit_or(F.call_function("shiftleft", "one", "place")).alias("word"))
     cells = [0] * (bits // 64)
-    for h in hashes:
-        at = h & (bits - 1)
-        cells[at >> 6] |= 1 << (at & 63)
-    return literal_array([c - (1 << 64) if c >> 63 else c for c in cells], "long"), bits
+    for r in found.collect():
+        cells[r["cell"]] = r["word"]
+    return literal_array(cells, "long"), bits
 
 
-def _candidates(words: Column, k: int, bitmap: tuple[Column, int] | None) -> Column:
+def _candidates(words: Column, k: int, bitmap: tuple[Column, int]) -> Column:
     """pos, k, gram of the windows of k words that may be in the set."""
     starts = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
-    if bitmap is not None:
-        cells, bits = bitmap
+    cells, bits = bitmap
 
-        def maybe(i: Column) -> Column:
-            at = F.xxhash64(F.get(words, i), F.get(words, i + (k - 1)), F.lit(k)).bitwiseAND(F.lit(bits - 1)).cast("int")
-            return F.expr("1L").bitwiseAND(F.call_function("shiftright", F.get(cells, F.shiftright(at, 6)), at.bitwiseAND(F.lit(63)))) == 1
+    def maybe(i: Column) -> Column:
+        at = F.xxhash64(F.get(words, i), F.get(words, i + (k - 1)), F.lit(k)).bitwiseAND(F.lit(bits - 1)).cast("int")
+        return F.expr("1L").bitwiseAND(F.call_function("shiftright", F.get(cells, F.shiftright(at, 6)), at.bitwiseAND(F.lit(63)))) == 1
 
-        starts = F.filter(starts, maybe)
+    starts = F.filter(starts, maybe)
     return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(k).alias("k"), gram_at(words, i, k).alias("gram")))
 
 
@@ -72,7 +76,7 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = N, id_col: str = "doc_
     windows = spool(benchmark_windows(items, n))
     count = windows.count()
     lengths = [r[0] for r in windows.select("k").distinct().collect()]  # n at most
-    bitmap = _bitmap([r[0] for r in windows.select("ends").distinct().collect()]) if count <= MAX_BITMAP else None
+    bitmap = _bitmap(windows, count)
     rows = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
     none = F.array().cast("array<struct<pos:int,k:int,gram:string>>")
     found = F.concat(none, *(_candidates(F.col("words"), k, bitmap) for k in sorted(lengths)))

@@ -1,11 +1,12 @@
 """SimHash near-duplicates by vantage-point trees over 64-bit fingerprints.
 
-Documents become fingerprints (one pass, no shuffle of texts); equal fingerprints collapse to one.  Vantage points cut
-the Hamming space into cells by distance bands; the triangle bound says which neighbouring cells a fingerprint's
-partners can be in, and it visits those of them that come before its own, so each pair of cells meets once.  The
-number of vantage points follows the measured size of the largest cell.  Inside a cell a vantage-point tree is
-traversed by all its queries at once, pruned by the same bound; leaves are compared exactly.  A cell returns a
-spanning forest of its links, never all pairs; components are then found by DataFrame rounds.
+Documents become fingerprints (one pass, no shuffle of texts); equal fingerprints collapse to one.  The upper levels of
+a vantage-point tree are built by DataFrame rounds: only a cell of too many rows is cut, by the distance from a vantage
+point of its own, at the quartiles.  The triangle bound says which parts a fingerprint's partners can be in; it visits
+those of them that come before its own, so each pair of parts meets once.  A cell that a vantage point does not divide
+stays whole, which takes longer but loses nothing.  Inside a cell a vantage-point tree is traversed by all its queries at
+once, pruned by the same bound; leaves are compared exactly.  A cell returns a spanning forest of its links, never all
+pairs; components are then found by DataFrame rounds.
 
 Defined cases: a null or empty text has fingerprint 0 and links like any other; repeated rows share a component; an
 empty table gives an empty result; null ids are kept as rows and never name a component that has another id.
@@ -18,17 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, fresh, spool
 from .components import connected_components, forest
 
 SHINGLE, SEED, BITS = 3, 42, 2
-#: Width of a distance band; a partner within 2 bits is in the same band or the one next to it.
-BAND = 4
-#: A cell's rows (8 bytes each) aimed at, and the most vantage points used for it.
-CELL_ROWS, MAX_VANTAGES = 40_000, 10
+#: Rows of a cell (8 bytes each) from which it is cut, and the share of them that a part may keep to be cut again.
+CELL_ROWS, STUCK = 40_000, 0.8
 #: Rows of a tree's leaf.
 LEAF = 256
 #: Most rows to drop whose numbers are broadcast; beyond it they are joined by a shuffle.
@@ -67,37 +66,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} {kind}, fp long")
 
 
-def vantage(k: int) -> int:
-    return xxhash.xxh64_intdigest(f"vantage {k}".encode(), SEED)
-
-
 def distances(a: np.ndarray, point: int) -> np.ndarray:
     return np.bitwise_count(a ^ np.uint64(point)).astype(np.int16)
 
 
-def cells_of(fps: np.ndarray, vantages: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """cell, row, home: each fingerprint's own cell, and the earlier cells within reach of the triangle bound."""
-    home = np.zeros(len(fps), dtype=np.int64)
-    cells, rows = [home], [np.arange(len(fps))]
-    scale = 64 // BAND + 1
-    for k in range(vantages):
-        d = distances(fps, vantage(k)).astype(np.int64)
-        band, place = d // BAND, d % BAND
-        grown_cells, grown_rows = [], []
-        for cell, row in zip(cells, rows):
-            grown_cells.append(cell * scale + band[row])
-            grown_rows.append(row)
-            for step, near in ((-1, place[row] < bits), (1, place[row] >= BAND - bits)):
-                moved = near & (band[row] + step >= 0) & (band[row] + step < scale)
-                grown_cells.append(cell[moved] * scale + band[row][moved] + step)
-                grown_rows.append(row[moved])
-        cells, rows = [np.concatenate(grown_cells)], [np.concatenate(grown_rows)]
-        home = home * scale + band
-    cell, row = cells[0], rows[0]
-    keep = cell <= home[row]
-    return cell[keep], row[keep], (cell == home[row])[keep]
-
-
 def tree_links(points: np.ndarray, queries: np.ndarray, bits: int = BITS, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links between points and queries (points are among the queries), by a vantage-point tree that is
     built and traversed at once: a query goes to the inner or outer side only if the triangle bound lets it."""
@@ -143,30 +115,46 @@ def tree_links(points: np.ndarray, queries: np.ndarray, bits: int = BITS, leaf:
     return forest(np.concatenate(found_a), np.concatenate(found_b))
 
 
-def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
-    """distinct: fp long, each once.  a, b: links that connect exactly what all pairs within `bits` connect."""
+def _cut(placed: DataFrame, large: DataFrame, bits: int) -> DataFrame:
+    """The rows of large cells (cell, vantage, n) in the parts that they belong to (home) or must visit."""
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))
+    far = placed.join(F.broadcast(large), "cell").withColumn("apart", apart)  # a cell for each CELL_ROWS rows, at most
+    spread = far.groupBy("cell", "apart").agg(F.count("*").alias("rows"))
+    edges = spread.groupBy("cell").agg(F.array_distinct(F.expr("percentile(apart, array(0.25, 0.5, 0.75), rows)")).alias("edges"))
 
-    def place(vantages: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                cell, row, home = cells_of(fps, vantages, bits)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fps[row].view(np.int64)), pa.array(home)], names=["cell", "fp", "home"])
-        return run
+    def part(distance: Column) -> Column:
+        return F.size(F.filter("edges", lambda e: e < distance))
 
+    # what is at home here meets the parts before its own, a visitor all that are within reach
+    last = part(F.col("apart") + F.when(F.col("home"), F.lit(0)).otherwise(F.lit(bits)))
+    parts = far.join(F.broadcast(edges), "cell").withColumns({"own": part(F.col("apart")), "part": F.explode(F.sequence(part(F.col("apart") - bits), last))})
+    return parts.select(F.xxhash64("cell", "part").alias("cell"), "fp", (F.col("home") & (F.col("part") == F.col("own"))).alias("home"), F.col("n").alias("above"))
+
+
+def cells(distinct: DataFrame, bits: int = BITS) -> DataFrame:
+    """cell, fp, home: each fingerprint in its own cell, and as a visitor in those that the triangle bound leaves."""
+    placed = distinct.select(F.lit(0).cast("long").alias("cell"), "fp", F.lit(True).alias("home"), F.lit(None).cast("long").alias("above"))
+    done = None
+    while True:
+        first = F.min(F.struct(F.xxhash64("cell", "fp").alias("h"), "fp"))
+        sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("above").alias("above"), first.getField("fp").alias("vantage"))
+        large = spool(sizes.where((F.col("n") > CELL_ROWS) & (F.col("above").isNull() | (F.col("n") <= STUCK * F.col("above")))).select("cell", "vantage", "n"))
+        if not large.count():
+            return placed.drop("above") if done is None else done.unionByName(placed.drop("above"))
+        rest = placed.join(F.broadcast(large.select("cell")), "cell", "left_anti").select("cell", "fp", "home")
+        done = rest if done is None else done.unionByName(rest)
+        placed = spool(_cut(placed, large, bits))
+
+
+def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
+    """distinct: fp long, each once.  a, b: links that connect exactly what all pairs within `bits` connect."""
     def within(table: pa.Table) -> pa.Table:
         fps = table.column("fp").to_numpy().view(np.uint64)
         home = table.column("home").to_numpy()
         a, b = tree_links(fps[home], fps, bits)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    n, vantages = distinct.count(), 0
-    while n > CELL_ROWS and vantages < MAX_VANTAGES:  # the largest cell is measured, not guessed
-        vantages += 1
-        band = [F.floor(F.bit_count(F.col("fp").bitwiseXOR(F.lit(vantage(k) - (1 << 64) if vantage(k) >> 63 else vantage(k)))) / BAND) for k in range(vantages)]
-        n = distinct.groupBy(*band).count().agg(F.max("count")).first()[0]
-    placed = distinct.mapInArrow(place(vantages), "cell long, fp long, home boolean")
-    return placed.groupBy("cell").applyInArrow(within, "a long, b long")
+    return cells(distinct, bits).groupBy("cell").applyInArrow(within, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
