@@ -122,12 +122,25 @@ def test_decontamination(spark):
 def test_decontamination_beyond_the_bounds(spark, monkeypatch):
     docs, items = decontamination_case()
     monkeypatch.setattr(decontam, "MAX_BROADCAST", 0)
-    monkeypatch.setattr(decontam, "MAX_BITMAP", 0)
+    monkeypatch.setattr(decontam, "MAX_BITS", 64)
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = sorted((r["id"], r["n_words"], r["n_hit"], ",".join(r["item_ids"])) for r in decontam.find_hits(d, b).collect())
     assert got == sorted((i, *brute_hits(t, items)[:3]) for i, t in docs)
 
 
+def test_large_benchmarks_leave_few_candidates(spark):
+    """More windows than a plain constant would take: only windows whose ends the benchmark has become candidates."""
+    items = spark.range(20_000).select(F.col("id").alias("item_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: F.concat(F.lit("w"), F.col("id"), F.lit("x"), i.cast("string")))).alias("text"))
+    windows = decontam.benchmark_windows(items)
+    assert windows.count() == 13 * 20_000
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat(F.lit("y"), F.col("id"), F.lit("x"), i.cast("string")))).alias("text"))
+    some = docs.select("doc_id", F.concat("text", F.lit(" "), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: F.concat(F.lit("w"), F.col("doc_id"), F.lit("x"), i.cast("string"))))).alias("text"))
+    bitmap = decontam._bitmap(windows, 13 * 20_000)
+    candidates = docs.select(F.size(decontam._candidates(decontam.words_of(F.col("text")), 13, bitmap)).alias("n")).agg(F.sum("n")).first()[0]
+    assert candidates < 0.1 * 50 * 988
+    assert [r["n_hit"] for r in decontam.find_hits(some, items).collect()] == [25] * 50
+
+
 # ---- SimHash -----------------------------------------------------------------------------------------------------------------
 
 def brute_fingerprint(text):
@@ -156,21 +169,35 @@ def test_simhash(spark, monkeypatch):
     assert simhash.near_duplicates(twice).count() == 2 * len(texts) and simhash.keep_one(twice).count() == len(set(label))
 
 
-@pytest.mark.parametrize("vantages", [0, 1, 3])
-def test_vantage_cells_lose_no_pair(vantages):
-    rng = np.random.default_rng(vantages)
+@pytest.mark.parametrize("rows", [30, 200, 5000])
+def test_vantage_cells_lose_no_pair(spark, monkeypatch, rows):
+    rng = np.random.default_rng(rows)
     seeds = rng.integers(0, 2**63, 120, dtype=np.uint64)
     fps = np.unique(np.concatenate([seeds] + [seeds ^ np.uint64(1 << int(b)) for b in rng.integers(0, 64, 4)] + [seeds ^ np.uint64((1 << int(a)) ^ (1 << int(b))) for a, b in rng.integers(0, 64, (5, 2))]))
     apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
     want = components(len(fps), [(i, j) for i, j in zip(*np.nonzero(apart <= 2)) if i != j])
-    cell, row, home = simhash.cells_of(fps, vantages)
+    monkeypatch.setattr(simhash, "CELL_ROWS", rows)
+    placed = simhash.cells(spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long")).toPandas()
     found = []
-    for c in np.unique(cell):
-        mine = cell == c
-        a, b = simhash.tree_links(fps[row[mine & home]], fps[row[mine]], leaf=8)
+    for _, mine in placed.groupby("cell"):
+        every = mine["fp"].to_numpy().view(np.uint64)
+        a, b = simhash.tree_links(every[mine["home"].to_numpy(bool)], every, leaf=8)
         found += [(int(np.searchsorted(fps, x)), int(np.searchsorted(fps, y))) for x, y in zip(a, b)]
     assert components(len(fps), found) == want
-    assert np.bincount(row[home], minlength=len(fps)).tolist() == [1] * len(fps)
+    assert sorted(placed[placed["home"]]["fp"]) == sorted(fps.view(np.int64).tolist())
+    assert (placed["cell"].nunique() > 1) == (rows < len(fps))
+
+
+def test_only_overfull_cells_are_cut(spark, monkeypatch):
+    """A dense cluster is cut for itself: the other fingerprints keep few copies."""
+    rng = np.random.default_rng(3)
+    loose = rng.integers(0, 2**63, 2000, dtype=np.uint64)
+    dense = np.unique(np.uint64(0x123456789ABCDEF) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (6000, 6)).astype(np.uint64), axis=1))
+    monkeypatch.setattr(simhash, "CELL_ROWS", 500)
+    rows = [(int(v), False) for v in loose.view(np.int64)] + [(int(v), True) for v in dense.view(np.int64)]
+    frame = spark.createDataFrame(rows, "fp long, dense boolean")
+    copies = {r["dense"]: r["n"] for r in simhash.cells(frame.select("fp")).join(frame, "fp").groupBy("dense").agg((F.count("*") / F.countDistinct("fp")).alias("n")).collect()}
+    assert copies[False] < 6
 
 
 def test_links_with_many_cells(spark, monkeypatch):
