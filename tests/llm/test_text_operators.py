@@ -104,14 +104,17 @@ def test_tokens_as_the_library(spark):
     rng = np.random.default_rng(1)
     alphabet = list("aab'sre tll \n\t  \x85\x1c\x1fé中1２²Ⅷ!?_-$'d🙂𝟗")
     texts = ["".join(rng.choice(alphabet, int(n))) for n in rng.integers(0, 250, 300)] + ["a" * 500 + " " * 300 + "b", "'ll" * 50, " '" * 90]
-    base = bpe.Codec(ranks, find, P.PATTERN)
+    base = bpe.Codec(ranks, find)
     for chunk, overlap in ((1 << 16, 1 << 10), (16, 8), (9, 4), (40, 5)):
-        codec = bpe.Codec(ranks, find, P.PATTERN, chunk, overlap)
+        codec = bpe.Codec(ranks, find, chunk, overlap)
         codec.ids_of = base.ids_of
         for t in texts:
             ids = codec.encode(t)
             assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(t)
             assert codec.decode(ids) == t.encode()
+            starts = range(0, max(1, len(t) - overlap), chunk)
+            parts = [(t[s:] if s == starts[-1] else t[s:s + chunk], *codec.chunk_of(t[s:s + chunk + overlap], s == starts[-1])) for s in starts]
+            assert codec.stitched(parts) == ids
     docs = frame(spark, ODD)
     got = {r["doc_id"]: r for r in bpe.digests(docs, PATH, P.PATTERN, ["doc_id", "words"]).collect()}
     for i, t in enumerate(ODD):
@@ -122,6 +125,30 @@ def test_tokens_as_the_library(spark):
     assert bpe.digests(docs.limit(0), PATH, P.PATTERN, ["doc_id"]).count() == 0
 
 
+def test_every_code_point_splits_as_in_the_library():
+    ranks = bpe.load_ranks(PATH)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(ranks, bpe.finder(P.PATTERN))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        text = "".join(f"a{c}a1{c} " for c in points[at:at + 4096])
+        assert codec.encode(text) == np.array(library.encode_ordinary(text), "<u4").tobytes(), hex(at)
+
+
+def test_chunks_of_long_texts_are_rows(spark, monkeypatch):
+    """Long texts are cut into rows, encoded apart and stitched; a run without a boundary is gone through in one task."""
+    monkeypatch.setattr(bpe, "CHUNK", 40)
+    monkeypatch.setattr(bpe, "OVERLAP", 12)
+    ranks = bpe.load_ranks(PATH)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["one", "Straße", "12", "don't", "??", "\n\n", "🙂"], int(n))) for n in rng.integers(0, 90, 60)] + ["x" * 500, "a b " * 40 + "y" * 200 + " c" * 50, None]
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: r for r in bpe.encode(docs, PATH, P.PATTERN, ["doc_id", "words"]).collect()}
+    assert len(got) == len(texts) and all(got[i]["ids"] == library.encode_ordinary(t or "") for i, t in enumerate(texts))
+    assert {r["doc_id"] for r in bpe.digests(docs, PATH, P.PATTERN, ["doc_id"]).collect()} == set(range(len(texts)))
+
+
 # ---- language model --------------------------------------------------------------------------------------------------------------
 
 def tokens(text):
