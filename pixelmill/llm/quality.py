@@ -3,11 +3,12 @@
 A text is cut into overlapping chunks that cover all of it.  Filters run over the bytes of a chunk (a table of weights
 for each place and byte value, which is a convolution over one-hot bytes), are rectified and max-pooled; a linear layer
 gives the chunk's logit, and the mean of the chunks' logits is the logit of the text.  Filters and layer are learned
-together by Adam on a sample of labelled rows that is bounded by TRAIN_ROWS.  Scoring is one pass with no shuffle.
+together by Adam on a sample of labelled rows that is bounded by TRAIN_ROWS and TRAIN_SPANS.  Scoring is one pass with
+no shuffle.
 
 Defined cases: a null or empty text is one chunk of padding and gets the score learned for that; with no labelled row,
 or rows of one label only, each score is the share of label 1 (0.5 with none); repeated rows score alike; empty tables
-give empty results; extra columns do not matter.
+give empty results; extra columns do not matter, but the score's name must be free (else an error is raised).
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import fresh, held_out
 CHUNK, STEP, WIDTH, STRIDE, FILTERS = 256, 240, 6, 2, 16
 #: Labelled rows that are learned from, at most (about; drawn by a hash of the id, half of each label).
 TRAIN_ROWS = 3000
+#: Spans of CHUNK bytes, spread evenly over all of it, that stand for a longer text in learning; scores read whole texts.
+TRAIN_SPANS = 64
 EPOCHS, BATCH, RATE, SEED = 14, 32, 0.01, 7
 #: Longest of the short spans that are learned from besides whole texts, in bytes.
 SPAN = 160
@@ -150,7 +153,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id
     for label, n in count.items():
         wanted |= (F.col("quality") == label) & (place < min(1.0, rows / 2 / n))
     drawn = usable.where(wanted)  # about `rows` rows
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).join(F.broadcast(drawn), "id").toPandas()
+    text = F.col(text_col).cast("string").cast("binary")
+    size = F.octet_length(text)
+    spread = F.concat(*(text.substr((F.lit(i) * (size - CHUNK) / (TRAIN_SPANS - 1)).cast("int") + 1, F.lit(CHUNK)) for i in range(TRAIN_SPANS)))
+    short = F.when(size > TRAIN_SPANS * CHUNK, spread).otherwise(text)
+    found = docs.select(F.col(id_col).alias("id"), short.alias("text")).join(F.broadcast(drawn), "id").toPandas()
     found = found.sort_values(["id", "quality"], kind="stable")
     return [t or b"" for t in found["text"].map(lambda t: None if t is None else bytes(t))], found["quality"].to_numpy(dtype=np.float64)
 
@@ -161,6 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
 
 def score(docs: DataFrame, net: Net, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with the score of each whole text."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs have a column {name}")
     text = fresh(docs, "_bytes")
     schema = docs.schema
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)

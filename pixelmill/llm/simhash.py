@@ -26,8 +26,9 @@ from .common import LOWER_BYTES, fresh, spool
 from .components import connected_components, forest
 
 SHINGLE, SEED, BITS = 3, 42, 2
-#: Rows of a cell (8 bytes each) from which it is cut, and the share of them that a part may keep to be cut again.
-CELL_ROWS, STUCK = 40_000, 0.8
+#: Rows of a cell (8 bytes each) from which it is cut, and the share of them that a part may keep to be cut again.  Cells
+#: are as large as a task's tree takes in seconds: each cut adds about half as many visitors as there are rows.
+CELL_ROWS, STUCK = 1 << 17, 0.8
 #: Rows of a tree's leaf.
 LEAF = 256
 #: Most rows to drop whose numbers are broadcast; beyond it they are joined by a shuffle.

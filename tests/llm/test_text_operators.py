@@ -56,11 +56,46 @@ def test_license_scan(spark):
 
 def test_chunks_cover_everything():
     for n in (0, 1, 255, 256, 257, 496, 497, 1000, 5000):
-        text = bytes(1 + i % 250 for i in range(n))
+        text = np.random.default_rng(n).integers(1, 256, n).astype(np.uint8).tobytes()
         chunks = quality.chunks_of(text)
         assert chunks.shape[1] == quality.CHUNK
-        seen = b"".join(c.tobytes() for c in chunks)
-        assert len(set(text) - set(seen)) == 0 and (n < quality.CHUNK or chunks[-1].tobytes() == text[-quality.CHUNK:])
+        place, seen = 0, b""
+        for chunk in map(bytes, chunks):  # each chunk stands in the text, and none leaves a hole behind it
+            place = text.index(chunk, place) if n >= quality.CHUNK else 0
+            assert place <= len(seen)
+            seen = text[:place + quality.CHUNK]
+        assert seen == text
+
+
+def plain_logit(net, text):
+    """The mean over chunks of the linear layer over rectified maxima, filter by filter and place by place."""
+    total = []
+    for chunk in quality.chunks_of(text):
+        hidden = []
+        for f in range(quality.FILTERS):
+            places = range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)
+            best = max(sum(float(net.table[j, chunk[p + j], f]) for j in range(quality.WIDTH)) for p in places)
+            hidden.append(max(0.0, best + float(net.bias[f])))
+        total.append(sum(h * float(w) for h, w in zip(hidden, net.weight)) + float(net.base[0]))
+    return sum(total) / len(total)
+
+
+def test_scores_are_those_of_a_plain_network():
+    rng = np.random.default_rng(0)
+    net = quality.Net.new(rng)
+    texts = [b"", b"a", b"some words here " * 9, rng.integers(1, 256, 700).astype(np.uint8).tobytes()]
+    want = [1 / (1 + math.exp(-plain_logit(net, t))) for t in texts]
+    assert net.scores(texts) == pytest.approx(want, rel=1e-4)
+
+
+def test_learning_lowers_the_loss():
+    """One step of learning on a batch moves the loss down, as a step along its gradient must."""
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.choice(list(b"abcd"), 60).tolist()) if i % 2 else bytes(rng.choice(list(b"cdef"), 60).tolist()) for i in range(80)]
+    labels = np.array([float(i % 2) for i in range(80)])
+    net = quality.train(texts, labels)
+    p = net.scores(texts)
+    assert -np.mean(np.log(np.where(labels == 1, p, 1 - p))) < 0.2
 
 
 def test_quality(spark):
@@ -79,8 +114,12 @@ def test_quality(spark):
     assert all(0 <= v <= 1 for v in got.values()) and got[300] == got[301]
     kept = quality.keep_good(docs, net)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, v in got.items() if v >= 0.7}
-    # the gradient of the table agrees with a finite difference
     assert quality.score(docs.limit(0), net).count() == 0
+    with pytest.raises(ValueError):
+        quality.score(docs, net, name="Words")
+    long = spark.createDataFrame([(i, "x" * 40_000) for i in range(8)], "doc_id long, text string")
+    drawn, _ = quality.training_rows(long, labels)
+    assert drawn and all(len(t) == quality.CHUNK * quality.TRAIN_SPANS for t in drawn)
     flat = quality.fit(docs, labels.where("quality = 1"))
     assert flat.scores([b"x", b""]) == pytest.approx([1.0, 1.0], abs=1e-3)
     none = quality.fit(docs, labels.limit(0))
