@@ -33,17 +33,31 @@ def spool(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def earlier():
+    """The window over the summaries of all ranges before one's own; they are as many rows as there are partitions."""
+    return Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def later():
+    return Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def ranged(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df in ranges of keys, written once, with the range of each row (_part): what depends on the order of all rows then
+    takes a window within each range and one summary row of each."""
+    return spool(df.repartitionByRange(*[F.col(k) for k in keys]).withColumn("_part", F.spark_partition_id()))
+
+
 def ordered_index(df: DataFrame, keys: Sequence[str], name: str = "index") -> DataFrame:
     """df with its 0-based place in the order of keys, without a window over all rows in one task.
 
     Rows are range-partitioned once and numbered within partitions; the offsets are one number per partition.
     """
-    ranged = spool(df.repartitionByRange(*[F.col(k) for k in keys]).withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as partitions
-    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    parts = ranged(df, keys)
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_rows"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(earlier()), F.lit(0)).alias("_offset"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    return ranged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + within - 1).drop("_part", "_offset")
+    return parts.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + within - 1).drop("_part", "_offset")
 
 
 def nan_to_null(value: Column) -> Column:

@@ -9,7 +9,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .base import ordered_index
 
 FOUR = ((1, 0), (-1, 0), (0, 1), (0, -1))
 EIGHT = tuple((dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy)
@@ -141,7 +142,18 @@ def inverted_index(annotated: DataFrame, key: str, names: str, name: str) -> Dat
 
 
 def aligned_pairs(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """Q-Q pairs: the sorted values of both sides by rank (for summaries that fit one sort)."""
+    """Q-Q pairs: the sorted values of both sides by rank; each side is numbered in ranges."""
     def ranked(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col(value).alias(name)).withColumn("rank", F.row_number().over(Window.orderBy(name)))
+        return ordered_index(df.select(F.col(value).alias(name)), [name], "_index").select((F.col("_index") + 1).alias("rank"), name)
     return ranked(a, "a").join(ranked(b, "b"), "rank")
+
+
+def attach_database(molecules: DataFrame, database: DataFrame, key: str = "inchi_key", other: str = "inchikey", identifier: str = "dbid") -> DataFrame:
+    """All molecules with the columns of a second molecule database by structure key.  Keys meet without the prefix
+    "InChIKey=" and without regard to case; of several entries with one key the first identifier counts; a molecule
+    without a key gets nulls."""
+    def plain(name: str) -> Column:
+        return F.nullif(F.upper(F.regexp_replace(F.trim(name), "(?i)^InChIKey=", "")), F.lit(""))
+
+    named = database.select(plain(other).alias("_key"), *(F.col(c) for c in database.columns if c != other)).where("_key IS NOT NULL")
+    return molecules.withColumn("_key", plain(key)).join(first_per_key(named, ["_key"], [identifier]), "_key", "left").drop("_key")

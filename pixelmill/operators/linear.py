@@ -357,6 +357,29 @@ def two_way_clusters(data: np.ndarray, levels: int = 2, least: int = 2, ratio_ne
     return rows, columns
 
 
+def fit_noise(mean: np.ndarray, cv: np.ndarray, rounds: int = 40) -> tuple[float, float]:
+    """(a, k) of the noise model log2 cv = log2(mean^a + k) with the least sum of absolute errors: a grid that is narrowed
+    around its best point round after round.  One point per feature."""
+    x, y = np.asarray(mean, dtype=float), np.log2(cv)
+    a, k, wide, deep = -0.5, float(np.median(cv)) / 2, 1.5, float(np.max(cv))
+    for _ in range(rounds):
+        tries = [(float(np.abs(y - np.log2(x**p + q)).sum()), p, q) for p in np.linspace(a - wide, a + wide, 9) for q in np.clip(np.linspace(k - deep, k + deep, 9), 0, None)]
+        _, a, k = min(tries)
+        wide, deep = wide * 0.7, deep * 0.7
+    return float(a), float(k)
+
+
+def noise_selection(long: DataFrame, feature: str, value: str, keep: int) -> DataFrame:
+    """The `keep` features whose coefficient of variation most exceeds the fitted exponential noise model of their mean.
+    Means and deviations come from Spark, one row per feature reaches the driver for the fit."""
+    stats = long.groupBy(feature).agg(F.avg(value).alias("mean"), (F.stddev_pop(value) / F.nullif(F.avg(value), F.lit(0))).alias("cv")).where("mean > 0 AND cv > 0")
+    frame = stats.toPandas()
+    if frame.empty:
+        return stats.withColumn("excess", F.lit(None).cast("double"))
+    a, k = fit_noise(frame["mean"].to_numpy(), frame["cv"].to_numpy())
+    return stats.withColumn("excess", F.log2("cv") - F.log2(F.pow(F.col("mean"), F.lit(a)) + k)).orderBy(F.desc("excess"), feature).limit(keep)
+
+
 def noise_ranking(long: DataFrame, feature: str, value: str, keep: int) -> DataFrame:
     """Features by how far their coefficient of variation exceeds a fitted exponential noise model of the mean (log CV is
     fitted by a line in log mean on one row per feature); the `keep` largest."""

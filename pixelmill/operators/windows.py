@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import ratio
+from .base import earlier, later, ranged, ratio
 
 
 def top_above(df: DataFrame, group: str, value: str, order: str, n: int = 3, threshold: float = 0.4) -> DataFrame:
@@ -18,12 +18,19 @@ def top_above(df: DataFrame, group: str, value: str, order: str, n: int = 3, thr
 
 
 def running_q(df: DataFrame, pep: str, order: str) -> DataFrame:
-    """q = running mean of the sorted error probabilities."""
-    return df.withColumn("q", F.avg(pep).over(Window.orderBy(pep, order).rowsBetween(Window.unboundedPreceding, 0)))
+    """q = running mean of the sorted error probabilities; nulls come first and do not count."""
+    parts = ranged(df, [pep, order])
+    sums = parts.groupBy("_part").agg(F.count(pep).alias("_n"), F.sum(pep).alias("_s"))
+    offsets = sums.select("_part", F.coalesce(F.sum("_n").over(earlier()), F.lit(0)).alias("_n"), F.coalesce(F.sum("_s").over(earlier()), F.lit(0.0)).alias("_s"))
+    so_far = Window.partitionBy("_part").orderBy(pep, order).rowsBetween(Window.unboundedPreceding, 0)
+    q = ratio(F.col("_s") + F.coalesce(F.sum(pep).over(so_far), F.lit(0.0)), F.col("_n") + F.count(pep).over(so_far))
+    return parts.join(F.broadcast(offsets), "_part").withColumn("q", q).drop("_part", "_n", "_s")
 
 
 def benjamini_hochberg(df: DataFrame, p: str, order: str, keys: Sequence[str] = ()) -> DataFrame:
     """Adjusted p values; nulls stay null and do not count."""
+    if not keys:
+        return _adjusted_over_all(df, p, order)
     own = Window.partitionBy(*keys, F.col(p).isNull())
     rank = F.row_number().over(own.orderBy(p, order))
     raw = df.withColumn("_raw", F.col(p) * F.count(p).over(own) / rank).withColumn("_rank", rank)
@@ -31,6 +38,18 @@ def benjamini_hochberg(df: DataFrame, p: str, order: str, keys: Sequence[str] =
     return raw.withColumn("adjusted", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_raw").over(back)))).drop("_raw", "_rank")
 
 
+def _adjusted_over_all(df: DataFrame, p: str, order: str) -> DataFrame:
+    parts = ranged(df.where(F.col(p).isNotNull()), [p, order])
+    offsets = parts.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(earlier()), F.lit(0)).alias("_offset"), F.sum("_rows").over(Window.partitionBy()).alias("_all"))
+    rank = F.col("_offset") + F.row_number().over(Window.partitionBy("_part").orderBy(p, order))
+    raw = parts.join(F.broadcast(offsets), "_part").withColumn("_rank", rank).withColumn("_raw", F.col(p) * F.col("_all") / F.col("_rank"))
+    least = raw.groupBy("_part").agg(F.min("_raw").alias("_least")).select("_part", F.min("_least").over(later()).alias("_later"))
+    back = Window.partitionBy("_part").orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
+    adjusted = F.least(F.lit(1.0), F.min("_raw").over(back), F.coalesce("_later", F.lit(1.0)))
+    known = raw.join(F.broadcast(least), "_part").withColumn("adjusted", adjusted).select(*df.columns, "adjusted")
+    return known.unionByName(df.where(F.col(p).isNull()).withColumn("adjusted", F.lit(None).cast("double")))
+
+
 def rank_sums(df: DataFrame, feature: str, group: str, value: str, a, b) -> DataFrame:
     """Per feature: sizes, rank sum and U of group a against b, with mean ranks for ties, and the tie term sum(t^3 - t).
 
@@ -146,12 +165,12 @@ def section_split(sections: DataFrame, section: str) -> DataFrame:
 
 
 def rank_extremes(df: DataFrame, value: str, order: str, n: int = 5) -> DataFrame:
-    """The n smallest, the n largest and n of the others in the order of a hash."""
-    up, down = F.row_number().over(Window.orderBy(value, order)), F.row_number().over(Window.orderBy(F.desc(value), order))
-    placed = df.withColumn("_up", up).withColumn("_down", down)
-    middle = placed.where((F.col("_up") > n) & (F.col("_down") > n)).orderBy(F.xxhash64(order), order).limit(n)
-    ends = placed.where((F.col("_up") <= n) | (F.col("_down") <= n))
-    return ends.withColumn("end", F.when(F.col("_up") <= n, "low").otherwise("high")).unionByName(middle.withColumn("end", F.lit("middle"))).drop("_up", "_down")
+    """The n smallest, the n largest and n of the others in the order of a hash; order names each row.  Each is a top-n."""
+    low = df.orderBy(value, order).limit(n)
+    high = df.orderBy(F.desc(value), order).limit(n).join(F.broadcast(low.select(order)), order, "left_anti")
+    ends = low.withColumn("end", F.lit("low")).unionByName(high.withColumn("end", F.lit("high")))
+    middle = df.join(F.broadcast(ends.select(order)), order, "left_anti").orderBy(F.xxhash64(order), order).limit(n)
+    return ends.unionByName(middle.withColumn("end", F.lit("middle")))
 
 
 def balanced_undersample(df: DataFrame, label: str, order: Sequence) -> DataFrame:

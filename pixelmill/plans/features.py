@@ -128,18 +128,18 @@ def comodulation_log2(spark, sf_dir):
     return I.comodulation(m, "s", "b", "expressed", "shifted").select("supertype", "feature_id", r("log2fc"))
 
 
-@query(f"""WITH {EMB}, h(factor, feature_id, h) AS (SELECT f, g, CAST((f + 2 * g) % 5 AS DOUBLE) / 4 FROM range(0, 3) a(f), range(0, 8) b(g)), z AS (SELECT pixel_id, feature_id AS factor, value AS z FROM emb WHERE feature_id < 3),
+@query(f"""WITH {EMB}, h(factor, feature_id, h) AS (SELECT f, g, CAST((f + 2 * g) % 5 AS DOUBLE) / 4 FROM range(0, 64) a(f), range(0, 8) b(g)), z AS (SELECT pixel_id, feature_id AS factor, value AS z FROM emb),
 p AS (SELECT pixel_id, h.feature_id AS feature_id, sum(z * h) AS v FROM z JOIN h ON h.factor = z.factor GROUP BY 1, 2) SELECT pixel_id, feature_id, round(v - (SELECT min(v) FROM p) + 1e-7, 6) AS value FROM p""")
 def reconstruction(spark, sf_dir):
-    h = spark.createDataFrame([(f, g, ((f + 2 * g) % 5) / 4) for f in range(3) for g in range(8)], "factor long, feature_id long, h double")
-    z = emb_long(spark, sf_dir).where("feature_id < 3").select("pixel_id", F.col("feature_id").alias("factor"), F.col("value").alias("z"))
+    h = spark.createDataFrame([(f, g, ((f + 2 * g) % 5) / 4) for f in range(64) for g in range(8)], "factor long, feature_id long, h double")
+    z = emb_long(spark, sf_dir).select("pixel_id", F.col("feature_id").alias("factor"), F.col("value").alias("z"))
     return L.reconstruct(z, h).select("pixel_id", "feature_id", r("value"))
 
 
-@query(f"""WITH {EMB}, s AS (SELECT * FROM emb WHERE feature_id < 4), o AS (SELECT section_id, feature_id, avg(value) AS o FROM s GROUP BY 1, 2), a AS (SELECT feature_id, avg(value) AS a FROM s GROUP BY 1)
+@query(f"""WITH {EMB}, s AS (SELECT * FROM emb), o AS (SELECT section_id, feature_id, avg(value) AS o FROM s GROUP BY 1, 2), a AS (SELECT feature_id, avg(value) AS a FROM s GROUP BY 1)
 SELECT pixel_id, s.feature_id AS feature_id, round(value - o + a, 6) AS value FROM s JOIN o ON o.section_id = s.section_id AND o.feature_id = s.feature_id JOIN a ON a.feature_id = s.feature_id""")
 def batch_centring(spark, sf_dir):
-    return L.centre_batches(emb_long(spark, sf_dir).where("feature_id < 4"), "section_id", "pixel_id", "feature_id", "value").select("pixel_id", "feature_id", r("value"))
+    return L.centre_batches(emb_long(spark, sf_dir), "section_id", "pixel_id", "feature_id", "value").select("pixel_id", "feature_id", r("value"))
 
 
 @query(f"WITH {EMB}, m AS (SELECT pixel_id FROM emb GROUP BY 1 HAVING avg(value) > 0.001) SELECT emb.pixel_id AS pixel_id, feature_id, round(value, 6) AS value FROM emb JOIN m ON m.pixel_id = emb.pixel_id")
@@ -168,18 +168,18 @@ def feature_subset(spark, sf_dir):
     return X.subset_features(f, f.where("feature_id % 3 = 0"), "feature_id", "feature_id").select("feature_id", n("new_feature_id"))
 
 
-@query(f"""WITH {EMB}, b AS (SELECT pixel_id, section_id, feature_id, value, row_number() OVER (PARTITION BY pixel_id ORDER BY value DESC, feature_id) AS k FROM emb WHERE feature_id < 3), w AS (SELECT * FROM b WHERE k = 1),
+@query(f"""WITH {EMB}, b AS (SELECT pixel_id, section_id, feature_id, value, row_number() OVER (PARTITION BY pixel_id ORDER BY value DESC, feature_id) AS k FROM emb), w AS (SELECT * FROM b WHERE k = 1),
 q AS (SELECT section_id, feature_id, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM w GROUP BY 1, 2)
 SELECT pixel_id, w.section_id AS section_id, w.feature_id AS feature_id, round(coalesce((greatest(lo, least(hi, value)) - lo) / nullif(hi - lo, 0), 0.0), 6) AS scaled FROM w JOIN q ON q.section_id = w.section_id AND q.feature_id = w.feature_id""")
 def argmax_channel(spark, sf_dir):
-    return W.argmax_channel(emb_long(spark, sf_dir).where("feature_id < 3"), "pixel_id", "feature_id", "value", "section_id").select("pixel_id", "section_id", "feature_id", r("scaled"))
+    return W.argmax_channel(emb_long(spark, sf_dir), "pixel_id", "feature_id", "value", "section_id").select("pixel_id", "section_id", "feature_id", r("scaled"))
 
 
-@query(f"""WITH {EMB}, a AS (SELECT value AS a, row_number() OVER (ORDER BY value) AS rank FROM emb WHERE feature_id = 0 AND zone = 0), b AS (SELECT value AS b, row_number() OVER (ORDER BY value) AS rank FROM emb WHERE feature_id = 0 AND zone = 1)
+@query(f"""WITH {EMB}, a AS (SELECT value AS a, row_number() OVER (ORDER BY value) AS rank FROM emb WHERE zone = 0), b AS (SELECT value AS b, row_number() OVER (ORDER BY value) AS rank FROM emb WHERE zone = 1)
 SELECT CAST(a.rank AS BIGINT) AS rank, round(a, 6) AS a, round(b, 6) AS b FROM a JOIN b ON a.rank = b.rank""")
 def qq_pairs(spark, sf_dir):
     from ..operators.joins import aligned_pairs
-    e = emb_long(spark, sf_dir).where("feature_id = 0")
+    e = emb_long(spark, sf_dir)
     return aligned_pairs(e.where("zone = 0"), e.where("zone = 1"), "value").select(n("rank"), r("a"), r("b"))
 
 
@@ -249,11 +249,11 @@ def differential_p_values(spark, sf_dir):
     return I.differential(li, "feature_id", "l_returnflag", "l_quantity", "A", "R").select("feature_id", "p", "adjusted", "passes")
 
 
-PS = "p AS (SELECT p_partkey AS id, CAST((p_partkey * 7919) % 1009 AS DOUBLE) / 1009 AS p FROM part WHERE p_partkey < 1000)"
+PS = "p AS (SELECT p_partkey AS id, CAST((p_partkey * 7919) % 1009 AS DOUBLE) / 1009 AS p FROM part)"
 
 
 def _ps(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_partkey < 1000").select(F.col("p_partkey").alias("id"), (((F.col("p_partkey") * 7919) % 1009).cast("double") / 1009).alias("p"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (((F.col("p_partkey") * 7919) % 1009).cast("double") / 1009).alias("p"))
 
 
 @query(f"WITH {PS} SELECT id, round(avg(p) OVER (ORDER BY p, id ROWS UNBOUNDED PRECEDING), 6) AS q FROM p")
@@ -354,7 +354,7 @@ def case_control_fit(spark, sf_dir):
 
 @query()
 def case_control_calls(spark, sf_dir):
-    m = A.centroids(emb_long(spark, sf_dir), "zone").where("feature_id < 8").select(F.col("zone").alias("supertype"), F.col("feature_id").alias("feature"), F.col("mean").alias("loc"), F.lit(0.1).alias("loc_sd"), (5 * F.col("mean")).alias("shift"), F.lit(0.1).alias("shift_sd"))
+    m = A.centroids(emb_long(spark, sf_dir), "zone").select(F.col("zone").alias("supertype"), F.col("feature_id").alias("feature"), F.col("mean").alias("loc"), F.lit(0.1).alias("loc_sd"), (5 * F.col("mean")).alias("shift"), F.lit(0.1).alias("shift_sd"))
     return I.calls(m, ["feature", "supertype"])
 
 
@@ -372,7 +372,9 @@ def restore_feature(spark, sf_dir):
     return R.restore(p, long, roles, trees=5)[1]
 
 
-@query()
+@query(f"""WITH {EMB}, s AS (SELECT feature_id, avg(exp(value)) AS mean, stddev_pop(exp(value)) / nullif(avg(exp(value)), 0) AS cv FROM emb GROUP BY 1), l AS (SELECT *, log2(mean) AS x, log2(cv) AS y FROM s WHERE mean > 0 AND cv > 0),
+f AS (SELECT covar_pop(x, y) / nullif(var_pop(x), 0) AS b, avg(x) AS mx, avg(y) AS my FROM l), e AS (SELECT feature_id, mean, cv, y - (my + coalesce(b, 0.0) * (x - mx)) AS excess FROM l, f)
+SELECT feature_id, round(mean, 6) AS mean, round(cv, 6) AS cv, round(excess, 6) AS excess FROM e ORDER BY e.excess DESC, feature_id LIMIT 20""")
 def noise_ranking(spark, sf_dir):
     e = emb_long(spark, sf_dir).withColumn("value", F.exp("value"))
     return L.noise_ranking(e, "feature_id", "value", 20).select("feature_id", r("mean"), r("cv"), r("excess"))
@@ -385,15 +387,44 @@ def zone_tree(spark, sf_dir):
     return C.with_levels(C.learn_tree(p, config=config)[1]).select("pixel_id", "zone")
 
 
+@query()
+def noise_selection(spark, sf_dir):
+    e = emb_long(spark, sf_dir).withColumn("value", F.exp("value"))
+    return L.noise_selection(e, "feature_id", "value", 20).select("feature_id", r("mean"), r("cv"), r("excess"))
+
+
+@query()
+def apply_tree(spark, sf_dir):
+    """All pixels led through the learned tree, with the zone that learning gave them."""
+    p = _pixels(spark, sf_dir).withColumn("embedding", F.slice("features", 1, 8))
+    config = C.TreeConfig(clusters=12, sweep=3, trees=5, depth=2)
+    root, learned = C.learn_tree(p, config=config)
+    applied = C.with_levels(C.apply_tree(root, p, config=config)).select("pixel_id", "zone")
+    return applied.join(C.with_levels(learned).select("pixel_id", F.col("zone").alias("learned_zone")), "pixel_id")
+
+
+@query()
+def pixel_communities(spark, sf_dir):
+    """Communities of all pixels on the graph of their 15 nearest neighbours."""
+    return G.pixel_communities(G.knn_edges(_pixels(spark, sf_dir), "features", 15, 16, 16)).select(F.col("node").alias("pixel_id"), "community")
+
+
+@query()
+def case_control_analysis(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").where("l_returnflag IN ('A', 'R')").select(F.col("l_linenumber").cast("long").alias("feature"), (F.col("l_suppkey") % 4 + F.when(F.col("l_returnflag") == "A", 0).otherwise(4)).alias("section"), (F.col("l_suppkey") % 2).alias("sample"), F.col("l_returnflag").alias("condition"), F.col("l_linestatus").alias("supertype"), (F.col("l_discount") * 5).alias("value"))
+    out = I.case_control_analysis(li, None, "feature", "section", "sample", "condition", "supertype", "value", "R", I.CaseControlConfig(epochs=300))
+    return out.select("feature", "supertype", r("baseline", 4), r("shift", 4), "p_up", "p_down", "expressed", "shifted", r("log2fc", 4))
+
+
 @query(f"""WITH {EMB}, h AS (SELECT feature_id, value AS y, value * 0.9 + 0.01 AS p FROM emb) SELECT feature_id, round(covar_pop(y, greatest(p, 0)) / nullif(stddev_pop(y) * stddev_pop(greatest(p, 0)), 0), 6) AS r, round(sqrt(avg((y - greatest(p, 0)) * (y - greatest(p, 0)))), 6) AS rmse FROM h GROUP BY 1""")
 def heldout_quality(spark, sf_dir):
     e = emb_long(spark, sf_dir).withColumn("p", F.col("value") * 0.9 + 0.01)
     return I.heldout(e, ["feature_id"], "value", "p").select("feature_id", r("r"), r("rmse"))
 
 
-@query("""WITH e AS (SELECT vec_id AS section_id, unnest(range(0, CAST(len(embedding) AS BIGINT))) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE vec_id < 100) SELECT section_id, CAST(i // 8 + 1 AS BIGINT) AS x, CAST(i % 8 + 1 AS BIGINT) AS y, round(v, 6) AS value FROM e WHERE v >= 0""")
+@query("""WITH e AS (SELECT vec_id AS section_id, unnest(range(0, CAST(len(embedding) AS BIGINT))) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT section_id, CAST(i // 8 + 1 AS BIGINT) AS x, CAST(i % 8 + 1 AS BIGINT) AS y, round(v, 6) AS value FROM e WHERE v >= 0""")
 def flatten_images(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 100")
+    e = table(spark, sf_dir, "embeddings")
     row = lambda i: F.transform(F.slice("embedding", 8 * i + 1, 8), lambda v: F.when(v >= 0, v.cast("double")))
     images = e.select(F.col("vec_id").alias("section_id"), F.array(*(row(i) for i in range(8))).alias("image"))
     return X.flatten_images(images).select("section_id", n("x"), n("y"), r("value"))
@@ -407,12 +438,12 @@ def selected_features(spark, sf_dir):
     return R.select_features(moran, A.variance_of_variances(e), A.section_dropout(e, "feature_id", "section_id", "value", -0.01, 3), threshold=0.008)
 
 
-@query("""WITH native AS (SELECT p_partkey AS pixel_id, p_brand AS name, p_retailprice AS value FROM part WHERE p_partkey % 2 = 0 AND p_brand < 'Brand#3'), restored AS (SELECT p_partkey AS pixel_id, p_type AS mz_key, p_retailprice / 2 AS value FROM part),
+@query("""WITH native AS (SELECT p_partkey AS pixel_id, p_brand AS name, p_retailprice AS value FROM part WHERE p_brand < 'Brand#3'), restored AS (SELECT p_partkey AS pixel_id, p_type AS mz_key, p_retailprice / 2 AS value FROM part),
 notes AS (SELECT DISTINCT p_type AS mz_key, CASE WHEN p_type LIKE '%O%' THEN 'N ' || p_type ELSE '_db' END AS annotation, CAST(length(p_type) AS DOUBLE) AS score FROM part)
 SELECT pixel_id, name, round(value, 4) AS value FROM native UNION ALL SELECT pixel_id, annotation, round(value, 4) FROM restored JOIN notes ON restored.mz_key = notes.mz_key WHERE annotation <> '_db' AND score >= 6 AND annotation NOT IN (SELECT name FROM native)""")
 def final_matrix(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    native = p.where("p_partkey % 2 = 0 AND p_brand < 'Brand#3'").select(F.col("p_partkey").alias("pixel_id"), F.col("p_brand").alias("name"), F.col("p_retailprice").alias("value"))
+    native = p.where("p_brand < 'Brand#3'").select(F.col("p_partkey").alias("pixel_id"), F.col("p_brand").alias("name"), F.col("p_retailprice").alias("value"))
     restored = p.select(F.col("p_partkey").alias("pixel_id"), F.col("p_type").alias("mz_key"), (F.col("p_retailprice") / 2).alias("value"))
     notes = p.select(F.col("p_type").alias("mz_key")).distinct().select("mz_key", F.when(F.col("mz_key").contains("O"), F.concat(F.lit("N "), "mz_key")).otherwise("_db").alias("annotation"), F.length("mz_key").cast("double").alias("score"))
     return R.final_matrix(native, restored, notes, 6.0).select("pixel_id", "name", r("value", 4))

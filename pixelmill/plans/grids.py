@@ -26,9 +26,9 @@ def neighbor_label_props(spark, sf_dir):
     return S.neighbourhood(lattice(spark, sf_dir)).select("label", "nb_label", n("n"), r("share"))
 
 
-@query(f"WITH {LAT}, s AS (SELECT x, y FROM lat WHERE part_id % 7 = 0) SELECT a.x AS x, a.y AS y, round(min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 6) AS distance FROM s a JOIN s b ON a.x <> b.x OR a.y <> b.y GROUP BY 1, 2")
+@query(f"WITH {LAT}, s AS (SELECT x, y FROM lat) SELECT a.x AS x, a.y AS y, round(min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 6) AS distance FROM s a JOIN s b ON a.x <> b.x OR a.y <> b.y GROUP BY 1, 2")
 def nearest_neighbor_distance(spark, sf_dir):
-    return S.nearest_distance(lattice(spark, sf_dir).where("part_id % 7 = 0")).select("x", "y", r("distance"))
+    return S.nearest_distance(lattice(spark, sf_dir)).select("x", "y", r("distance"))
 
 
 @query(f"WITH {LAT} SELECT CAST(floor(x / 5) AS BIGINT) AS i, CAST(floor(y / 5) AS BIGINT) AS j, CAST(size % 3 AS BIGINT) AS k, round(avg(CASE WHEN price > 0 THEN ln(price) END), 6) AS mean FROM lat GROUP BY 1, 2, 3")

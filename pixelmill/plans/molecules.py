@@ -14,7 +14,7 @@ ENZYMES = ((("PC", "PA"), ["PLD"]), (("SM", "Cer"), ["SMase"]), (("Cer", "SM"),
 SEPARATED = "CASE p_partkey % 12 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CLASSES)) + " END"
 MOL = f"mol AS (SELECT DISTINCT c || CASE WHEN c LIKE '% O-' THEN '' ELSE ' ' END || (30 + p_size % 6) || ':' || (p_size % 3) AS name FROM (SELECT {SEPARATED} AS c, p_size FROM part))"
 PROPS = r"""props AS (SELECT name, nullif(regexp_extract(name, '^([A-Za-z0-9]+ O-|[A-Za-z0-9]+)', 1), '') AS class, TRY_CAST(nullif(regexp_extract(name, '(\d+):', 1), '') AS INTEGER) AS carbons, TRY_CAST(nullif(regexp_extract(name, ':(\d+)', 1), '') AS INTEGER) AS unsaturation FROM mol)"""
-PEAKS = "peaks AS (SELECT DISTINCT c_acctbal AS mz FROM customer WHERE c_acctbal BETWEEN 900 AND 1101)"
+PEAKS = "peaks AS (SELECT DISTINCT c_acctbal AS mz FROM customer)"
 REFS = "refs AS (SELECT p_retailprice AS mass, min(p_partkey) AS ref_id FROM part GROUP BY 1)"
 
 
@@ -26,7 +26,7 @@ def molecules(spark, sf_dir):
 
 
 def peaks(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where("c_acctbal BETWEEN 900 AND 1101").select(F.col("c_acctbal").alias("mz")).distinct()
+    return table(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("mz")).distinct()
 
 
 def references(spark, sf_dir):
@@ -39,6 +39,14 @@ def nearest_mass(spark, sf_dir):
     return J.nearest(peaks(spark, sf_dir), references(spark, sf_dir), "mz", "mass", "ref_id", 50.0).select("mz", "ref_id", r("ppm_error", 4))
 
 
+@query("""WITH m AS (SELECT p_partkey, 'InChIKey=' || upper(p_brand) AS k FROM part), d AS (SELECT k, min(s_suppkey) AS dbid FROM (SELECT s_suppkey, 'BRAND#' || s_suppkey % 30 AS k FROM supplier) GROUP BY 1)
+SELECT p_partkey, dbid FROM m LEFT JOIN d ON d.k = replace(m.k, 'InChIKey=', '')""")
+def database_join(spark, sf_dir):
+    m = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("InChIKey="), F.upper("p_brand")).alias("inchi_key"))
+    d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("dbid"), F.concat(F.lit("brand#"), (F.col("s_suppkey") % 30).cast("string")).alias("inchikey"), F.col("s_suppkey").alias("entry"))
+    return J.attach_database(m, d.drop("entry").withColumn("name", F.col("dbid")), identifier="dbid").select("p_partkey", "dbid")
+
+
 @query(f"WITH {PEAKS}, {REFS} SELECT mz, ref_id FROM peaks JOIN refs ON mass BETWEEN mz - mz * 120 / 1e6 AND mz + mz * 120 / 1e6")
 def ppm_range_match(spark, sf_dir):
     return J.within_ppm(peaks(spark, sf_dir), references(spark, sf_dir), "mz", "mass", 120.0).select("mz", "ref_id")

@@ -140,9 +140,9 @@ def unique_mapping(spark, sf_dir):
     return A.unique_mapping(table(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey")
 
 
-@query("""WITH k AS (SELECT p_partkey, p_brand AS name, count(*) OVER (PARTITION BY p_brand) AS c, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part WHERE p_partkey < 60) SELECT p_partkey, CASE WHEN c > 1 THEN name || '_' || k ELSE name END AS unique_name FROM k""")
+@query("""WITH k AS (SELECT p_partkey, p_brand AS name, count(*) OVER (PARTITION BY p_brand) AS c, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) SELECT p_partkey, CASE WHEN c > 1 THEN name || '_' || k ELSE name END AS unique_name FROM k""")
 def dedupe_names_all(spark, sf_dir):
-    return W.number_repeats(table(spark, sf_dir, "part").where("p_partkey < 60"), "p_brand", "p_partkey").select("p_partkey", "unique_name")
+    return W.number_repeats(table(spark, sf_dir, "part"), "p_brand", "p_partkey").select("p_partkey", "unique_name")
 
 
 @query("""WITH k AS (SELECT p_partkey, p_brand AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k FROM part) SELECT p_partkey, CASE WHEN k > 0 THEN name || '_' || k ELSE name END AS unique_name FROM k""")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +59,46 @@ def load_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in manifest["tables"]}
 
 
+def read_colors(spark: SparkSession, path: str, key: str = "class", color: str = "classcolors") -> DataFrame:
+    """class, color of a colour table (Parquet, or CSV by its name); names are trimmed, the last one of a class counts."""
+    table = spark.read.csv(path, header=True) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)
+    trimmed = table.select(F.trim(key).alias("class"), F.trim(color).alias("color"), F.monotonically_increasing_id().alias("_at"))
+    return trimmed.groupBy("class").agg(F.max_by("color", "_at").alias("color"))
+
+
+def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """path, index, value of each element of the array files (.npy) that path matches; index has one number an axis."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.load(io.BytesIO(content), allow_pickle=False)
+                for at in range(0, x.size, 100_000):
+                    some = np.arange(at, min(x.size, at + 100_000))
+                    index = np.stack(np.unravel_index(some, x.shape), axis=1).astype(np.int64) if x.ndim else np.zeros((1, 0), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(list(index), pa.list_(pa.int64())), pa.array(x.ravel()[some].astype(float))], names=["path", "index", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, index array<long>, value double")
+
+
+def write_voxels(voxels: DataFrame, path: str, *axes: str) -> None:
+    """A voxel table as Parquet in ranges of its first axis, so that slabs are read without the rest."""
+    voxels.repartitionByRange(F.col(axes[0])).sortWithinPartitions(*axes).write.mode("overwrite").parquet(path)
+
+
+def verify_files(spark: SparkSession, path: str, checksums: DataFrame) -> DataFrame:
+    """name, state of each file of checksums (name, md5): "ok", "changed" or "missing" below path.  Files are read in
+    tasks; nothing is downloaded."""
+    name = F.element_at(F.split("path", "/"), -1)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(name.alias("name"), F.md5("content").alias("_md5"))
+    state = F.when(F.max(F.col("_md5") == F.lower("md5")), "ok").when(F.max("_md5").isNotNull(), "changed").otherwise("missing")
+    return checksums.join(found, "name", "left").groupBy("name").agg(state.alias("state"))
+
+
+def log_progress(spark: SparkSession, path: str, **entry) -> None:
+    """Appends an entry to a progress log (JSON lines)."""
+    spark.createDataFrame([(json.dumps(entry, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("append").text(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
