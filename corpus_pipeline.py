@@ -2,6 +2,11 @@
 
 Each stage gets what the one before wrote, works on all of it and returns the columns of documents; the last one returns
 the digests of the encoded texts.
+
+Defined cases, the same for all stages: a null text counts as an empty one and, where it is kept, stays null; repeated
+rows are rows of their own, but near-dedup keeps the first row of the smallest id of a group (ties go by row); rows
+without an id are kept or dropped like others; an empty table gives an empty one; further columns of any name pass
+through the first four stages, the last one returns its own four.
 """
 
 from __future__ import annotations
@@ -56,6 +61,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents; what each stage returns is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # the stages go when the application ends
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
         docs = spark.read.parquet(f"{base}/{i}")
