@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import fresh, held_out
 
 #: Bytes of a chunk and from one chunk to the next; width, stride and number of the filters.
-CHUNK, STEP, WIDTH, STRIDE, FILTERS = 256, 240, 6, 2, 16
+CHUNK, STEP, WIDTH, STRIDE, FILTERS = 256, 240, 6, 1, 16
 #: Labelled rows that are learned from, at most (about; drawn by a hash of the id, half of each label).
 TRAIN_ROWS = 3000
 #: Spans of CHUNK bytes, spread evenly over all of it, that stand for a longer text in learning; scores read whole texts.
