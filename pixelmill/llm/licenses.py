@@ -8,7 +8,9 @@ the template's words that are aligned.
 A text that holds a template several times has no unique words of it, so a scan first finds windows: stretches of the
 text around rare template words (those that the fewest templates hold), each as long as the template with room for
 insertions.  Windows that the multiset of their words shows to be below the threshold are not aligned; that bound is
-exact.  Each window of each template is aligned apart, and the best coverage per template counts.
+exact.  Each window of each template is aligned apart.  Copies are taken from left to right and do not overlap; words at
+the edge of an alignment that a hole of more than HOLE words separates from enough others belong to another copy.  All
+copies are returned, the best one per template decides on its place among the licenses.
 
 Nothing is shuffled.  Defined cases: a null or empty text has no license; repeated rows are scanned each for itself;
 templates without words are ignored; ties of coverage go to the longer, then to the first template by name; empty tables
@@ -40,6 +42,8 @@ TEMPLATES = {
 }
 #: Coverage from which a license counts as found, and a window's length in lengths of its template.
 THRESHOLD, ROOM = 0.8, 1.5
+#: Words (or a quarter of the template, if that is more) between aligned words, beyond which an edge is cut off.
+HOLE = 8
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -98,6 +102,19 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def compact(pairs: list[tuple[int, int]], least: int, hole: int) -> list[tuple[int, int]]:
+    """Pairs without those at either edge that stand beyond a hole in the text, as long as `least` are left."""
+    first, end = 0, len(pairs)
+    for k in range(1, len(pairs)):
+        if pairs[k][0] - pairs[k - 1][0] - 1 > hole:
+            if k - first >= least:  # the first copy is whole before the hole
+                end = k
+                break
+            if len(pairs) - k >= least:
+                first = k
+    return pairs[first:end]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD):
         self.threshold = threshold
@@ -117,8 +134,8 @@ class Scanner:
             self.rare.append((name, words, counts, chosen, lack))
         self.any_rare = frozenset().union(*(r[3] for r in self.rare)) if self.rare else frozenset()
 
-    def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """name, coverage, first and end word of the best copy of each template at or above the threshold; best first."""
+    def copies(self, text: str | None) -> list[tuple[str, float, int, int]]:
+        """name, coverage, first and end word of each copy at or above the threshold, by template and place."""
         words = words_of(text)
         places: dict[str, list[int]] = {}
         for i, w in enumerate(words):
@@ -127,41 +144,54 @@ class Scanner:
         out = []
         for name, template, counts, chosen, lack in self.rare if places else ():
             hits = sorted(p for w in chosen for p in places.get(w, ()))
-            room, best, done = int(len(template) * ROOM) + 1, None, -1
+            room, least, hole, done = int(len(template) * ROOM) + 1, len(template) - lack, max(HOLE, len(template) // 4), 0
             for p in hits:
                 if p < done:  # inside a copy that is already aligned
                     continue
-                low, high = max(0, p - room), min(len(words), p + room + 1)
-                window = words[low:high]
-                have = Counter(window)
-                if sum(min(n, have[w]) for w, n in counts.items()) < len(template) - lack:
+                low, high = max(done, p - room), min(len(words), p + room + 1)
+                have = Counter(words[low:high])
+                if sum(min(n, have[w]) for w, n in counts.items()) < least:
                     continue
                 # the copy that covers p: aligned from each side so that another copy in the window doesn't mix in
-                for a, b in ((low, p + room + 1), (p, p + room + 1), (low, p + 1)):
-                    pairs = align(words[a:b], template)
-                    coverage = len(pairs) / len(template)
-                    if coverage >= self.threshold and (best is None or coverage > best[1]):
-                        best = (name, coverage, a + pairs[0][0], a + pairs[-1][0] + 1)
-                        done = best[3]
-            if best:
-                out.append(best)
+                best = None
+                for a, b in ((low, high), (p, high), (low, p + 1)):
+                    pairs = compact(align(words[a:b], template), least, hole)
+                    if len(pairs) >= least and (best is None or len(pairs) > best[0]):
+                        best = (len(pairs), a + pairs[0][0], a + pairs[-1][0] + 1)
+                if best:
+                    out.append((name, best[0] / len(template), best[1], best[2]))
+                    done = best[2]
+        return out
+
+    def scan(self, text: str | None) -> tuple[list[tuple[str, float, int, int]], list[tuple[str, float, int, int]]]:
+        """The best (first of equal ones) copy of each template, best template first; and all copies."""
+        copies = self.copies(text)
+        best: dict[str, tuple[str, float, int, int]] = {}
+        for copy in copies:
+            if copy[0] not in best or copy[1] > best[copy[0]][1]:
+                best[copy[0]] = copy
         length = dict((n, len(w)) for n, w in self.templates)
-        return sorted(out, key=lambda x: (-x[1], -length[x[0]], x[0]))
+        return sorted(best.values(), key=lambda x: (-x[1], -length[x[0]], x[0])), copies
 
 
 def scan(docs: DataFrame, keep: list[str], templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The columns `keep` of docs, license and coverage of the best template (null, 0), first_word, end_word, and all
-    licenses found (names, best first)."""
+    """The columns `keep` of docs, license and coverage of the best template (null, 0), first_word, end_word, all licenses
+    found (names, best first), and all copies (license, coverage, first_word, end_word; by template name and place)."""
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    names = [*keep, "license", "coverage", "first_word", "end_word", "licenses"]
+    names = [*keep, "license", "coverage", "first_word", "end_word", "licenses", "copies"]
+    if len({n.lower() for n in names}) < len(names):
+        raise ValueError("keep names a column of the result")
+    kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
     chosen = dict(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(chosen, threshold)
         for batch in batches:
             found = [scanner.scan(t.as_py()) for t in batch.columns[-1]]
-            best = [f[0] if f else (None, 0.0, None, None) for f in found]
-            columns = [pa.array([b[i] for b in best], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns, pa.array([[x[0] for x in f] for f in found], pa.list_(pa.string()))], names=names)
+            best = [f[0] if f else (None, 0.0, None, None) for f, _ in found]
+            columns = [pa.array([b[i] for b in best], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64()))]
+            columns += [pa.array([[x[0] for x in f] for f, _ in found], pa.list_(pa.string())), pa.array([[dict(zip(names[-6:-2], c)) for c in copies] for _, copies in found], kind)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=names)
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, kinds + "license string, coverage double, first_word long, end_word long, licenses array<string>")
+    schema = kinds + "license string, coverage double, first_word long, end_word long, licenses array<string>, copies array<struct<license: string, coverage: double, first_word: long, end_word: long>>"
+    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)

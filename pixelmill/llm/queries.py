@@ -43,7 +43,8 @@ FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"])
-    return found.select("doc_id", "license", "coverage", "first_word", "end_word", F.array_join("licenses", ",").alias("licenses"))
+    return found.select("doc_id", "license", "coverage", "first_word", "end_word", F.array_join("licenses", ",").alias("licenses"),
+        F.array_join(F.transform("copies", lambda c: F.concat_ws(":", c["license"], c["first_word"], c["end_word"])), ",").alias("copies"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

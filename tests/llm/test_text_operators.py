@@ -37,6 +37,53 @@ def test_alignment():
         assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
 
+def common_length(a, b):
+    """Length of a longest common subsequence, by the table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row, old = [0], row
+        for j, y in enumerate(b):
+            row.append(old[j] + 1 if x == y else max(old[j + 1], row[-1]))
+    return row[-1]
+
+
+def test_alignment_against_brute_force():
+    """Never longer than a longest common subsequence, and as long where each word is unique."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        a, b = (rng.permutation(30)[:int(rng.integers(0, 30))].tolist() for _ in range(2))
+        assert len(licenses.align(a, b)) == common_length(a, b)
+        a, b = (rng.integers(0, 9, 25).tolist() for _ in range(2))
+        assert len(licenses.align(a, b)) <= common_length(a, b)
+
+
+def test_all_copies_against_brute_force():
+    """Copies with words left out and put in, among other words: each is found at its place with its coverage, and the best
+    coverage is that of the best window."""
+    rng = np.random.default_rng(6)
+    templates = {name: " ".join(f"{name}{i}" for i in range(n)) for name, n in (("a", 5), ("b", 20), ("c", 60))}
+    scanner = licenses.Scanner(templates)
+    for _ in range(25):
+        words, want = [], []
+        for _ in range(int(rng.integers(0, 7))):
+            words += [f"x{i}" for i in rng.integers(0, 50, int(rng.integers(0, 30)))]
+            name = str(rng.choice(list(templates)))
+            whole = templates[name].split()
+            out = set(rng.choice(len(whole), int(rng.integers(0, len(whole) // 5 + 1)), replace=False).tolist())
+            copy = [w for i, w in enumerate(whole) if i not in out]
+            at = len(copy) // 2
+            copy[at:at] = ["y"] * int(rng.integers(0, 3))
+            want.append((name, len(whole) - len(out), len(words), len(words) + len(copy)))
+            words += copy + ["z"]
+        got = [(n, round(c * len(templates[n].split())), f, e) for n, c, f, e in scanner.copies(" ".join(words))]
+        assert got == sorted(want, key=lambda c: (c[0], c[2]))
+        best, _ = scanner.scan(" ".join(words))
+        for name, coverage, _, _ in best:
+            t = templates[name].split()
+            windows = (words[i:i + len(t) + 2] for i in range(len(words)))
+            assert coverage == pytest.approx(max(common_length(w, t) for w in windows) / len(t))
+
+
 def test_license_scan(spark):
     rng = np.random.default_rng(1)
     filler = " ".join(rng.choice(["lorem", "ipsum", "the", "license", "of"], 300))
@@ -48,6 +95,9 @@ def test_license_scan(spark):
     assert all(got[i]["license"] is None and got[i]["coverage"] == 0 for i in range(n))
     assert (got[n]["license"], got[n]["coverage"]) == ("MIT-text", 1.0) and got[n]["first_word"] == 300
     assert (got[n + 1]["license"], got[n + 1]["coverage"]) == ("CC-BY-NC-4.0", 1.0)
+    assert [(c["license"], c["first_word"]) for c in got[n + 1]["copies"]] == [("CC-BY-NC-4.0", 0), ("CC-BY-NC-4.0", 305)]
+    with pytest.raises(ValueError):
+        licenses.scan(frame(spark, texts).withColumnRenamed("kind", "License"), ["License"])
     assert got[n + 2]["license"] is None and got[n + 3]["license"] == "ISC-text" and 0.85 < got[n + 3]["coverage"] < 1
     assert licenses.scan(frame(spark, texts).limit(0), ["doc_id"]).count() == 0
 
