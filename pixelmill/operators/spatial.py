@@ -75,7 +75,7 @@ def thin(pixels: DataFrame, seed: int = 42, section: str = "section_id", x: str
 
     Rounds on DataFrames: a pixel whose hash is the least among the remaining ones near it is kept and those near it go.
     """
-    left = spool(pixels.select(section, x, y).distinct().withColumn("_h", F.xxhash64(F.lit(seed), section, x, y)))
+    left = spool(pixels.select(section, x, y).distinct().withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), section, x, y).cast("binary"))))
     steps = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(1 - apart, apart) for dy in range(1 - apart, apart))))
     kept = None
     while not left.isEmpty():

@@ -74,12 +74,18 @@ def scaled_to_255(spark, sf_dir):
     return S.to_255(lattice(spark, sf_dir), "price").select("part_id", r("scaled", 4))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LAT}, st AS (SELECT x, y, md5(concat_ws(':', 42, section_id, x, y)) AS h, 0 AS state FROM lat
+UNION ALL (WITH u AS (SELECT x, y, h FROM st WHERE state = 0), o AS (SELECT dx, dy FROM range(-2, 3) AS a(dx), range(-2, 3) AS b(dy)),
+l AS (SELECT u.x + dx AS x, u.y + dy AS y, min(h) AS least FROM u, o GROUP BY 1, 2), k AS (SELECT u.x, u.y, u.h FROM u JOIN l ON l.x = u.x AND l.y = u.y WHERE h = least),
+g AS (SELECT DISTINCT k.x + dx AS x, k.y + dy AS y FROM k, o) SELECT x, y, h, 1 FROM k UNION ALL SELECT u.x, u.y, u.h, 0 FROM u ANTI JOIN g ON g.x = u.x AND g.y = u.y))
+SELECT CAST(0 AS INTEGER) AS section_id, x, y FROM st WHERE state = 1""")
 def spatial_thin(spark, sf_dir):
     return S.thin(lattice(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {LAT}, m AS (SELECT c.x, c.y, sum(k.price * exp(-sqrt((c.x - k.x) ** 2 + (c.y - k.y) ** 2))) / sum(exp(-sqrt((c.x - k.x) ** 2 + (c.y - k.y) ** 2))) AS mean
+FROM lat c JOIN lat k ON k.part_id % 5 = 0 AND k.price >= 0 AND k.y BETWEEN c.y - 4 AND c.y + 4 AND (c.x - k.x) ** 2 + (c.y - k.y) ** 2 <= 16 GROUP BY 1, 2)
+SELECT lat.x AS i, lat.y AS j, CAST(0 AS BIGINT) AS k, round(CASE WHEN part_id % 5 = 0 AND price >= 0 THEN price ELSE mean END, 4) AS value FROM lat LEFT JOIN m ON m.x = lat.x AND m.y = lat.y""")
 def interpolate_volume(spark, sf_dir):
     lat = lattice(spark, sf_dir)
     cells = lat.select(F.col("x").alias("i"), F.col("y").alias("j"), (F.col("size") * 0).cast("long").alias("k"), F.lit("a").alias("region"), F.col("price").alias("value"), "part_id")
@@ -87,7 +93,9 @@ def interpolate_volume(spark, sf_dir):
     return S.interpolate(cells.select("i", "j", "k", "region"), known, 4, first=0).select("i", "j", "k", r("value", 4))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LAT}, {OFF8}, v AS (SELECT x, y FROM lat WHERE size % 3 = 0), e AS (SELECT v.x, v.y, w.x AS x2, w.y AS y2 FROM v, off8 JOIN v w ON w.x = v.x + dx AND w.y = v.y + dy),
+reach AS (SELECT x, y, x AS cx, y AS cy FROM v UNION SELECT e.x2, e.y2, cx, cy FROM reach JOIN e ON e.x = reach.x AND e.y = reach.y)
+SELECT x AS i, y AS j, min(cx) AS ci, arg_min(cy, cx * 1000000 + cy) AS cj FROM reach GROUP BY 1, 2""")
 def mask_components(spark, sf_dir):
     lat = lattice(spark, sf_dir).where("size % 3 = 0")
     return S.components_3d(lat.select(F.col("x").alias("i"), F.col("y").alias("j"), F.lit(0).cast("long").alias("k"))).select("i", "j", F.col("component.i").alias("ci"), F.col("component.j").alias("cj"))
