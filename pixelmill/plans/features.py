@@ -10,6 +10,7 @@ from ..operators import cluster as C
 from ..operators import filters as X
 from ..operators import graph as G
 from ..operators import inference as I
+from ..operators import layout as Y
 from ..operators import linear as L
 from ..operators import restore as R
 from ..operators import windows as W
@@ -343,6 +344,34 @@ def layout(spark, sf_dir):
     return L.layout_2d(_pixels(spark, sf_dir), "features").select("pixel_id", r("layout_x"), r("layout_y"))
 
 
+@query()
+def pixel_layout(spark, sf_dir):
+    return Y.pixel_layout(_pixels(spark, sf_dir), "features", "pixel_id").select("pixel_id", r("layout_x", 3), r("layout_y", 3))
+
+
+@query()
+def zone_layout(spark, sf_dir):
+    m = L.centroid_matrix(emb_long(spark, sf_dir), "zone")
+    at = Y.tsne(m.to_numpy())
+    return spark.createDataFrame([(int(z), float(x), float(y)) for z, (x, y) in zip(m.index, at)], "zone long, layout_x double, layout_y double")
+
+
+@query()
+def molecule_layout(spark, sf_dir):
+    m = L.centroid_matrix(emb_long(spark, sf_dir), "zone").T
+    at = Y.umap(m.to_numpy())
+    return spark.createDataFrame([(int(f), float(x), float(y)) for f, (x, y) in zip(m.index, at)], "feature_id long, layout_x double, layout_y double")
+
+
+@query()
+def shared_factors(spark, sf_dir):
+    """Factors of two views: the first and the second half of the features."""
+    p = _pixels(spark, sf_dir)
+    width = p.select(F.max(F.size("features"))).first()[0] or 0
+    mean, loadings, noise = Y.view_factors(p, "features", [int(2 * i >= width) for i in range(width)])
+    return Y.factor_scores(p, "features", mean, loadings, noise).select("pixel_id", F.posexplode("factors").alias("factor", "score")).select("pixel_id", "factor", r("score", 4))
+
+
 @query()
 def communities(spark, sf_dir):
     corr = np.clip(L.correlation(_pixels(spark, sf_dir), "features"), 0, None)
