@@ -42,10 +42,12 @@ def affinities(d: np.ndarray, perplexity: float) -> np.ndarray:
     return w
 
 
-def tsne(points: np.ndarray, perplexity: float = 30.0, stages: tuple = ((500, 1.2), (100, 2.5)), start: np.ndarray | None = None, rate: float = 100.0) -> np.ndarray:
+def tsne(points: np.ndarray, perplexity: float = 30.0, stages: tuple = ((500, 1.2), (100, 2.5)), start: np.ndarray | None = None, rate: float | None = None) -> np.ndarray:
     """Stochastic neighbour embedding with Student tails, exact, in stages of (steps, exaggeration).  Starts from two given
-    coordinates or the leading principal ones, so it is deterministic.  For matrices of a few thousand rows."""
+    coordinates or the leading principal ones, so it is deterministic.  The rate is the number of points (100 at least) unless
+    given.  For matrices of a few thousand rows."""
     n = len(points)
+    rate = rate or max(100.0, n)
     if n < 3:
         return np.column_stack((np.arange(n, dtype=float), np.zeros(n)))
     x = np.asarray(points, dtype=float)

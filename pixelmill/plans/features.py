@@ -365,11 +365,11 @@ def molecule_layout(spark, sf_dir):
 
 @query()
 def shared_factors(spark, sf_dir):
-    """Factors of two views: the first and the second half of the features."""
-    p = _pixels(spark, sf_dir)
-    width = p.select(F.max(F.size("features"))).first()[0] or 0
-    mean, loadings, noise = Y.view_factors(p, "features", [int(2 * i >= width) for i in range(width)])
-    return Y.factor_scores(p, "features", mean, loadings, noise).select("pixel_id", F.posexplode("factors").alias("factor", "score")).select("pixel_id", "factor", r("score", 4))
+    """Factors of two views of the line items: quantity and discount, price and tax."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.log1p("l_quantity"), 10 * F.col("l_discount"), F.log1p("l_extendedprice"), 10 * F.col("l_tax")).alias("v"))
+    mean, loadings, noise = Y.view_factors(li, "v", [0, 0, 1, 1], factors=3)
+    scores = Y.factor_scores(li, "v", mean, loadings, noise)
+    return scores.select("l_orderkey", "l_linenumber", F.posexplode("factors").alias("factor", "score")).select("l_orderkey", "l_linenumber", "factor", r("score", 4))
 
 
 @query()
