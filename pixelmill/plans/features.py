@@ -326,7 +326,7 @@ def _pixels(spark, sf_dir):
 @query()
 def nmf_loadings(spark, sf_dir):
     p = _pixels(spark, sf_dir)
-    return L.apply_nmf(p, "features", L.fit_nmf(p, "features", steps=10, iterations=5)).select("pixel_id", "loadings")
+    return L.apply_nmf(p, "features", L.fit_nmf(p, "features")).select("pixel_id", "loadings")
 
 
 @query()
@@ -336,7 +336,7 @@ def kmeans_zones(spark, sf_dir):
 
 @query()
 def harmonised(spark, sf_dir):
-    return L.harmonise(_pixels(spark, sf_dir), "features", "section_id", 5, 3).select("pixel_id", "harmonised")
+    return L.harmonise(_pixels(spark, sf_dir), "features", "section_id").select("pixel_id", "harmonised")
 
 
 @query()
@@ -376,14 +376,14 @@ def shared_factors(spark, sf_dir):
 def communities(spark, sf_dir):
     corr = np.clip(L.correlation(_pixels(spark, sf_dir), "features"), 0, None)
     np.fill_diagonal(corr, 0)
-    labels = G.resolution_sweep(corr, steps=10)
+    labels = G.resolution_sweep(corr)
     return spark.createDataFrame([(i, int(c)) for i, c in enumerate(labels)], "feature_id long, community long")
 
 
 @query()
 def case_control_fit(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").where("l_returnflag IN ('A', 'R')").select(F.col("l_linenumber").cast("long").alias("feature"), (F.col("l_suppkey") % 4 + F.when(F.col("l_returnflag") == "A", 0).otherwise(4)).alias("section"), (F.col("l_suppkey") % 2).alias("sample"), F.col("l_returnflag").alias("condition"), F.col("l_linestatus").alias("supertype"), (F.col("l_discount") * 5).alias("value"))
-    fit = I.fit_case_control(li, "feature", "section", "sample", "condition", "supertype", "value", "R", I.CaseControlConfig(epochs=300))
+    fit = I.fit_case_control(li, "feature", "section", "sample", "condition", "supertype", "value", "R")
     return fit.select("feature", "supertype", r("baseline", 4), r("shift", 4))
 
 
@@ -396,7 +396,7 @@ def case_control_calls(spark, sf_dir):
 @query()
 def bootstrap_ci(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_quantity") > 25).alias("hit"), (F.col("l_discount") > 0.02).alias("within"))
-    return I.bootstrap_fraction(li, ["l_returnflag"], "hit", "within", 2000)
+    return I.bootstrap_fraction(li, ["l_returnflag"], "hit", "within")
 
 
 @query()
@@ -404,7 +404,7 @@ def restore_feature(spark, sf_dir):
     p = _pixels(spark, sf_dir).withColumn("embedding", F.slice("features", 2, 8))
     long = emb_long(spark, sf_dir).where("feature_id = 0").select("pixel_id", "section_id", "feature_id", "value")
     roles = spark.createDataFrame([(0, 0, "train"), (0, 1, "val"), (0, 2, "train")], "feature_id long, section_id long, role string")
-    return R.restore(p, long, roles, trees=5)[1]
+    return R.restore(p, long, roles)[1]
 
 
 @query(f"""WITH {EMB}, s AS (SELECT feature_id, avg(exp(value)) AS mean, stddev_pop(exp(value)) / nullif(avg(exp(value)), 0) AS cv FROM emb GROUP BY 1), l AS (SELECT *, log2(mean) AS x, log2(cv) AS y FROM s WHERE mean > 0 AND cv > 0),
@@ -418,8 +418,7 @@ def noise_ranking(spark, sf_dir):
 @query()
 def zone_tree(spark, sf_dir):
     p = _pixels(spark, sf_dir).withColumn("embedding", F.slice("features", 1, 8))
-    config = C.TreeConfig(clusters=12, sweep=3, trees=5, depth=2)
-    return C.with_levels(C.learn_tree(p, config=config)[1]).select("pixel_id", "zone")
+    return C.with_levels(C.learn_tree(p)[1]).select("pixel_id", "zone")
 
 
 @query()
@@ -432,9 +431,8 @@ def noise_selection(spark, sf_dir):
 def apply_tree(spark, sf_dir):
     """All pixels led through the learned tree, with the zone that learning gave them."""
     p = _pixels(spark, sf_dir).withColumn("embedding", F.slice("features", 1, 8))
-    config = C.TreeConfig(clusters=12, sweep=3, trees=5, depth=2)
-    root, learned = C.learn_tree(p, config=config)
-    applied = C.with_levels(C.apply_tree(root, p, config=config)).select("pixel_id", "zone")
+    root, learned = C.learn_tree(p)
+    applied = C.with_levels(C.apply_tree(root, p)).select("pixel_id", "zone")
     return applied.join(C.with_levels(learned).select("pixel_id", F.col("zone").alias("learned_zone")), "pixel_id")
 
 
@@ -447,7 +445,7 @@ def pixel_communities(spark, sf_dir):
 @query()
 def case_control_analysis(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").where("l_returnflag IN ('A', 'R')").select(F.col("l_linenumber").cast("long").alias("feature"), (F.col("l_suppkey") % 4 + F.when(F.col("l_returnflag") == "A", 0).otherwise(4)).alias("section"), (F.col("l_suppkey") % 2).alias("sample"), F.col("l_returnflag").alias("condition"), F.col("l_linestatus").alias("supertype"), (F.col("l_discount") * 5).alias("value"))
-    out = I.case_control_analysis(li, None, "feature", "section", "sample", "condition", "supertype", "value", "R", I.CaseControlConfig(epochs=300))
+    out = I.case_control_analysis(li, None, "feature", "section", "sample", "condition", "supertype", "value", "R")
     return out.select("feature", "supertype", r("baseline", 4), r("shift", 4), "p_up", "p_down", "expressed", "shifted", r("log2fc", 4))
 
 
