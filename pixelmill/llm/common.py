@@ -66,3 +66,18 @@ def fresh(df: DataFrame, name: str) -> str:
 def held_out(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus = 2; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == 2
+
+
+def lookup(rows: DataFrame, key: str, unique: DataFrame, parts: int = 1000) -> DataFrame:
+    """rows joined (inner) with unique, which holds each key once; rows must be cheap to read again.
+
+    Keys that more than one row in `parts` holds are fewer than `parts`: what unique says of them is broadcast.  The rest
+    meets by a shuffle in which no key is common.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = rows.count()
+    hot = spool(sizes.where(F.col("_n") > max(total // parts, 1000)).select(key).where(F.col(key).isNotNull()))
+    if not hot.count():
+        return rows.join(unique, key)
+    common = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(unique.join(F.broadcast(hot), key, "left_semi")), key)
+    return common.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(unique, key))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, covertree, decontam, licenses, lm, pii, quality, sharding, simhash
+from . import bpe, chat, covertree, decontam, importance, licenses, lm, pii, quality, sharding, simhash, trie, urls
 from .common import held_out, table
 
 
@@ -86,6 +86,24 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.segments(rows.unionByName(added)))
 
 
+#: (host, path, verdict) of the rules that op11 applies: the query's fixed values.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = urls.build(spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+    return urls.judge(table(spark, sf_dir, "pages"), known, ["page_id"])
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.shared_prefixes_of_rebuilt(table(spark, sf_dir, "conversations"))
+
+
 OP5_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
@@ -109,5 +127,5 @@ CAST(sum(chars) AS BIGINT) AS formatted_chars, regexp_full_match(string_agg(code
 FROM f GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_sampled_sharding, op2_benchmark_decontamination, op3_license_scan, op4_quality_classifier, op5_cover_tree_near_dedup, op6_byte_bpe, op7_suffix_tree_scores, op8_bootstrapped_pii, op9_simhash_near_dedup, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_sampled_sharding, op2_benchmark_decontamination, op3_license_scan, op4_quality_classifier, op5_cover_tree_near_dedup, op6_byte_bpe, op7_suffix_tree_scores, op8_bootstrapped_pii, op9_simhash_near_dedup, op10_chat_formatting, op11_url_filter, op12_importance_resampling, op13_conversation_trie)}
 ORACLE_SQL = {"op2_benchmark_decontamination": OP2_SQL, "op5_cover_tree_near_dedup": OP5_SQL, "op10_chat_formatting": OP10_SQL}
