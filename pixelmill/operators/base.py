@@ -60,6 +60,21 @@ def ordered_index(df: DataFrame, keys: Sequence[str], name: str = "index") -> Da
     return parts.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + within - 1).drop("_part", "_offset")
 
 
+def lookup(rows: DataFrame, key: str, unique: DataFrame, parts: int = 1000, total: int | None = None) -> DataFrame:
+    """rows joined (inner) with unique, which holds each key once; rows must be cheap to read again.
+
+    Keys that more than one row in `parts` holds are fewer than `parts`: what unique says of them is broadcast.  The rest
+    meets by a shuffle in which no key is common.  total: how many rows there are, where that is known.
+    """
+    least = max((rows.count() if total is None else total) // parts, 1000)
+    common = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(key).collect()
+    if not common:
+        return rows.join(unique, key)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(common, rows.select(key).schema))
+    known = F.broadcast(unique.join(hot, key, "left_semi"))
+    return rows.join(known, key).unionByName(rows.join(hot, key, "left_anti").join(unique, key))
+
+
 def nan_to_null(value: Column) -> Column:
     return F.when(F.isnan(value), None).otherwise(value)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import cluster as C
+from ..operators import communities as M
 from ..operators import filters as X
 from ..operators import graph as G
 from ..operators import inference as I
@@ -439,7 +440,8 @@ def apply_tree(spark, sf_dir):
 @query()
 def pixel_communities(spark, sf_dir):
     """Communities of all pixels on the graph of their 15 nearest neighbours."""
-    return G.pixel_communities(G.knn_edges(_pixels(spark, sf_dir), "features", 15, 16, 16)).select(F.col("node").alias("pixel_id"), "community")
+    found = M.modularity_communities(G.knn_edges(_pixels(spark, sf_dir), "features", 15))
+    return found.select(F.col("node").alias("pixel_id"), "community")
 
 
 @query()

@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelmill.operators import cluster as C
+from pixelmill.operators import communities as M
 from pixelmill.operators import graph as G
 from pixelmill.operators import inference as I
 from pixelmill.operators import joins as J
 from pixelmill.operators import linear as L
 from pixelmill.operators import windows as W
+from pixelmill.operators.base import spool
 from pixelmill.sources import tables as T
 
 
@@ -79,10 +81,67 @@ def test_neighbours_and_communities_of_pixels(spark):
         assert [j for _, j in mine] == np.argsort(apart[i], kind="stable")[:6].tolist()
     some = {(r["src"], r["dst"]) for r in G.knn_edges(pixels, "features", 6, cells=5, probes=2).collect()}
     assert len(some & {(r["src"], r["dst"]) for r in edges}) >= 0.9 * len(edges)
-    labels = {r["node"]: r["community"] for r in G.pixel_communities(spark.createDataFrame(edges)).collect()}
+    labels = {r["node"]: r["community"] for r in M.modularity_communities(spark.createDataFrame(edges)).collect()}
     for part in range(3):  # communities stay within the groups, and are their smallest members
         mine = {labels[i] for i in range(30 * part, 30 * part + 30)}
-        assert all(30 * part <= c < 30 * part + 30 and labels[c] == c for c in mine) and len(mine) < 10
+        assert all(30 * part <= c < 30 * part + 30 and labels[c] == c for c in mine) and len(mine) < 6
+
+
+def test_neighbours_across_slices(spark, monkeypatch):
+    """Members and visitors of a cell in several slices, equal and far-off points, against brute force."""
+    monkeypatch.setattr(G, "SLICE", 17)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (60, 3)), rng.normal(1e6, 1, (40, 3)), np.ones((20, 3))])
+    pixels = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "pixel_id long, features array<double>")
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) + np.where(np.eye(120) > 0, np.inf, 0)
+    want = {(i, int(j)) for i in range(120) for j in np.argsort(apart[i], kind="stable")[:5]}
+    got = G.knn_edges(pixels, "features", 5, cells=3, probes=3)
+    assert {(r["src"], r["dst"]) for r in got.collect()} == want and got.count() == 600
+
+
+def test_nearest_is_the_same_at_every_size(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(1e4, 1, (200, 4)), 1)
+    ids = np.arange(200)
+    whole = G._nearest(ids, x, ids, x, 7)
+    monkeypatch.setattr(G, "BLOCK", 300)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, G._nearest(ids, x, ids, x, 7)))
+
+
+def planted(groups, size, inside, between, seed):
+    """Weighted edges of a random graph with denser groups, and its matrix."""
+    rng = np.random.default_rng(seed)
+    of = np.repeat(np.arange(groups), size)
+    w = np.where(rng.random((len(of), len(of))) < np.where(of[:, None] == of[None], inside, between), rng.integers(1, 4, (len(of), len(of))), 0)
+    w = np.triu(w, 1)
+    return [(int(i), int(j), float(w[i, j])) for i, j in zip(*np.nonzero(w))], (w + w.T).astype(float)
+
+
+@pytest.mark.parametrize("coarse", [0, 1024])
+def test_modularity_communities(spark, coarse):
+    """Planted groups come back, connected and named by their smallest node, with the quality of the driver's method."""
+    edges, w = planted(5, 24, 0.4, 0.02, 7)
+    frame = spark.createDataFrame(edges, "src long, dst long, weight double")
+    found = spool(M.modularity_communities(frame, weight="weight", coarse=coarse))
+    labels = np.array([r["community"] for r in found.orderBy("node").collect()])
+    q = G.modularity(frame, found).first()["q"]
+    assert q >= G.partition_quality(w, G.leiden(w)) - 0.02
+    assert q == pytest.approx(G.partition_quality(w, labels), abs=1e-9)
+    for g in range(5):  # nearly all of a group together
+        assert np.bincount(labels[24 * g:24 * g + 24]).max() >= 22
+    for c in np.unique(labels):
+        inside = np.flatnonzero(labels == c)
+        assert inside[0] == c
+        reached = np.linalg.matrix_power(w[np.ix_(inside, inside)] + np.eye(len(inside)), len(inside))
+        assert (reached[0] > 0).all()
+
+
+def test_communities_of_odd_graphs(spark):
+    none = spark.createDataFrame([], "src long, dst long")
+    assert M.modularity_communities(none).count() == 0
+    odd = [("a", "b", 1.0), ("b", "a", 1.0), ("c", "c", 2.0), ("d", None, 1.0), ("e", "f", 0.0), ("g", "h", 5.0), ("h", "g", None)]
+    got = {r["node"]: r["community"] for r in M.modularity_communities(spark.createDataFrame(odd, "src string, dst string, weight double"), weight="weight").collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "g": "g", "h": "g"}
 
 
 def test_noise_model(spark):
