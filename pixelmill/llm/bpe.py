@@ -8,8 +8,8 @@ encoded up to the boundary that it shares with the next one, and a text's ids ar
 an overlap holds no common boundary (one long run of letters, say), the text is gone through in one task, where the
 earlier chunk is cut again, longer, from its last final boundary.  Only chunks of long texts are shuffled.
 
-Defined cases: null is the empty text with no ids; repeated rows and extra columns do not matter, but the columns that are
-kept must not be named like those of the result or begin with an underscore; empty tables give empty results.
+Defined cases: null is the empty text with no ids; repeated rows and extra columns do not matter, but columns that
+are kept under a name of the result raise ValueError; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import extended, require_free, shelved
+
 #: Characters of a chunk and of the overlap with the next one.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: A pre-token is settled once so many characters behind its start are known and one behind its end (the longest fixed
@@ -172,8 +174,9 @@ def _over(docs: DataFrame, path: str, pattern: str, columns: list[str], row: Cal
     """columns of docs and what `row` makes of the ids of each text."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))  # the vocabulary's size is fixed
     find = finder(pattern)
-    kept = docs.select(*columns)
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
+    require_free(columns, schema.names)
+    columns, put, back = shelved(columns)
+    kept = docs.select(*put)
     width = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,12 +214,12 @@ def _over(docs: DataFrame, path: str, pattern: str, columns: list[str], row: Cal
         ids = codec.stitched(list(zip(*(table.column(c).to_pylist() for c in ("_text", *halves.names)))))
         return pa.table([c[:1] for c in table.columns[:width]] + [pa.array([v], f.type) for v, f in zip(row(codec, ids), schema)], names=columns + schema.names)
 
-    texts = docs.select(*columns, F.col(text_col).cast("string").alias("_text"))
+    texts = docs.select(*put, F.col(text_col).cast("string").alias("_text"))
     long = F.coalesce(F.length("_text"), F.lit(0)) > CHUNK + OVERLAP
-    short = texts.where(~long).mapInArrow(run, kinds + ddl)
-    cuts = texts.where(long).select(*columns, F.monotonically_increasing_id().alias("_row"), "_text").mapInArrow(cut, kinds + "_row long, _no long, _last boolean, _text string")
-    dealt = cuts.repartition("_row", "_no").mapInArrow(chunks, kinds + "_row long, _no long, _text string, _ids binary, _bounds array<int>, _before array<int>, _meet int")
-    return short.unionByName(dealt.groupBy("_row").applyInArrow(stitch, kinds + ddl))
+    short = texts.where(~long).mapInArrow(run, extended(kept, ddl))
+    cuts = texts.where(long).select(*columns, F.monotonically_increasing_id().alias("_row"), "_text").mapInArrow(cut, extended(kept, "_row long, _no long, _last boolean, _text string"))
+    dealt = cuts.repartition("_row", "_no").mapInArrow(chunks, extended(kept, "_row long, _no long, _text string, _ids binary, _bounds array<int>, _before array<int>, _meet int"))
+    return short.unionByName(dealt.groupBy("_row").applyInArrow(stitch, extended(kept, ddl))).select(*back, *schema.names)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, columns: list[str], text_col: str = "text") -> DataFrame:
@@ -236,8 +239,9 @@ def decode(encoded: DataFrame, path: str, columns: list[str], ids_col: str = "id
             texts = [b"".join(map(bytes_of, ids or ())).decode(errors="replace") for ids in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*columns, "text"])
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in encoded.select(*columns).schema)
-    return encoded.select(*columns, F.col(ids_col).alias("__ids")).mapInArrow(run, kinds + "text string")
+    require_free(columns, ["text"])
+    columns, put, back = shelved(columns)
+    return encoded.select(*put, F.col(ids_col).alias("__ids")).mapInArrow(run, extended(encoded.select(*put), "text string")).select(*back, "text")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, columns: list[str], text_col: str = "text") -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -55,6 +57,35 @@ def literal_array(values: list, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
+def col(name: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def cols(names: Sequence[str]) -> list[Column]:
+    return [col(n) for n in names]
+
+
+def shelved(keep: Sequence[str]) -> tuple[list[str], list[Column], list[Column]]:
+    """Plain names for kept columns of any name, the columns under them, and the columns back under their own names:
+    functions over Arrow batches look columns up by unquoted names."""
+    plain = [f"_kept{i}" for i in range(len(keep))]
+    return plain, [col(k).alias(p) for k, p in zip(keep, plain)], [F.col(p).alias(k) for k, p in zip(keep, plain)]
+
+
+def extended(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of df, whatever its names and types, and the columns of ddl behind it."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
+def require_free(keep: Sequence[str], own: Sequence[str]) -> None:
+    """Raises ValueError where kept columns clash with each other or with an operator's own."""
+    names = [n.lower() for n in (*keep, *own)]
+    twice = sorted({n for n in names if names.count(n) > 1})
+    if twice:
+        raise ValueError(f"columns clash: {', '.join(twice)}")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not use."""
     taken = {c.lower() for c in df.columns}
@@ -66,18 +97,3 @@ def fresh(df: DataFrame, name: str) -> str:
 def held_out(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus = 2; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == 2
-
-
-def lookup(rows: DataFrame, key: str, unique: DataFrame, parts: int = 1000) -> DataFrame:
-    """rows joined (inner) with unique, which holds each key once; rows must be cheap to read again.
-
-    Keys that more than one row in `parts` holds are fewer than `parts`: what unique says of them is broadcast.  The rest
-    meets by a shuffle in which no key is common.
-    """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    total = rows.count()
-    hot = spool(sizes.where(F.col("_n") > max(total // parts, 1000)).select(key).where(F.col(key).isNotNull()))
-    if not hot.count():
-        return rows.join(unique, key)
-    common = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(unique.join(F.broadcast(hot), key, "left_semi")), key)
-    return common.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(unique, key))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh, literal_array, spool
+from .common import ascii_lower, col, cols, fresh, literal_array, spool
 
 N = 13
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -109,7 +109,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", n:
     small = bad.count() <= MAX_BROADCAST
     if mode == "documents":
         keys = bad.select(row)
-        return numbered.join(F.broadcast(keys) if small else keys, row, "left_anti").select(docs.columns)
+        return numbered.join(F.broadcast(keys) if small else keys, row, "left_anti").select(cols(docs.columns))
     spans = fresh(docs, "_spans")
     bad = bad.select(row, F.col("_spans").alias(spans))
     text = F.col(text_col)
@@ -117,4 +117,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", n:
     held = F.transform(words, lambda w, i: F.when(F.exists(F.col(spans), lambda s: (i >= s.pos) & (i < s.pos + s.k)), F.lit("")).otherwise(F.concat(w, F.get(gaps, i + 1))))
     cut = F.concat(F.get(gaps, F.lit(0)), F.array_join(held, ""))
     joined = numbered.join(F.broadcast(bad) if small else bad, row, "left")
-    return joined.select(*(F.when(F.col(spans).isNull(), text).otherwise(cut).alias(text_col) if c == text_col else F.col(c) for c in docs.columns))
+    return joined.select(*(F.when(F.col(spans).isNull(), text).otherwise(cut).alias(text_col) if c == text_col else col(c) for c in docs.columns))

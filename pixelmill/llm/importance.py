@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pixelmill.operators.base import ordered_index
 
-from .common import literal_array, spool
+from .common import col, cols, literal_array, spool
 from .decontam import words_of
 
 BUCKETS, RUN, LEAST_WORDS = 10_000, 3, 20
@@ -40,8 +40,8 @@ def bucket_array(words: Column, buckets: int = BUCKETS, run: int = RUN) -> Colum
 
 def bucketed(texts: DataFrame, keep: list[str], text_col: str = "text", buckets: int = BUCKETS, run: int = RUN) -> DataFrame:
     """The columns `keep`, n_words and buckets of each row of texts."""
-    words = texts.select(*(F.col(f"`{c}`") for c in keep), words_of(F.col(text_col).cast("string")).alias("_words"))
-    return words.select(*(F.col(f"`{c}`") for c in keep), F.size("_words").cast("long").alias("n_words"), bucket_array(F.col("_words"), buckets, run).alias("buckets"))
+    words = texts.select(*cols(keep), words_of(col(text_col).cast("string")).alias("_words"))
+    return words.select(*cols(keep), F.size("_words").cast("long").alias("n_words"), bucket_array(F.col("_words"), buckets, run).alias("buckets"))
 
 
 def totals(arrays: DataFrame) -> dict[int, int]:
@@ -87,13 +87,13 @@ def draw(scored: DataFrame, share: float, least_words: int = LEAST_WORDS) -> Dat
     may = usable & (cell >= least)
     numbered = scored.where(may).withColumns({"_down": -F.col("score"), "_row": F.monotonically_increasing_id()})
     rank = F.when(F.col("_at") < wanted, F.col("_at") + 1).cast("long").alias("rank")
-    ranked = ordered_index(numbered, ["_down", "doc_id", "_row"], "_at").select(*(F.col(f"`{c}`") for c in scored.columns), rank)
+    ranked = ordered_index(numbered, ["_down", "doc_id", "_row"], "_at").select(*cols(scored.columns), rank)
     return scored.where(~may).select("*", null).unionByName(ranked)
 
 
 def resample(docs: DataFrame, target: DataFrame, share: float = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", target_col: str = "text") -> DataFrame:
     """doc_id, n_features, n_words, weight, score and rank of each row of docs; rank is null where it is not drawn."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     arrays = spool(bucketed(rows, ["doc_id"]))
     gain = gains(totals(arrays), totals(bucketed(target, [], target_col)))
     weighed = arrays.select("doc_id", F.size("buckets").cast("long").alias("n_features"), "n_words", weight(gain).alias("weight"))
@@ -103,4 +103,4 @@ def resample(docs: DataFrame, target: DataFrame, share: float = 5, seed: int = 4
 def selected(docs: DataFrame, target: DataFrame, share: float = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is drawn."""
     drawn = resample(docs, target, share, seed, id_col, text_col).where("rank IS NOT NULL").select(F.col("doc_id").alias("_drawn")).distinct()
-    return docs.join(drawn, F.col(f"`{id_col}`").eqNullSafe(F.col("_drawn")), "left_semi")
+    return docs.join(drawn, col(id_col).eqNullSafe(F.col("_drawn")), "left_semi")

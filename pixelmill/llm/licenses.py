@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import extended, require_free, shelved
+
 #: Public license notices and grants, by SPDX identifier.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -177,10 +179,10 @@ class Scanner:
 def scan(docs: DataFrame, keep: list[str], templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs, license and coverage of the best template (null, 0), first_word, end_word, all licenses
     found (names, best first), and all copies (license, coverage, first_word, end_word; by template name and place)."""
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    names = [*keep, "license", "coverage", "first_word", "end_word", "licenses", "copies"]
-    if len({n.lower() for n in names}) < len(names):
-        raise ValueError("keep names a column of the result")
+    own = ["license", "coverage", "first_word", "end_word", "licenses", "copies"]
+    require_free(keep, own)
+    plain, put, back = shelved(keep)
+    names = [*plain, *own]
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
     chosen = dict(TEMPLATES if templates is None else templates)
 
@@ -193,5 +195,5 @@ def scan(docs: DataFrame, keep: list[str], templates: dict[str, str] | None = No
             columns += [pa.array([[x[0] for x in f] for f, _ in found], pa.list_(pa.string())), pa.array([[dict(zip(names[-6:-2], c)) for c in copies] for _, copies in found], kind)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=names)
 
-    schema = kinds + "license string, coverage double, first_word long, end_word long, licenses array<string>, copies array<struct<license: string, coverage: double, first_word: long, end_word: long>>"
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    schema = extended(docs.select(*put), "license string, coverage double, first_word long, end_word long, licenses array<string>, copies array<struct<license: string, coverage: double, first_word: long, end_word: long>>")
+    return docs.select(*put, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema).select(*back, *own)

@@ -19,7 +19,7 @@ looked up in place, all others by a join, summed per document first.
 
 Defined cases: a null or empty text is one end; rows are scored each for itself, repeated or not; with no training row
 N and V are 0 and each byte has probability 1/257; empty tables give empty results; extra columns do not matter, and
-`keep` must not name a column of the result.
+a name in `keep` that the result needs raises ValueError.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, spool
+from .common import LOWER_BYTES, extended, require_free, shelved, spool
 
 #: Most bytes of a context: grams of one more fit into a long.
 DEPTH = 6
@@ -494,10 +494,22 @@ def fit(training: DataFrame, text_col: str = "text") -> Model:
     return Model(rows, root, parts_of(rows), words, dictionary, tokens, kinds, least)
 
 
+def _plain(automaton: Automaton) -> list:
+    """What is broadcast: arrays only, for executors know nothing of this package."""
+    return [automaton.root, automaton.levels, automaton.tails]
+
+
+def _built(arrays: list) -> Automaton:
+    """The automaton of broadcast arrays, made once a worker and kept behind them with what it remembers."""
+    if len(arrays) < 4:
+        arrays.append(Automaton(*arrays))
+    return arrays[3]
+
+
 def _partial(shared):
     """_row, _key (joins with nothing) and the part's own sum of each row of (_row, _text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
+        automaton = _built(shared.value)
         for batch in batches:
             scores = [x for part in _slices(t.as_py() for t in batch.column(1)) for x in automaton.scores(part)]
             rows = batch.column(0)
@@ -508,13 +520,15 @@ def _partial(shared):
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs, n_tokens, n_known, base_score and score of each row."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((load(model.rows, model.root, model.parts[0]), model.dictionary))
-    kept = docs.select(*keep)
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
+    require_free(keep, ["n_tokens", "n_known", "base_score", "score"])
+    keep, put, back = shelved(keep)
+    shared = spark.sparkContext.broadcast((_plain(load(model.rows, model.root, model.parts[0])), model.dictionary))
+    kept = docs.select(*put)
     names = [*keep, "_row", "_key", "_times", "_tokens", "_known", "_sum", "_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, dictionary = shared.value
+        arrays, dictionary = shared.value
+        automaton = _built(arrays)
         get, end = dictionary.get, dictionary.get(END)
         for batch in batches:
             done = 0
@@ -550,22 +564,22 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
                 own = [pa.array(row, pa.int64()), pa.array(key, pa.binary()), pa.array(times, pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(total, pa.float64())]
                 yield pa.RecordBatch.from_arrays([*(picked.columns if keep else []), *own], names=names)
 
-    numbered = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), F.col(text_col).cast("string").cast("binary").alias("_text"))
+    numbered = docs.select(*put, F.monotonically_increasing_id().alias("_row"), F.col(text_col).cast("string").cast("binary").alias("_text"))
     if len(model.parts) > 1:
         numbered = spool(numbered)  # read once for each part
-    flat = numbered.mapInArrow(run, kinds + "_row long, _key binary, _times long, _tokens long, _known long, _sum double, _score double")
+    flat = numbered.mapInArrow(run, extended(kept, "_row long, _key binary, _times long, _tokens long, _known long, _sum double, _score double"))
     rest = model.words.where((F.col("n") < model.least) & (F.col("word") != F.lit(END))).select(F.col("word").alias("_key"), "n")
     for tails in model.parts[1:]:
-        more = numbered.select("_row", "_text").mapInArrow(_partial(spark.sparkContext.broadcast(load(model.rows, model.root, tails))), "_row long, _key binary, _score double")
+        more = numbered.select("_row", "_text").mapInArrow(_partial(spark.sparkContext.broadcast(_plain(load(model.rows, model.root, tails)))), "_row long, _key binary, _score double")
         flat = flat.unionByName(more, allowMissingColumns=True)
     joined = flat.join(rest, "_key", "left")
     n = F.coalesce("n", F.lit(0))
     sums = joined.groupBy("_row").agg(
-        *(F.max(c).alias(c) for c in keep),
+        *(F.first(c, ignorenulls=True).alias(c) for c in keep),
         F.max("_tokens").alias("n_tokens"),
         (F.max("_known") + F.sum(F.when(n > 0, F.col("_times")).otherwise(0))).alias("n_known"),
         (F.max("_sum") + F.sum(F.col("_times") * F.log10(n + 1))).alias("_sum"),
         F.sum("_score").alias("score"),
     )
     base = F.col("_sum") - F.col("n_tokens") * F.log10(F.lit(float(model.tokens + model.kinds + 1)))
-    return sums.select(*keep, "n_tokens", "n_known", base.alias("base_score"), "score")
+    return sums.select(*back, "n_tokens", "n_known", base.alias("base_score"), "score")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, spool
+from .common import col, cols, fresh, spool
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -210,7 +210,7 @@ def find(docs: DataFrame, keep: list[str], text_col: str = "text") -> tuple[Data
     row = fresh(docs, "_row")
     found, base, loose = with_spans(docs, text_col)
     # written once: a second scan may be split otherwise and would number other rows
-    held = spool(found.select(*(F.col(f"`{c}`") for c in keep), F.monotonically_increasing_id().alias(row), *base.values(), *loose.values()))
+    held = spool(found.select(*cols(keep), F.monotonically_increasing_id().alias(row), *base.values(), *loose.values()))
     entities = None
     for columns, seed in ((base, True), (loose, False)):
         for kind, column in columns.items():
@@ -222,7 +222,7 @@ def find(docs: DataFrame, keep: list[str], text_col: str = "text") -> tuple[Data
     edges = spool(entities.select("kind", "value", beside.alias("context")).where("length(context) > 1").groupBy("kind", "value", "context").agg(F.count("*").alias("n")))
     # only a context of MIN_SEEDS values, known or not, can become a pattern in any round
     contexts = spool(edges.groupBy("kind", "context").agg(F.count("*").alias("values")).where(F.col("values") >= MIN_SEEDS).select("context").distinct())
-    occurs = spool(_occurrences((held if text_col in keep else docs).select(F.col(f"`{text_col}`").cast("string").alias("text")), contexts))
+    occurs = spool(_occurrences((held if text_col in keep else docs).select(col(text_col).cast("string").alias("text")), contexts))
     known = spool(entities.groupBy("kind", "value").agg(F.max("seed").alias("known")))
     reached_before, values = -1, known.where("known").count()
     while values > reached_before:
@@ -256,9 +256,9 @@ def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     extra = new.groupBy("row").agg(F.collect_list(F.struct(_order(F.col("kind")).cast("long").alias("place"), "start", "end", "kind")).alias("extra"))
     base = F.concat(*(_typed(k, F.col(names[k])) for k in KINDS))
     counts = [F.size(names[k]).cast("long").alias(f"n_{k}") for k in KINDS]
-    joined = held.select(F.col(f"`{id_col}`"), F.col(row).alias("row"), *counts, base.alias("base")).join(extra, "row", "left")
+    joined = held.select(col(id_col), F.col(row).alias("row"), *counts, base.alias("base")).join(extra, "row", "left")
     every = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.concat("base", "extra"))
-    return joined.select(f"`{id_col}`", *(f"n_{k}" for k in KINDS), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(every).alias("spans"))
+    return joined.select(col(id_col), *(f"n_{k}" for k in KINDS), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(every).alias("spans"))
 
 
 def _named(kind: str, column: str) -> Column:
@@ -271,7 +271,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     extra = fresh(held, "_extra")
     found = new.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("start", "end", "kind")).alias(extra))
     small = new.count() <= MAX_BROADCAST
-    text = F.col(f"`{text_col}`").cast("string")
+    text = col(text_col).cast("string")
     whole = held.join(F.broadcast(found) if small else found, row, "left")
     base = F.concat(*(_named(k, names[k]) for k in KINDS))
     every = F.array_sort(F.when(F.col(extra).isNull(), base).otherwise(F.concat(base, F.col(extra))))
@@ -284,4 +284,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     start = F.struct(F.lit(0).alias("end"), F.lit("").alias("out"))
     clean = F.aggregate(every, start, cut, lambda a: F.concat(a.out, F.substring(text, a.end + 1, F.length(text))))
     masked = F.when(F.size(every) > 0, clean).otherwise(text)
-    return whole.select(*(masked.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    return whole.select(*(masked.alias(c) if c == text_col else col(c) for c in docs.columns))

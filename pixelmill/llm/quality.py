@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, held_out
+from .common import col, cols, extended, fresh, held_out, shelved
 
 #: Bytes of a chunk and from one chunk to the next; width, stride and number of the filters.
 CHUNK, STEP, WIDTH, STRIDE, FILTERS = 256, 240, 6, 1, 16
@@ -170,10 +170,9 @@ def score(docs: DataFrame, net: Net, text_col: str = "text", name: str = "score"
     """docs with the score of each whole text."""
     if name.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"docs have a column {name}")
-    text = fresh(docs, "_bytes")
-    schema = docs.schema
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    names = [f.name for f in schema] + [name]
+    plain, put, back = shelved(docs.columns)
+    rows = docs.select(*put, col(text_col).cast("string").cast("binary").alias("_bytes"))
+    names = [*plain, "_score"]
     parts = (net.table, net.bias, net.weight, net.base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +183,10 @@ def score(docs: DataFrame, net: Net, text_col: str = "text", name: str = "score"
                 found = own.scores([t or b"" for t in part.columns[-1].to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.float64())], names=names)
 
-    return docs.withColumn(text, F.col(text_col).cast("string").cast("binary")).mapInArrow(run, f"{kinds}, `{name}` double")
+    return rows.mapInArrow(run, extended(rows.drop("_bytes"), "_score double")).select(*back, F.col("_score").alias(name))
 
 
 def keep_good(docs: DataFrame, net: Net, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score below the threshold."""
     name = fresh(docs, "_score")
-    return score(docs, net, text_col, name).where(F.col(name) >= threshold).select(docs.columns)
+    return score(docs, net, text_col, name).where(F.col(name) >= threshold).select(cols(docs.columns))

@@ -127,5 +127,61 @@ CAST(sum(chars) AS BIGINT) AS formatted_chars, regexp_full_match(string_agg(code
 FROM f GROUP BY conv_id
 """
 
+OP11_SQL = r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS mark, row_number() OVER () AS n FROM pages),
+r AS (SELECT page_id, n, CASE WHEN mark > 0 THEN substr(url, mark + 3) ELSE '' END AS rest FROM u),
+h AS (SELECT page_id, n, rest, regexp_extract(rest, '^[^/?#]*') AS host FROM r),
+p AS (SELECT page_id, n, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM h),
+l(rule_host, rule_path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+j AS (SELECT page_id, n, host, path, rule_host || rule_path AS rule, verdict FROM p LEFT JOIN l ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, coalesce(arg_max(verdict, length(rule)), 'allow') AS verdict FROM j GROUP BY page_id, n, host, path
+"""
+
+#: A crc32 by its table of 256 entries, made here from the polynomial; c.tab is that table.
+CRC_TABLE = "c AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i)))"
+
+
+def _crc(text: str) -> str:
+    """SQL of the unsigned crc32 of the UTF-8 bytes of `text`, beside c."""
+    number = f"list_transform(range(1, CAST(length(hex({text})) AS BIGINT), 2), lambda i: CAST('0x' || substr(hex({text}), i, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {number}), lambda a, b: xor(a >> 8, c.tab[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+OP12_SQL = rf"""
+WITH {CRC_TABLE},
+d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+k AS (SELECT unnest([1, 2, 3]) AS k),
+dg AS (SELECT n, array_to_string(list_slice(w, i, i + k - 1), ' ') AS gram FROM (SELECT n, w, k, unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) AS i FROM d, k WHERE len(w) >= k)),
+bg AS (SELECT array_to_string(list_slice(w, i, i + k - 1), ' ') AS gram FROM (SELECT w, k, unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) AS i FROM b, k WHERE len(w) >= k)),
+g AS (SELECT gram, {_crc("gram")} % 10000 AS bucket FROM (SELECT DISTINCT gram FROM (SELECT gram FROM dg UNION ALL SELECT gram FROM bg)), c),
+s AS (SELECT bucket, count(*) AS s FROM dg JOIN g USING (gram) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM bg JOIN g USING (gram) GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (sum(coalesce(s, 0)) OVER () + 10000)::DOUBLE / ((coalesce(s, 0) + 1.0::DOUBLE) * (sum(coalesce(t, 0)) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain
+FROM (SELECT unnest(range(10000)) AS bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+w AS (SELECT n, count(*) AS n_features, sum(gain) AS weight FROM dg JOIN g USING (gram) JOIN gain USING (bucket) GROUP BY n),
+h AS (SELECT n, doc_id, len(w) AS words, CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d),
+v AS (SELECT n, doc_id, words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM h LEFT JOIN w USING (n)),
+o AS (SELECT n, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n) AS rank, count(*) OVER () AS total FROM v WHERE words >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN rank <= 5 * total // 100 THEN CAST(rank AS BIGINT) END AS rank FROM v LEFT JOIN o USING (n)
+"""
+
+OP13_SQL = f"""
+WITH {CRC_TABLE},
+a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+m AS (SELECT conv_id, sha256(length(role) || ':' || role || ':' || text) AS mark, octet_length(encode(text)) AS bytes, turn FROM a),
+p AS (SELECT conv_id, mark, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, mark) AS pos FROM m),
+i AS (SELECT conv_id, conv_id - ((conv_id % 5) + 5) % 5 AS base, {_crc("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM a), c),
+r AS (SELECT i.conv_id, 0 AS part, pos, mark, bytes FROM i JOIN p ON p.conv_id = i.base AND pos <= h UNION ALL SELECT i.conv_id, 1, pos, mark, bytes FROM i JOIN p ON p.conv_id = i.conv_id AND pos > h),
+s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, string_agg(mark, '') OVER (PARTITION BY conv_id ORDER BY part, pos) AS key, bytes FROM r
+UNION ALL SELECT conv_id, 0, '', 0 FROM i),
+z AS (SELECT conv_id, max(depth) AS last FROM s GROUP BY conv_id),
+n AS (SELECT key, depth, min(s.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(bytes) AS saved,
+sha256(coalesce(string_agg(CAST(s.conv_id AS VARCHAR), ',' ORDER BY s.conv_id) FILTER (depth = last), '')) AS ends_sha256 FROM s JOIN z ON s.conv_id = z.conv_id GROUP BY key, depth),
+k AS (SELECT n.key, count(b.key) AS n_children FROM n LEFT JOIN n b ON b.depth = n.depth + 1 AND starts_with(b.key, n.key) GROUP BY n.key),
+t AS (SELECT n.key, count(*) FILTER (n_children = 0) AS n_leaves, sum(b.saved) AS saved_tokens FROM n JOIN n b ON starts_with(b.key, n.key) JOIN k ON k.key = b.key GROUP BY n.key)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN k ON k.key = n.key JOIN t ON t.key = n.key LEFT JOIN n up ON up.depth = n.depth - 1 AND starts_with(n.key, up.key)
+"""
+
 QUERIES = {f.__name__: f for f in (op1_sampled_sharding, op2_benchmark_decontamination, op3_license_scan, op4_quality_classifier, op5_cover_tree_near_dedup, op6_byte_bpe, op7_suffix_tree_scores, op8_bootstrapped_pii, op9_simhash_near_dedup, op10_chat_formatting, op11_url_filter, op12_importance_resampling, op13_conversation_trie)}
-ORACLE_SQL = {"op2_benchmark_decontamination": OP2_SQL, "op5_cover_tree_near_dedup": OP5_SQL, "op10_chat_formatting": OP10_SQL}
+ORACLE_SQL = {"op2_benchmark_decontamination": OP2_SQL, "op5_cover_tree_near_dedup": OP5_SQL, "op10_chat_formatting": OP10_SQL, "op11_url_filter": OP11_SQL, "op12_importance_resampling": OP12_SQL, "op13_conversation_trie": OP13_SQL}

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, fresh, spool
+from .common import LOWER_BYTES, cols, fresh, spool
 from .components import connected_components, forest
 
 SHINGLE, SEED, BITS = 3, 42, 2
@@ -182,7 +182,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     first = order.groupBy("component_id").agg(F.min(F.struct("_id", row)).alias("least")).select(F.col(f"least.{row}").alias(row))
     gone = spool(order.select(row).join(first, row, "left_anti"))
     small = gone.count() <= MAX_BROADCAST
-    return numbered.join(F.broadcast(gone) if small else gone, row, "left_anti").select(docs.columns)
+    return numbered.join(F.broadcast(gone) if small else gone, row, "left_anti").select(cols(docs.columns))
 
 
 def as_hex(fp):

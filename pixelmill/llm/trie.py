@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixelmill.operators.base import ranged
+from pixelmill.operators.base import lookup, ranged
 
-from .common import lookup, spool
+from .common import spool
 
 LANES = 4
 ROOT = "root"

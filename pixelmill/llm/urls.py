@@ -10,8 +10,9 @@ The list goes to executors as a file of the shared folder (Spark fetches it once
 a check of its size; a list beyond MAX_BYTES is joined by key instead, hot keys apart.
 
 Defined cases: a url that is null or has no `://` has an empty host and path, which no rule fits; a rule without a host
-is an error; of equal rules with different verdicts "block" holds; repeated urls are judged each for itself; empty
-tables give empty results or default verdicts; clashing names of kept columns are an error, others do not matter.
+is an error; of rules of equal length that fit
+the one with the longer host holds, of equal rules with different verdicts "block"; repeated urls are judged each for itself; empty
+tables give empty results or default verdicts; kept columns under a name of the result raise ValueError, others do not matter.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import ascii_lower, lookup, shared_dir, spool
+from pixelmill.operators.base import lookup
+
+from .common import ascii_lower, col, extended, require_free, shared_dir, shelved, spool
 
 #: Most bytes of a list (its strings and 17 bytes a rule) that are shipped as a file.
 MAX_BYTES = 256 << 20
@@ -136,18 +138,17 @@ def candidates(host: Column, path: Column, known: UrlList) -> Column:
 
 def judge(pages: DataFrame, known: UrlList, keep: list[str], url_col: str = "url", default: str = "allow") -> DataFrame:
     """The columns `keep` of pages, host, path, rule (the longest that fits, else null) and verdict of each row."""
-    taken = {c.lower() for c in keep} & {*FOUND, "_keys", "_digests"}
-    if taken or len({c.lower() for c in keep}) < len(keep):
-        raise ValueError(f"kept columns clash: {', '.join(sorted(taken) or keep)}")
-    host, path = host_and_path(F.col(url_col))
-    cut = pages.select(*(F.col(f"`{c}`") for c in keep), host.alias("host"), path.alias("path"))
+    require_free(keep, FOUND)
+    plain, put, back = shelved(keep)
+    host, path = host_and_path(col(url_col))
+    cut = pages.select(*put, host.alias("host"), path.alias("path"))
     if not known.count:
-        return cut.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return cut.select(*back, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     probed = cut.withColumn("_keys", candidates(F.col("host"), F.col("path"), known))
     if known.name is None:
-        return _joined(probed, known, default)
+        return _joined(probed, known, default).select(*back, *FOUND)
     probed = probed.withColumn("_digests", F.transform("_keys", lambda k: F.xxhash64(k)))
-    name, n_keep, names = known.name, len(keep), [*keep, *FOUND]
+    name, n_keep, names = known.name, len(keep), [*plain, *FOUND]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Mapped(SparkFiles.get(name))
@@ -166,21 +167,19 @@ def judge(pages: DataFrame, known: UrlList, keep: list[str], url_col: str = "url
                     rules[row], verdicts[row] = key, "block" if held.verdicts[rule] else "allow"
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep + 2], pa.array(rules, pa.string()), pa.array(verdicts, pa.string())], names=names)
 
-    text = T.StringType()
-    schema = T.StructType([*cut.schema.fields, T.StructField("rule", text), T.StructField("verdict", text)])
-    return probed.mapInArrow(run, schema)
+    return probed.mapInArrow(run, extended(cut, "rule string, verdict string")).select(*back, *FOUND)
 
 
 def _joined(probed: DataFrame, known: UrlList, default: str) -> DataFrame:
     """For a list too large to ship: candidates meet the rules by key, common ones apart from the rest."""
     rows = spool(probed.withColumn("_row", F.monotonically_increasing_id()))
     keys = rows.select("_row", F.explode("_keys").alias("key"))
-    best = lookup(keys, "key", known.table).groupBy("_row").agg(F.max(F.struct(F.length("key"), "key", "verdict")).alias("_best"))
-    kept = [F.col(f"`{c}`") for c in probed.columns if c != "_keys"]
-    return rows.join(best, "_row", "left").select(*kept, F.col("_best.key").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    best = lookup(keys, "key", known.table).groupBy("_row").agg(F.max(F.struct(F.length("key"), F.length(F.substring_index("key", "/", 1)), "key", "verdict")).alias("_best"))
+    return rows.join(best, "_row", "left").select(*(c for c in probed.columns if c != "_keys"), F.col("_best.key").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
 
 
 def allowed(pages: DataFrame, known: UrlList, url_col: str = "url", default: str = "allow") -> DataFrame:
     """The rows of pages whose url is allowed, all columns as they are."""
-    whole = pages.select(F.col(f"`{url_col}`").alias("_url"), F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("_all"))
-    return judge(whole, known, ["_all"], "_url", default).where("verdict = 'allow'").select("_all.*")
+    _, put, back = shelved(pages.columns)
+    whole = pages.select(col(url_col).alias("_url"), F.struct(*put).alias("_all"))
+    return judge(whole, known, ["_all"], "_url", default).where("verdict = 'allow'").select("_all.*").select(*back)
