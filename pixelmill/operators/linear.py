@@ -72,12 +72,12 @@ def _loadings(x: np.ndarray, h: np.ndarray, steps: int = 200, tolerance: float =
 
 
 def fit_nmf(pixels: DataFrame, vector: str, low: float = 0.8, high: float = 1.5, steps: int = 100, alpha: float = 0.7, iterations: int = 30, tolerance: float = 1e-4, seed: int = 42) -> Nmf:
-    """Seeded NMF: communities of the positive feature correlations over a sweep of resolutions give representatives; their
+    """Seeded NMF: communities of the absolute feature correlations over a sweep of resolutions give representatives; their
     clipped correlations are the first H.  Each iteration is one pass that returns W'W and W'X, never W."""
     corr = correlation(pixels, vector)
-    positive = np.clip(corr, 0, None)
-    np.fill_diagonal(positive, 0)
-    labels = resolution_sweep(positive, low, high, steps, alpha, seed)
+    strength = np.abs(corr)
+    np.fill_diagonal(strength, 0)
+    labels = resolution_sweep(strength, low, high, steps, alpha, seed)
     chosen = medoids(corr, labels)
     offset = min(0.0, float(pixels.select(F.array_min(vector).alias("m")).agg(F.min("m")).first()[0] or 0.0))
     h = np.clip(corr[chosen], 1e-6, None)
@@ -266,13 +266,47 @@ def linkage(distance: np.ndarray, weighted: bool = True) -> list[tuple[int, int,
 
 
 def leaf_order(merges: list[tuple[int, int, float, int]], distance: np.ndarray) -> list[int]:
-    """Leaves of a linkage; each merge is turned so that its nearest ends meet."""
+    """Leaves in the order, of all that turning the merges can give, whose neighbours' distances have the least sum; the
+    smaller end first.
+
+    For each merge the cheapest order with given outer leaves is known: of the outer and the meeting leaves of its two
+    sides (one cubic step a merge; the tree has a few hundred leaves)."""
     n = len(merges) + 1
-    groups = {i: [i] for i in range(n)}
-    for step, (a, b, _, _) in enumerate(merges):
-        x, y = groups.pop(a), groups.pop(b)
-        groups[n + step] = min((p + q for p in (x, x[::-1]) for q in (y, y[::-1])), key=lambda o: (distance[o[len(x) - 1], o[len(x)]], o))
-    return next(iter(groups.values())) if n else []
+    if n == 1:
+        return [0]
+    leaves, cost = {i: [i] for i in range(n)}, {i: np.zeros((1, 1)) for i in range(n)}
+
+    def met(a: int, b: int) -> np.ndarray:
+        """Outer leaf of a x leaf of b that a's inner end meets: the cheapest."""
+        d = distance[np.ix_(leaves[a], leaves[b])]
+        return np.array([(row[:, None] + d).min(axis=0) for row in cost[a]])
+
+    for k, (a, b, *_) in enumerate(merges):
+        left = met(a, b)
+        joined = np.array([(row[:, None] + cost[b]).min(axis=0) for row in left])
+        size = len(leaves[a])
+        whole = np.full((size + len(leaves[b]),) * 2, np.inf)
+        whole[:size, size:], whole[size:, :size] = joined, joined.T
+        leaves[n + k], cost[n + k] = leaves[a] + leaves[b], whole
+
+    def traced(node: int, first: int, last: int) -> list[int]:
+        """The cheapest order of a node's leaves between two of its places."""
+        if node < n:
+            return [node]
+        a, b = merges[node - n][:2]
+        size = len(leaves[a])
+        if first >= size:
+            return traced(node, last, first)[::-1]
+        last -= size
+        d = distance[np.ix_(leaves[a], leaves[b])]
+        through = cost[a][first][:, None] + d + cost[b][:, last][None]
+        i, j = np.unravel_index(int(through.argmin()), through.shape)
+        return traced(a, first, int(i)) + traced(b, int(j), last)
+
+    top = n + len(merges) - 1
+    first, last = np.unravel_index(int(cost[top].argmin()), cost[top].shape)
+    order = traced(top, int(first), int(last))
+    return order if order[0] <= order[-1] else order[::-1]
 
 
 def cut(merges: list[tuple[int, int, float, int]], k: int, least: int = 0) -> np.ndarray:
@@ -293,70 +327,6 @@ def cut(merges: list[tuple[int, int, float, int]], k: int, least: int = 0) -> np
     return np.where(np.isin(labels, small), -1, labels)
 
 
-def seriate(distance: np.ndarray, widths: list[float] | None = None, rounds: int = 30) -> np.ndarray:
-    """Order in which near rows are neighbours: rows are sorted by where a blurred diagonal fits them best, from wide to narrow
-    blurs.  Ends at a fixed order or after the rounds."""
-    n = len(distance)
-    order = np.arange(n)
-    place = np.arange(n)
-    for width in widths or [n / 2**i for i in range(max(1, int(np.log2(max(2, n)))))]:
-        weights = np.exp(-((place[:, None] - place[None, :]) ** 2) / (width * max(n, 1)))
-        weights /= weights.sum(axis=0)
-        for _ in range(rounds):
-            d = distance[np.ix_(order, order)]
-            best = (d @ weights).argmin(axis=1)
-            moved = np.argsort(best + place / (10.0 * n), kind="stable")
-            if np.array_equal(moved, place):
-                break
-            order = order[moved]
-    return order
-
-
-def best_break(correlation_matrix: np.ndarray, low: float = 0.2, ratio_needed: float = 1.15) -> int | None:
-    """Where to cut an ordered correlation matrix in two: the break whose mean within both blocks is largest, if it exceeds the
-    overall mean by ratio_needed; None means one group.  Block sums come from cumulative sums."""
-    c = np.where(np.abs(correlation_matrix) < low, 0, correlation_matrix)
-    n = len(c)
-    if n < 4:
-        return None
-    total = c.cumsum(axis=0).cumsum(axis=1)
-    whole = total[-1, -1] / n**2
-    best, at = -np.inf, None
-    for i in range(2, n - 1):
-        first = total[i - 1, i - 1]
-        second = total[-1, -1] - total[i - 1, -1] - total[-1, i - 1] + first
-        score = (first + second) / (i**2 + (n - i) ** 2)
-        if score > best:
-            best, at = score, i
-    return at if whole > 0 and best / whole > ratio_needed else None
-
-
-def two_way_clusters(data: np.ndarray, levels: int = 2, least: int = 2, ratio_needed: float = 1.15) -> tuple[np.ndarray, np.ndarray]:
-    """Bicluster labels of rows (features) and columns (cells): columns are ordered by seriation and cut in two, rows go to the
-    side where their mean is larger, level after level."""
-    rows, columns = np.zeros(data.shape[0], int), np.zeros(data.shape[1], int)
-    for _ in range(levels):
-        new_rows, new_columns, number = rows.copy(), columns.copy(), 0
-        for g in np.unique(columns):
-            r, c = np.flatnonzero(rows == g), np.flatnonzero(columns == g)
-            split = None
-            if len(r) >= 2 * least and len(c) >= 2 * least:
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    corr = np.nan_to_num(np.corrcoef(data[np.ix_(r, c)].T))
-                order = seriate(1 - corr)
-                split = best_break(corr[np.ix_(order, order)], ratio_needed=ratio_needed)
-            if split is None:
-                new_rows[r], new_columns[c], number = number, number, number + 1
-                continue
-            left, right = c[order[:split]], c[order[split:]]
-            up = data[np.ix_(r, left)].mean(axis=1) >= data[np.ix_(r, right)].mean(axis=1)
-            new_columns[left], new_columns[right] = number, number + 1
-            new_rows[r] = np.where(up, number, number + 1)
-            number += 2
-        rows, columns = new_rows, new_columns
-    return rows, columns
-
-
 def fit_noise(mean: np.ndarray, cv: np.ndarray, rounds: int = 40) -> tuple[float, float]:
     """(a, k) of the noise model log2 cv = log2(mean^a + k) with the least sum of absolute errors: a grid that is narrowed
     around its best point round after round.  One point per feature."""

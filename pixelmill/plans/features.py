@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
+from ..operators import bicluster as B
 from ..operators import cluster as C
 from ..operators import communities as M
 from ..operators import filters as X
@@ -375,7 +376,7 @@ def shared_factors(spark, sf_dir):
 
 @query()
 def communities(spark, sf_dir):
-    corr = np.clip(L.correlation(_pixels(spark, sf_dir), "features"), 0, None)
+    corr = np.abs(L.correlation(_pixels(spark, sf_dir), "features"))
     np.fill_diagonal(corr, 0)
     labels = G.resolution_sweep(corr)
     return spark.createDataFrame([(i, int(c)) for i, c in enumerate(labels)], "feature_id long, community long")
@@ -493,7 +494,9 @@ def spatial_modules(spark, sf_dir):
 
 @query()
 def biclusters(spark, sf_dir):
-    """Two-way clusters of zones and features."""
+    """Two-way clusters of zones and features, in their order."""
     m = L.centroid_matrix(emb_long(spark, sf_dir), "zone")
-    _, zones = L.two_way_clusters(m.to_numpy().T)
-    return spark.createDataFrame([(int(z), int(c)) for z, c in zip(m.index, zones)], "zone long, cluster long")
+    rows, columns, row_groups, column_groups = B.two_way_clusters(m.to_numpy().T)
+    out = [("feature", int(m.columns[i]), k, int(g)) for k, (i, g) in enumerate(zip(rows, row_groups[:, -1]))]
+    out += [("zone", int(m.index[i]), k, int(g)) for k, (i, g) in enumerate(zip(columns, column_groups[:, -1]))]
+    return spark.createDataFrame(out, "axis string, id long, place long, cluster long")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colors
 from ..operators import aggregates as A
+from ..operators import bicluster as B
 from ..operators import linear as L
 from ..operators import windows as W
 from ..operators.graph import nearest_chain
@@ -153,9 +154,9 @@ def zone_linkage(spark, sf_dir):
 def zone_seriation(spark, sf_dir):
     """Zones in seriated order, and the two groups of the best break."""
     m = L.centroid_matrix(emb_long(spark, sf_dir), "zone")
-    corr = np.corrcoef(m.to_numpy())
-    order = L.seriate(1 - corr)
-    at = L.best_break(corr[np.ix_(order, order)])
+    order = B.spin(m.to_numpy(), 0.6, columns=False)[0]
+    corr = B.correlation(m.to_numpy())
+    at = B.best_break(corr[np.ix_(order, order)])
     return spark.createDataFrame([(i, int(m.index[z]), int(at is not None and i >= at)) for i, z in enumerate(order)], "place long, zone long, part long")
 
 

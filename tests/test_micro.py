@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pixelmill.functions import colors
 from pixelmill.functions import names as N
 from pixelmill.operators import aggregates as A
+from pixelmill.operators import bicluster as B
 from pixelmill.operators import filters as X
 from pixelmill.operators import graph as G
 from pixelmill.operators import inference as I
@@ -215,8 +216,8 @@ def test_linkage_and_seriation():
     x = np.concatenate((rng.normal(0, .1, (10, 8)) + np.arange(8), rng.normal(0, .1, (10, 8)) - np.arange(8)))
     mixed = rng.permutation(20)
     corr = np.corrcoef(x[mixed])
-    order = L.seriate(1 - corr)
-    at = L.best_break(corr[np.ix_(order, order)])
+    order = B.spin(x[mixed], 0.6, columns=False)[0]
+    at = B.best_break(corr[np.ix_(order, order)])
     assert at == 10 and len({v < 10 for v in mixed[order[:10]]}) == 1
     assert L.subsets(3, 4) == [(0, 1, 2), (0, 1), (0, 2), (1, 2)]
     rows, columns, labels = L.clean_heatmap(pd.DataFrame([[1., 0], [1., .1], [0, 1]], index=list("abc"), columns=list("xy")), 2, sparse=0.4, least=0)

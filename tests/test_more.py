@@ -70,6 +70,41 @@ def test_tree_is_applied_with_its_own_scalers(spark, tmp_path):
         assert [r["path"] for r in C.apply_tree(again, pixels.where(F.col("pixel_id") == i), config=same).collect()] == [paths[i]]
 
 
+def test_a_subset_splits_where_all_factors_fail(spark):
+    """One factor tells two groups apart, the other is loud and says nothing: together they do not split, the first alone does."""
+    rng = np.random.default_rng(11)
+    group = np.arange(480) % 2
+    space = np.stack((2.0 * group - 1 + rng.normal(0, 0.1, 480), rng.normal(0, 30, 480), np.zeros(480)), axis=1)
+    features = rng.normal(5, 0.5, (480, 10)) + 2.0 * (np.arange(10) < 5) * group[:, None] - 2.0 * (np.arange(10) >= 5) * group[:, None]
+    rows = [(i, i // 2 % 6, space[i].tolist(), features[i].tolist()) for i in range(480)]
+    frame = spark.createDataFrame(rows, "pixel_id int, section_id int, _space array<double>, features array<double>")
+    frame = spool(frame.withColumn("measured", C.normalised(frame, "features")))
+    config = C.TreeConfig(clusters=8, least_pixels=100, least_per_section=10)
+    assert C._bisected(frame, "features", "section_id", [0, 1], 1, C.TreeConfig(clusters=8, least_pixels=100, candidates=1)) is None
+    subset, sides = C._bisected(frame, "features", "section_id", [0, 1], 1, config)
+    assert subset == [0]
+    found = {r["pixel_id"]: r["_side"] for r in sides.collect()}
+    assert len({(group[i], found[i]) for i in range(480)}) == 2
+    assert C._bisected(frame, "features", "section_id", [0, 1], 1, C.TreeConfig(clusters=8, least_pixels=100, least_per_section=60)) is None
+
+
+def test_shared_passes_are_those_of_one_candidate(spark):
+    """Centres and counts of several subsets from shared passes equal plain k-means rounds of each."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 4)) + 3 * rng.integers(0, 3, (300, 1))
+    frame = spool(spark.createDataFrame([(i, i % 3, v.tolist(), v[:2].tolist()) for i, v in enumerate(x)], "pixel_id int, section_id int, _space array<double>, features array<double>").repartition(4))
+    config = C.TreeConfig(clusters=5, passes=4)
+    kept = [np.array([0, 1, 3]), np.array([2, 3]), np.array([0, 1, 2, 3])]
+    centres = C._clustered(frame, x[:100], kept, config)
+    draw = np.random.default_rng(config.seed)
+    for columns, got in zip(kept, centres):
+        want = C._first_centres(x[:100][:, columns], 5, draw)
+        for _ in range(4):
+            near = np.linalg.norm(x[:, None, columns] - want[None], axis=2).argmin(axis=1)
+            want = np.stack([x[near == k][:, columns].mean(axis=0) if (near == k).any() else want[k] for k in range(5)])
+        assert np.allclose(got, want)
+
+
 def test_neighbours_and_communities_of_pixels(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(c, 0.3, (30, 4)) for c in (0, 5, 10)])
