@@ -445,11 +445,25 @@ def pixel_communities(spark, sf_dir):
     return found.select(F.col("node").alias("pixel_id"), "community")
 
 
+def _cases(spark, sf_dir):
+    """The features of all pixels between 0 and 1; the zones below 5 are cases, each condition has four sections of two samples."""
+    p = _pixels(spark, sf_dir)
+    case = (F.col("zone") < 5).cast("long")
+    rows = p.withColumn("scaled", C.normalised(p, "features")).withColumn("section", F.col("pixel_id") % 4 + 4 * case)
+    return rows.select("section", F.floor(F.col("section") / 2).alias("sample"), case.alias("condition"), F.concat(F.lit("t"), F.col("pixel_id") % 3).alias("supertype"), F.posexplode("scaled").alias("feature", "value"))
+
+
 @query()
 def case_control_analysis(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_returnflag IN ('A', 'R')").select(F.col("l_linenumber").cast("long").alias("feature"), (F.col("l_suppkey") % 4 + F.when(F.col("l_returnflag") == "A", 0).otherwise(4)).alias("section"), (F.col("l_suppkey") % 2).alias("sample"), F.col("l_returnflag").alias("condition"), F.col("l_linestatus").alias("supertype"), (F.col("l_discount") * 5).alias("value"))
-    out = I.case_control_analysis(li, None, "feature", "section", "sample", "condition", "supertype", "value", "R")
-    return out.select("feature", "supertype", r("baseline", 4), r("shift", 4), "p_up", "p_down", "expressed", "shifted", r("log2fc", 4))
+    out = I.case_control_analysis(_cases(spark, sf_dir), None, "feature", "section", "sample", "condition", "supertype", "value", 1)
+    return out.select("feature", "supertype", r("baseline", 4), r("shift", 4), r("shift_sd", 5), r("shift_sd_joint", 5), "p_up", "p_down", "expressed", "shifted", r("log2fc", 4))
+
+
+@query()
+def case_control_samples(spark, sf_dir):
+    """Means and spreads of the samples of the same comparison."""
+    out = I.sample_effects(_cases(spark, sf_dir), "feature", "section", "sample", "condition", "supertype", "value", 1)
+    return out.select("feature", "is_case", "sample", r("mean", 4), r("spread", 4))
 
 
 @query(f"""WITH {EMB}, h AS (SELECT feature_id, value AS y, value * 0.9 + 0.01 AS p FROM emb) SELECT feature_id, round(covar_pop(y, greatest(p, 0)) / nullif(stddev_pop(y) * stddev_pop(greatest(p, 0)), 0), 6) AS r, round(sqrt(avg((y - greatest(p, 0)) * (y - greatest(p, 0)))), 6) AS rmse FROM h GROUP BY 1""")
