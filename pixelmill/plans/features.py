@@ -446,11 +446,14 @@ def pixel_communities(spark, sf_dir):
 
 
 def _cases(spark, sf_dir):
-    """The features of all pixels between 0 and 1; the zones below 5 are cases, each condition has four sections of two samples."""
-    p = _pixels(spark, sf_dir)
-    case = (F.col("zone") < 5).cast("long")
-    rows = p.withColumn("scaled", C.normalised(p, "features")).withColumn("section", F.col("pixel_id") % 4 + 4 * case)
-    return rows.select("section", F.floor(F.col("section") / 2).alias("sample"), case.alias("condition"), F.concat(F.lit("t"), F.col("pixel_id") % 3).alias("supertype"), F.posexplode("scaled").alias("feature", "value"))
+    """Price, saving and tax of all line items between 0 and 1; high discounts are cases, each condition has four sections of
+    two samples: savings go with discounts, the others do not."""
+    case = (F.col("l_discount") > 0.05).cast("long")
+    rows = table(spark, sf_dir, "lineitem").withColumn("section", F.col("l_suppkey") % 4 + 4 * case)
+    price = F.least(F.lit(1.0), F.col("l_extendedprice").cast("double") / 100_000)
+    values = {"price": price, "saving": 10 * F.col("l_discount").cast("double") * price, "tax": 10 * F.col("l_tax").cast("double")}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), v.alias("value")) for k, v in values.items()))).alias("x")
+    return rows.select("section", F.floor(F.col("section") / 2).alias("sample"), case.alias("condition"), F.col("l_linestatus").alias("supertype"), each).select("section", "sample", "condition", "supertype", "x.feature", "x.value")
 
 
 @query()
