@@ -403,9 +403,11 @@ def bootstrap_ci(spark, sf_dir):
 
 @query()
 def restore_feature(spark, sf_dir):
+    """All features from the others' first eight components: r and error on a section that did not train."""
     p = _pixels(spark, sf_dir).withColumn("embedding", F.slice("features", 2, 8))
-    long = emb_long(spark, sf_dir).where("feature_id = 0").select("pixel_id", "section_id", "feature_id", "value")
-    roles = spark.createDataFrame([(0, 0, "train"), (0, 1, "val"), (0, 2, "train")], "feature_id long, section_id long, role string")
+    long = emb_long(spark, sf_dir).select("pixel_id", "section_id", "feature_id", "value")
+    sections = F.array(*(F.struct(F.lit(s).cast("long").alias("section_id"), F.lit(role).alias("role")) for s, role in ((0, "train"), (1, "val"), (2, "train"))))
+    roles = long.select("feature_id").distinct().select("feature_id", F.explode(sections).alias("x")).select("feature_id", "x.section_id", "x.role")
     return R.restore(p, long, roles)[1]
 
 
