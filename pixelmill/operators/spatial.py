@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +43,16 @@ def neighbourhood_map(pixels: DataFrame, section: str = "section_id", x: str = "
     return shares.groupBy(label).agg(F.map_from_entries(F.collect_list(F.struct(f"nb_{label}", "share"))).alias("proportions"))
 
 
-def nearest_distance(pixels: DataFrame, section: str = "section_id", x: str = "x", y: str = "y", reach: int = 16) -> DataFrame:
+def nearest_distance(pixels: DataFrame, section: str = "section_id", x: str = "x", y: str = "y", reach: int | None = None) -> DataFrame:
     """Distance of each pixel to the nearest other one of its section; pixels without one are left out.
 
-    Pixels meet in tiles of `reach`; what has no neighbour within reach is searched again with tiles twice as wide, until
+    Pixels meet in tiles of `reach` (else twice the spacing that their number lets expect); what has no neighbour within reach is searched again with tiles twice as wide, until
     all are found or one tile holds a section.  A distance is final only if it is at most the tile's width.
     """
-    todo, done, width = pixels.select(section, x, y), None, reach
-    spans = pixels.agg(F.max(x) - F.min(x), F.max(y) - F.min(y)).first()
+    *spans, count, sections = pixels.agg(F.max(x) - F.min(x), F.max(y) - F.min(y), F.count("*"), F.approx_count_distinct(section)).first()
     widest = max(int(s or 0) for s in spans) + 1
+    area = (int(spans[0] or 0) + 1) * (int(spans[1] or 0) + 1) * max(sections, 1)
+    todo, done, width = pixels.select(section, x, y), None, reach or min(widest, max(2, round(2 * (area / max(count, 1)) ** 0.5)))
     everything = pixels.select(section, F.col(x).alias("_x"), F.col(y).alias("_y"))
     while True:
         tiles = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
@@ -122,27 +124,75 @@ def to_255(values: DataFrame, value: str) -> DataFrame:
     return values.crossJoin(F.broadcast(ends)).withColumn("scaled", F.when(F.col(value) <= F.col("_q"), 0.0).otherwise(scaled)).drop("_lo", "_hi", "_q")
 
 
-def interpolate(volume: DataFrame, known: DataFrame, radius: int, value: str = "value", region: str = "region", first: int = 8) -> DataFrame:
+#: Edge of the cubes whose voxels are filled against the same known ones, and numbers of one matrix of distances.
+CUBE, PAIRS = 8, 1 << 20
+
+
+def _filled(t: np.ndarray, p: np.ndarray, v: np.ndarray, radius: float) -> np.ndarray:
+    """Means of known values v at p around voxels t, by e^-distance within the radius; NaN where there are none.
+
+    Cube by cube.  Known voxels so much farther than the nearest one that all of them together change no digit are
+    skipped."""
+    out = np.full(len(t), np.nan)
+    if not len(t) or not len(p):
+        return out
+    cube = t // CUBE
+    order = np.lexsort(cube.T)
+    starts = np.flatnonzero(np.concatenate(([True], (cube[order][1:] != cube[order][:-1]).any(axis=1))))
+    for rows in np.split(order, starts[1:]):
+        mine = t[rows]
+        low, high = mine.min(axis=0), mine.max(axis=0)
+        apart = np.sqrt(((p - (low + high) / 2) ** 2).sum(axis=1))
+        half = np.sqrt(((high - low) ** 2).sum()) / 2
+        reach = min(radius, apart.min() + half + 40 + np.log(len(p)))
+        near = np.flatnonzero(apart - half <= reach)
+        whole, value = np.zeros(len(mine)), np.zeros(len(mine))
+        step = max(1, PAIRS // len(mine))
+        for at in range(0, len(near), step):
+            some = near[at:at + step]
+            d = np.sqrt(((mine[:, None] - p[some][None]) ** 2).sum(axis=2))
+            w = np.where(d <= radius, np.exp(-d), 0.0)
+            whole += w.sum(axis=1)
+            value += w @ v[some]
+        out[rows] = np.divide(value, whole, out=np.full(len(mine), np.nan), where=whole > 0)
+    return out
+
+
+def interpolate(volume: DataFrame, known: DataFrame, radius: int, value: str = "value", region: str = "region", first: int = 8, edge: int = 64) -> DataFrame:
     """Values of the voxels of `volume` (i, j, k, region) as the mean of known voxels (i, j, k, region, value >= 0) of the same
     region within `radius`, weighed by e^-distance; known values are kept, voxels with i < first are left out.
 
-    Known voxels send their value to the blocks that they can reach; the join is on (region, block).
-    """
-    ok = known.where(F.col(value) >= 0)
-
-    def block(c: str) -> Column:
-        return F.floor(F.col(c) / radius)
-
-    near = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1))))
-    sent = ok.select(region, F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("k").alias("_k"), F.col(value).alias("_v"), near.alias("_s"), block("i").alias("_a"), block("j").alias("_b"), block("k").alias("_c"))
-    sent = sent.select(region, "_i", "_j", "_k", "_v", (F.col("_a") + F.col("_s.a")).alias("_a"), (F.col("_b") + F.col("_s.b")).alias("_b"), (F.col("_c") + F.col("_s.c")).alias("_c"))
-    cells = volume.where(F.col("i") >= first).withColumns({"_a": block("i"), "_b": block("j"), "_c": block("k")})
-    apart = F.sqrt(F.pow(F.col("i") - F.col("_i"), 2) + F.pow(F.col("j") - F.col("_j"), 2) + F.pow(F.col("k") - F.col("_k"), 2))
-    pairs = cells.join(sent, [region, "_a", "_b", "_c"]).withColumn("_d", apart).where(F.col("_d") <= radius)
-    mean = pairs.groupBy("i", "j", "k", region).agg((F.sum(F.col("_v") * F.exp(-F.col("_d"))) / F.sum(F.exp(-F.col("_d")))).alias("_mean"))
-    own = ok.select("i", "j", "k", F.col(value).alias("_own"))
-    out = volume.join(mean.drop(region), ["i", "j", "k"], "left").join(own, ["i", "j", "k"], "left")
-    return out.select("i", "j", "k", region, F.coalesce("_own", "_mean").alias(value))
+    The volume is cut into blocks of `edge`; a block and the known voxels of its halo are arrays in one task.  Known voxels
+    are shuffled once for each block that they can reach (on average ((edge + 2 radius) / edge)^3 of them), voxels once,
+    and no pair of voxels is ever a row.  Defined cases: voxels without a region are not filled; known voxels carry the
+    region of their place; of several values of one voxel the largest is kept, all of them count for others."""
+    def block(c: Column) -> Column:
+        return F.floor(c / edge)
+
+    cells = volume.select(F.col(region).alias("_region"), *(F.col(c).cast("long").alias(c) for c in "ijk"), *(block(F.col(c)).alias(f"_{c}") for c in "ijk"), F.lit(None).cast("double").alias("_v"))
+    reached = [F.sequence(block(F.col(c) - radius), block(F.col(c) + radius)) for c in "ijk"]
+    sent = known.where(F.col(value) >= 0).select(F.col(region).alias("_region"), *(F.col(c).cast("long").alias(c) for c in "ijk"), F.col(value).cast("double").alias("_v"))
+    for c, span in zip("ijk", reached):
+        sent = sent.withColumn(f"_{c}", F.explode(span))
+    kind = dict(volume.dtypes)[region]
+
+    def fill(table: pa.Table) -> pa.Table:
+        where = table.column("_region")[0].as_py()
+        place = np.stack([table.column(c).to_numpy() for c in "ijk"], axis=1)
+        v = table.column("_v").to_numpy(zero_copy_only=False).astype(float)
+        target = np.isnan(v)
+        t, p, v = place[target], place[~target], v[~target]
+        out = np.full(len(t), np.nan)
+        order = np.argsort(v, kind="stable")
+        own = dict(zip(map(tuple, p[order].tolist()), v[order].tolist()))
+        out = np.array([own.get(x, np.nan) for x in map(tuple, t.tolist())], dtype=float)
+        if where is not None:
+            empty = np.flatnonzero(np.isnan(out) & (t[:, 0] >= first))
+            out[empty] = _filled(t[empty], p, v, radius)
+        return pa.table({**{c: t[:, n] for n, c in enumerate("ijk")}, region: pa.array([where] * len(t), table.schema.field("_region").type), value: pa.array(out, from_pandas=True)})
+
+    blocks = cells.unionByName(sent).groupBy("_region", "_i", "_j", "_k")
+    return blocks.applyInArrow(fill, f"i long, j long, k long, `{region}` {kind}, `{value}` double")
 
 
 def box_fill(volume: DataFrame, size: int = 10, value: str = "value") -> DataFrame:

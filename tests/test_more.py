@@ -12,6 +12,7 @@ from pixelmill.operators import graph as G
 from pixelmill.operators import inference as I
 from pixelmill.operators import joins as J
 from pixelmill.operators import linear as L
+from pixelmill.operators import spatial as S
 from pixelmill.operators import windows as W
 from pixelmill.operators.base import spool
 from pixelmill.sources import tables as T
@@ -229,3 +230,32 @@ def test_further_files(spark, tmp_path):
     for i in range(2):
         T.log_progress(spark, str(tmp_path / "log"), feature=i, done=True)
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "log")).collect()) == ['{"done": true, "feature": 0}', '{"done": true, "feature": 1}']
+
+
+def test_interpolation_across_blocks(spark):
+    """Blocks with halos against all pairs, at radius 40 and with far-off known voxels; own values, regions, the first voxels."""
+    rng = np.random.default_rng(21)
+    cells = [(int(i), int(j), int(k), "ab"[int(i + j) % 2]) for i, j, k in {tuple(x) for x in rng.integers(-30, 60, (700, 3)).tolist()}]
+    at = [cells[n] for n in rng.choice(len(cells), 60, replace=False)]
+    known = [(*c, float(rng.random()) if n else -1.0) for n, c in enumerate(at)] + [(300, 300, 300, "a", 9.0)]
+    volume = spark.createDataFrame([*cells, (500, 0, 0, None), (500, 0, 1, "a")], "i long, j long, k long, region string")
+    frame = spark.createDataFrame(known, "i long, j long, k long, region string, value double")
+    for radius, edge in ((40, 16), (40, 64), (7, 16)):
+        got = {(r["i"], r["j"], r["k"]): r["value"] for r in S.interpolate(volume, frame, radius, first=-20, edge=edge).collect()}
+        assert len(got) == len(cells) + 2 and got[500, 0, 0] is None and got[500, 0, 1] is None
+        good = [(np.array(x[:3]), x[3], x[4]) for x in known if x[4] >= 0]
+        own = {tuple(p.tolist()): v for p, _, v in good}
+        for i, j, k, region in cells:
+            d = [(np.linalg.norm(p - (i, j, k)), v) for p, g, v in good if g == region]
+            w = [(np.exp(-x), v) for x, v in d if x <= radius]
+            want = own.get((i, j, k), sum(a * v for a, v in w) / sum(a for a, _ in w) if w and i >= -20 else None)
+            assert got[i, j, k] == (None if want is None else pytest.approx(want, rel=1e-9))
+
+
+def test_distances_at_any_spacing(spark):
+    rng = np.random.default_rng(22)
+    points = [(s, int(x), int(y)) for s, scale in ((0, 10), (1, 400)) for x, y in {tuple(p) for p in rng.integers(0, scale, (60, 2)).tolist()}] + [(2, 5, 5), (3, 0, 0), (3, 900, 900)]
+    got = {(r[0], r[1], r[2]): r[3] for r in S.nearest_distance(spark.createDataFrame(points, "section_id int, x long, y long")).collect()}
+    for s, x, y in points:
+        rest = [np.hypot(x - a, y - b) for t, a, b in points if t == s and (a, b) != (x, y)]
+        assert got.get((s, x, y)) == (pytest.approx(min(rest)) if rest else None)
