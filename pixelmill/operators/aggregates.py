@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .base import ratio
+from .quantiles import exact_quantiles
 
 
 def total_signal(long: DataFrame, feature: str, section: str, value: str, inside: str) -> DataFrame:
@@ -140,7 +141,7 @@ def label_proportions(pairs: DataFrame, label: str, neighbour: str) -> DataFrame
 
 def quantiles(long: DataFrame, keys: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation, q0.. in the order of points."""
-    q = long.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, points))).alias("_q"))
+    q = exact_quantiles(long, keys, value, points)
     return q.select(*keys, *(F.get("_q", F.lit(i)).alias(f"q{i}") for i in range(len(points))))
 
 

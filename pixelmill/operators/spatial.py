@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .base import ratio, spool
 from .joins import EIGHT, FOUR, neighbours
+from .quantiles import exact_quantiles
 
 
 def moran(long: DataFrame, feature: str = "feature_id", section: str = "section_id", x: str = "x", y: str = "y", value: str = "value") -> DataFrame:
@@ -119,7 +120,7 @@ def border(cells: DataFrame, section: str, x: str, y: str, label: str) -> DataFr
 
 def to_255(values: DataFrame, value: str) -> DataFrame:
     """value scaled to 0..255; at or below the lowest decile it becomes 0."""
-    ends = values.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.percentile(value, F.lit(0.1)).alias("_q"))
+    ends = values.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")).join(F.broadcast(exact_quantiles(values, [], value, [0.1])), how="left").withColumn("_q", F.get("_q", F.lit(0)))
     scaled = F.coalesce(ratio((F.col(value) - F.col("_lo")) * 255, F.col("_hi") - F.col("_lo")), F.lit(0.0))
     return values.crossJoin(F.broadcast(ends)).withColumn("scaled", F.when(F.col(value) <= F.col("_q"), 0.0).otherwise(scaled)).drop("_lo", "_hi", "_q")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .base import earlier, later, ranged, ratio
+from .quantiles import exact_quantiles
 
 
 def top_above(df: DataFrame, group: str, value: str, order: str, n: int = 3, threshold: float = 0.4) -> DataFrame:
@@ -144,7 +145,7 @@ def row_order_by_peak(df: DataFrame, row: str, column: str, value: str) -> DataF
 def argmax_channel(long: DataFrame, pixel: str, channel: str, value: str, section: str) -> DataFrame:
     """Each pixel with its largest channel, scaled by the 5 % and 95 % quantile of the winners of its section and channel."""
     won = long.groupBy(pixel, section).agg(F.min_by(F.struct(channel, value), F.struct(-F.col(value), F.col(channel))).alias("_w")).select(pixel, section, f"_w.{channel}", f"_w.{value}")
-    ends = won.groupBy(section, channel).agg(F.percentile(value, F.array(F.lit(0.05), F.lit(0.95))).alias("_q"))
+    ends = exact_quantiles(won, [section, channel], value, [0.05, 0.95])
     low, high = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
     scaled = ratio(F.greatest(low, F.least(high, F.col(value))) - low, high - low)
     return won.join(ends, [section, channel]).withColumn("scaled", F.coalesce(scaled, F.lit(0.0))).drop("_q")
