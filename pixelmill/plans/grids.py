@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import filters as X
 from ..operators import spatial as S
+from ..operators import surface as V
 from .registry import LAT, OFF4, OFF8, lattice, n, query, r
 
 MORAN = f"""WITH {LAT}, {OFF4}, lf AS (SELECT x, y, 'price' AS f, price AS v FROM lat UNION ALL SELECT x, y, 'size', CAST(size AS DOUBLE) FROM lat), z AS (SELECT x, y, f, v - avg(v) OVER (PARTITION BY f) AS z FROM lf),
@@ -99,3 +100,14 @@ SELECT x AS i, y AS j, min(cx) AS ci, arg_min(cy, cx * 1000000 + cy) AS cj FROM
 def mask_components(spark, sf_dir):
     lat = lattice(spark, sf_dir).where("size % 3 = 0")
     return S.components_3d(lat.select(F.col("x").alias("i"), F.col("y").alias("j"), F.lit(0).cast("long").alias("k"))).select("i", "j", F.col("component.i").alias("ci"), F.col("component.j").alias("cj"))
+
+
+@query(f"""WITH {LAT}, v AS (SELECT x AS i, y AS j, 0 AS k, price AS p FROM lat), d AS (SELECT s AS step, s // 4 AS a, s // 2 % 2 AS b, s % 2 AS c FROM (SELECT unnest(range(1, 8)) AS s)),
+e AS (SELECT v.i, v.j, v.k, step, a, b, c, p AS low, coalesce((SELECT max(w.p) FROM v w WHERE w.i = v.i + a AND w.j = v.j + b AND w.k = v.k + c), 0.0) AS high FROM v, d WHERE p > 1400
+UNION SELECT v.i - a, v.j - b, v.k - c, step, a, b, c, coalesce((SELECT max(w.p) FROM v w WHERE w.i = v.i - a AND w.j = v.j - b AND w.k = v.k - c), 0.0), p FROM v, d WHERE p > 1400)
+SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(k AS BIGINT) AS k, CAST(step AS INTEGER) AS step, round(i + a * (1400 - low) / (high - low), 6) AS x, round(j + b * (1400 - low) / (high - low), 6) AS y, round(k + c * (1400 - low) / (high - low), 6) AS z
+FROM e WHERE (low > 1400) <> (high > 1400)""")
+def surface_vertices(spark, sf_dir):
+    """Vertices of the surface around the dear parts of the lattice, one voxel high."""
+    lat = lattice(spark, sf_dir).select(F.col("x").alias("i"), F.col("y").alias("j"), F.lit(0).alias("k"), F.col("price").alias("value"))
+    return V.vertices(V.surface(lat, 1400.0)).select("i", "j", "k", "step", r("x"), r("y"), r("z"))
