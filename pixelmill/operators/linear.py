@@ -339,13 +339,52 @@ def fit_noise(mean: np.ndarray, cv: np.ndarray, rounds: int = 40) -> tuple[float
     return float(a), float(k)
 
 
-def noise_selection(long: DataFrame, feature: str, value: str, keep: int) -> DataFrame:
+@dataclass
+class SupportCurve:
+    """Support vector regression of one number on another with a Gaussian kernel."""
+    x: np.ndarray
+    beta: np.ndarray
+    bias: float
+    gamma: float
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return np.exp(-self.gamma * (np.asarray(x, dtype=float)[:, None] - self.x) ** 2) @ self.beta + self.bias
+
+
+def fit_support(x: np.ndarray, y: np.ndarray, gamma: float = 0.06, cost: float = 1.0, epsilon: float = 0.1, tolerance: float = 1e-9, steps: int = 1_000_000) -> SupportCurve:
+    """The dual, coefficients between -cost and cost that add up to 0, by coordinate descent on the pair that violates the
+    optimality conditions most; a step ends where a coefficient changes its sign or meets its bound.  One point a feature:
+    the kernel is a matrix of the driver."""
+    x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
+    kernel = np.exp(-gamma * (x[:, None] - x) ** 2)
+    beta, slope = np.zeros(len(x)), -y.copy()  # kernel @ beta - y
+    for _ in range(steps):
+        up = np.where(beta < cost, -slope - np.where(beta >= 0, epsilon, -epsilon), -np.inf)
+        down = np.where(beta > -cost, slope - np.where(beta <= 0, epsilon, -epsilon), -np.inf)
+        i, j = int(up.argmax()), int(down.argmax())
+        if up[i] + down[j] <= tolerance:
+            break
+        step = (up[i] + down[j]) / max(kernel[i, i] + kernel[j, j] - 2 * kernel[i, j], 1e-12)
+        step = min(step, -beta[i] if beta[i] < 0 else cost - beta[i], beta[j] if beta[j] > 0 else cost + beta[j])
+        beta[i] += step
+        beta[j] -= step
+        slope += step * (kernel[i] - kernel[j])
+    return SupportCurve(x, beta, float((up[i] - down[j]) / 2) if len(x) else 0.0, gamma)
+
+
+def noise_selection(long: DataFrame, feature: str, value: str, keep: int, model: str = "exponential") -> DataFrame:
     """The `keep` features whose coefficient of variation most exceeds the fitted exponential noise model of their mean.
     Means and deviations come from Spark, one row per feature reaches the driver for the fit."""
     stats = long.groupBy(feature).agg(F.avg(value).alias("mean"), (F.stddev_pop(value) / F.nullif(F.avg(value), F.lit(0))).alias("cv")).where("mean > 0 AND cv > 0")
     frame = stats.toPandas()
     if frame.empty:
         return stats.withColumn("excess", F.lit(None).cast("double"))
+    if model == "support":
+        curve = fit_support(np.log2(frame["mean"].to_numpy()), np.log2(frame["cv"].to_numpy()))
+        frame["excess"] = np.log2(frame["cv"]) - curve.predict(np.log2(frame["mean"]))
+        kind = dict(stats.dtypes)[feature]
+        found = long.sparkSession.createDataFrame(frame[[feature, "mean", "cv", "excess"]], f"`{feature}` {kind}, mean double, cv double, excess double")
+        return found.orderBy(F.desc("excess"), feature).limit(keep)
     a, k = fit_noise(frame["mean"].to_numpy(), frame["cv"].to_numpy())
     return stats.withColumn("excess", F.log2("cv") - F.log2(F.pow(F.col("mean"), F.lit(a)) + k)).orderBy(F.desc("excess"), feature).limit(keep)
 

@@ -431,6 +431,13 @@ def noise_selection(spark, sf_dir):
     return L.noise_selection(e, "feature_id", "value", 20).select("feature_id", r("mean"), r("cv"), r("excess"))
 
 
+@query()
+def noise_selection_support(spark, sf_dir):
+    """The same with a support vector curve as the model of noise."""
+    e = emb_long(spark, sf_dir).withColumn("value", F.exp("value"))
+    return L.noise_selection(e, "feature_id", "value", 20, "support").select("feature_id", r("mean"), r("cv"), r("excess"))
+
+
 @query()
 def apply_tree(spark, sf_dir):
     """All pixels led through the learned tree, with the zone that learning gave them."""

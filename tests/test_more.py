@@ -192,6 +192,34 @@ def test_noise_model(spark):
     assert L.noise_selection(spark.createDataFrame(rows, "f int, value double").limit(0), "f", "value", 3).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_support_curve(seed):
+    """Bounds and sum of the dual, and a gap to the primal of less than 1e-6."""
+    rng = np.random.default_rng(seed)
+    x = rng.uniform(-4, 8, 80)
+    x[:5] = x[0]
+    y = np.sin(x / 2) + rng.normal(0, 0.3, 80) + 3 * (rng.random(80) < 0.05)
+    curve = L.fit_support(x, y)
+    beta, kernel = curve.beta, np.exp(-0.06 * (x[:, None] - x) ** 2)
+    assert abs(beta.sum()) < 1e-9 and np.abs(beta).max() <= 1 + 1e-12
+    quadratic = beta @ kernel @ beta / 2
+    primal = quadratic + np.maximum(0, np.abs(y - curve.predict(x)) - 0.1).sum()
+    dual = -(quadratic - y @ beta + 0.1 * np.abs(beta).sum())
+    assert 0 <= primal - dual + 1e-9 < 1e-6
+    assert (np.abs(y - curve.predict(x))[np.abs(beta) < 1e-12] <= 0.1 + 1e-6).all()
+
+
+def test_support_selection(spark):
+    rng = np.random.default_rng(6)
+    rows = [(j, float(v)) for j in range(15) for v in rng.normal(10 + j, (3.0 if j in (4, 9) else 0.5), 200)]
+    frame = spark.createDataFrame(rows, "f int, value double")
+    top = L.noise_selection(frame, "f", "value", 2, "support").collect()
+    assert {r["f"] for r in top} == {4, 9} and all(r["excess"] > 0 for r in top)
+    assert L.noise_selection(frame.limit(0), "f", "value", 2, "support").count() == 0
+    curve = L.fit_support([1.0], [3.0])
+    assert curve.predict([1.0, 9.0]).tolist() == [3.0, 3.0]
+
+
 def test_case_control_analysis(spark):
     rng = np.random.default_rng(5)
     rows = [(f, s, s % 2, "case" if s >= 4 else "control", t, float(0.4 + (0.3 if s >= 4 and t == "x" and f == 0 else 0.0) + rng.normal(0, 0.02))) for f in range(2) for s in range(8) for t in "xy" for _ in range(30)]
