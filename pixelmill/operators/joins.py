@@ -57,16 +57,29 @@ def attach_modality(pixels: DataFrame, modality: DataFrame, keys: Sequence[str],
     return pixels.join(vectors, list(keys), "left").withColumn(name, F.coalesce(name, empty))
 
 
-def aligned_modality(pixels: DataFrame, modality: DataFrame, key: str = "pixel_id") -> DataFrame:
-    """Pixels with the columns of another omic layer; unmatched ones get nulls."""
+def aligned_modality(pixels: DataFrame, modality: DataFrame, key: str = "pixel_id", complete: bool = False) -> DataFrame:
+    """Pixels with the columns of another omic layer; unmatched ones get nulls, or raise ValueError if it must be complete."""
+    if complete and not pixels.join(modality.select(key), key, "left_anti").isEmpty():
+        raise ValueError(f"the layer lacks values of {key}")
     return pixels.join(modality.select(key, *(c for c in modality.columns if c not in pixels.columns)), key, "left")
 
 
-def merge_columns(left: DataFrame, right: DataFrame, key: str = "pixel_id") -> DataFrame:
-    """left with the columns that only right has."""
+def merge_columns(left: DataFrame, right: DataFrame, key: str = "pixel_id", same_rows: bool = False) -> DataFrame:
+    """left with the columns that only right has.  With same_rows both must hold the same keys, each once; ValueError if not."""
+    if same_rows:
+        sides = left.groupBy(key).agg(F.count("*").alias("_l")).join(right.groupBy(key).agg(F.count("*").alias("_r")), key, "full")
+        if not sides.where("_l IS NULL OR _r IS NULL OR _l > 1 OR _r > 1").isEmpty():
+            raise ValueError(f"the tables do not hold the same rows by {key}")
     return left.join(right.select(key, *(c for c in right.columns if c not in left.columns)), key, "left")
 
 
+def transpose(wide: DataFrame, key: str, columns: Sequence[str], name: str = "column") -> DataFrame:
+    """A row for each of the columns, a column for each key (in order; keys are few): small summaries only."""
+    keys = [r[0] for r in wide.select(key).distinct().orderBy(key).collect()]
+    long = wide.select(key, *(F.col(c).cast("double") for c in columns)).unpivot(key, list(columns), name, "_value")
+    return long.groupBy(name).pivot(key, keys).agg(F.first("_value"))
+
+
 def transfer_labels(df: DataFrame, labels: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """df with the columns of the first complete row of labels for its key."""
     complete = labels.dropna()

@@ -246,11 +246,14 @@ def differential_features(spark, sf_dir):
 
 
 # erfc(w) = 1 - exp(-w^2) * sum of w^(2i+1) / gamma(i + 3/2); all terms are positive, and beyond 10 nothing is left
-@query(f"""WITH {RANKS}, t AS (SELECT f, sum(c * c * c - c) AS ties FROM (SELECT f, v, CAST(count(*) AS DOUBLE) AS c FROM x GROUP BY 1, 2) GROUP BY 1),
-m AS (SELECT l_linenumber AS f, avg(l_quantity) FILTER (l_returnflag = 'A') AS ma, avg(l_quantity) FILTER (l_returnflag = 'R') AS mb FROM lineitem GROUP BY 1),
+VERDICTS = """t AS (SELECT f, sum(c * c * c - c) AS ties FROM (SELECT f, v, CAST(count(*) AS DOUBLE) AS c FROM x GROUP BY 1, 2) GROUP BY 1),
+m AS (SELECT f, avg(v) FILTER (g = 'A') AS ma, avg(v) FILTER (g = 'R') AS mb FROM x GROUP BY 1),
 z AS (SELECT s.f, ma, mb, greatest(0.0, abs(ra - na * (na + 1) / 2.0 - na * nb / 2.0) - 0.5) / sqrt(na * nb / 12.0 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1.0)))) / sqrt(2.0) AS w FROM s JOIN t ON t.f = s.f JOIN m ON m.f = s.f),
 e AS (SELECT f, CASE WHEN w = 0 THEN 1.0 WHEN w > 10 THEN 0.0 ELSE 1 - (SELECT sum(exp((2 * i + 1) * ln(w) - w * w - lgamma(i + 1.5))) FROM range(0, 300) AS g(i)) END AS p, log2((mb + 1e-11) / (ma + 1e-11)) AS change FROM z),
-o AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, f) AS q FROM e), b AS (SELECT *, least(1.0, min(q) OVER (ORDER BY p DESC, f DESC ROWS UNBOUNDED PRECEDING)) AS adjusted FROM o)
+o AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, f) AS q FROM e), b AS (SELECT *, least(1.0, min(q) OVER (ORDER BY p DESC, f DESC ROWS UNBOUNDED PRECEDING)) AS adjusted FROM o)"""
+
+
+@query(f"""WITH {RANKS}, {VERDICTS}
 SELECT CAST(f AS BIGINT) AS feature_id, round(p, 9) AS p, round(adjusted, 9) AS adjusted, abs(change) > 0.2 AND adjusted < 0.05 AS passes FROM b""")
 def differential_p_values(spark, sf_dir):
     """p, adjusted p and verdict of the same comparison."""
@@ -258,6 +261,15 @@ def differential_p_values(spark, sf_dir):
     return I.differential(li, "feature_id", "l_returnflag", "l_quantity", "A", "R").select("feature_id", r("p", 9), r("adjusted", 9), "passes")
 
 
+@query(f"""WITH {RANKS.replace("l_returnflag AS g, l_quantity AS v FROM lineitem WHERE l_returnflag IN ('A', 'R')", "CASE WHEN l_discount > 0.05 THEN 'R' ELSE 'A' END AS g, CASE WHEN l_linenumber % 2 = 0 THEN l_discount * l_quantity ELSE l_quantity END AS v FROM lineitem")}, {VERDICTS}
+SELECT count(*) FILTER (abs(change) > 0.2 AND adjusted < 0.05) AS altered, count(*) AS features FROM b""")
+def altered_features(spark, sf_dir):
+    """How many line numbers differ between high and low discounts: those whose value is the discounted quantity."""
+    value = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_discount") * F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("feature"), F.when(F.col("l_discount") > 0.05, "R").otherwise("A").alias("side"), value.alias("value"))
+    return I.altered_count(li, "feature", "side", "value", "A", "R")
+
+
 PS = "p AS (SELECT p_partkey AS id, CAST((p_partkey * 7919) % 1009 AS DOUBLE) / 1009 AS p FROM part)"
 
 

@@ -193,6 +193,14 @@ def melt_columns(spark, sf_dir):
     return p.unpivot("p_partkey", ["size", "price"], "name", "value")
 
 
+@query("""WITH s AS (SELECT l_returnflag AS f, CAST(sum(l_quantity) AS DOUBLE) AS quantity, CAST(count(*) AS DOUBLE) AS items FROM lineitem GROUP BY 1)
+SELECT 'items' AS measure, max(items) FILTER (f = 'A') AS "A", max(items) FILTER (f = 'N') AS "N", max(items) FILTER (f = 'R') AS "R" FROM s
+UNION ALL SELECT 'quantity', max(quantity) FILTER (f = 'A'), max(quantity) FILTER (f = 'N'), max(quantity) FILTER (f = 'R') FROM s""")
+def transposed(spark, sf_dir):
+    s = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("items"))
+    return J.transpose(s, "l_returnflag", ["quantity", "items"], "measure")
+
+
 @query("SELECT source, lang FROM (SELECT DISTINCT source FROM documents) CROSS JOIN (SELECT DISTINCT lang FROM documents)")
 def category_grid(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

@@ -54,6 +54,40 @@ def save_dataset(tables: dict[str, DataFrame], path: str, partition: dict[str, l
     spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_manifest.d")
 
 
+#: Folders of the stages of an analysis, behind its name (fixed names).
+STAGES = {"preprocessed": "msi_preprocessed", "embedding": "msi_embedding", "clustering": "msi_clustering", "postprocessing": "msi_postprocessing"}
+
+
+def stage_folder(folder: str, analysis: str, stage: str) -> str:
+    if stage not in STAGES:
+        raise ValueError(f"a stage is one of {', '.join(STAGES)}")
+    return f"{folder}/{analysis}_{STAGES[stage]}"
+
+
+def save_stage(tables: dict[str, DataFrame], folder: str, analysis: str, stage: str, vectors: dict[str, tuple[DataFrame, str, str]] | None = None) -> str:
+    """A stage's dataset under its default name; vectors: name -> (table, key, column of arrays), saved as tables of their
+    own with the length that all of them must have.  Returns the folder."""
+    path = stage_folder(folder, analysis, stage)
+    whole = dict(tables)
+    for name, (df, key, column) in (vectors or {}).items():
+        sizes = [r[0] for r in df.where(F.col(column).isNotNull()).select(F.size(column)).distinct().limit(2).collect()]
+        if len(sizes) > 1:
+            raise ValueError(f"vectors of {name} differ in length")
+        whole[f"vectors_{name}"] = df.select(F.col(key).alias("key"), F.col(column).alias("vector"))
+    save_dataset(whole, path)
+    return path
+
+
+def load_stage(spark: SparkSession, folder: str, analysis: str, stage: str | None = None) -> dict[str, DataFrame]:
+    """The dataset of a stage, else of the last stage that has been saved."""
+    for name in [stage] if stage else reversed(STAGES):
+        path = stage_folder(folder, analysis, name)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest.d/_SUCCESS")
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return load_dataset(spark, path)
+    raise FileNotFoundError(f"no complete stage of {analysis} in {folder}")
+
+
 def load_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     manifest = json.loads("".join(r[0] for r in spark.read.text(f"{path}/_manifest.d").collect()))
     return {name: spark.read.parquet(f"{path}/{name}") for name in manifest["tables"]}

@@ -237,6 +237,37 @@ def test_database_by_structure_key(spark):
     assert got == {1: ("H1", "one"), 2: ("H1", "one"), 3: (None, None), 4: (None, None), 5: (None, None)}
 
 
+def test_strict_joins(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "pixel_id int, x string")
+    right = spark.createDataFrame([(2, 5.0), (3, 6.0)], "pixel_id int, y double")
+    assert {tuple(r) for r in J.aligned_modality(left, right).collect()} == {(1, "a", None), (2, "b", 5.0)}
+    with pytest.raises(ValueError):
+        J.aligned_modality(left, right, complete=True)
+    assert J.aligned_modality(left.where("pixel_id = 2"), right, complete=True).count() == 1
+    for other in (right, right.limit(0), left.union(left).withColumnRenamed("x", "y")):
+        with pytest.raises(ValueError):
+            J.merge_columns(left, other, same_rows=True)
+    assert J.merge_columns(left, left.withColumnRenamed("x", "y"), same_rows=True).count() == 2
+    assert [tuple(r) for r in J.transpose(left.withColumns({"u": F.col("pixel_id") * 2, "v": F.lit(None).cast("double")}), "pixel_id", ["u", "v"]).orderBy("column").collect()] == [("u", 2.0, 4.0), ("v", None, None)]
+
+
+def test_stages_of_an_analysis(spark, tmp_path):
+    folder, pixels = str(tmp_path), spark.range(3).withColumnRenamed("id", "pixel_id")
+    with pytest.raises(FileNotFoundError):
+        T.load_stage(spark, folder, "brain")
+    vectors = pixels.withColumn("v", F.array(F.col("pixel_id").cast("double"), F.lit(1.0)))
+    T.save_stage({"pixels": pixels}, folder, "brain", "preprocessed")
+    path = T.save_stage({"pixels": pixels.limit(2)}, folder, "brain", "embedding", {"nmf": (vectors, "pixel_id", "v")})
+    assert path.endswith("brain_msi_embedding")
+    last = T.load_stage(spark, folder, "brain")
+    assert last["pixels"].count() == 2 and {(r["key"], tuple(r["vector"])) for r in last["vectors_nmf"].collect()} == {(i, (float(i), 1.0)) for i in range(3)}
+    assert set(T.load_stage(spark, folder, "brain", "preprocessed")) == {"pixels"}
+    with pytest.raises(ValueError):
+        T.save_stage({}, folder, "brain", "embedding", {"bad": (vectors.withColumn("v", F.when(F.col("pixel_id") == 0, F.array(F.lit(1.0))).otherwise(F.col("v"))), "pixel_id", "v")})
+    with pytest.raises(ValueError):
+        T.stage_folder(folder, "brain", "plots")
+
+
 def test_further_files(spark, tmp_path):
     (tmp_path / "colors.csv").write_text("class,classcolors\nPC , #aa0000\nPE,#00aa00\nPC,#bb0000\n")
     colors = {r["class"]: r["color"] for r in T.read_colors(spark, str(tmp_path / "colors.csv")).collect()}
