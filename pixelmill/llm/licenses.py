@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, require_free, shelved
+from .common import col, extended, require_free, shelved
 
 #: Public license notices and grants, by SPDX identifier.
 TEMPLATES = {
@@ -176,6 +176,18 @@ class Scanner:
         return sorted(best.values(), key=lambda x: (-x[1], -length[x[0]], x[0])), copies
 
 
+def load_templates(table: DataFrame, name_col: str = "license", text_col: str = "text", max_bytes: int = 64 << 20) -> dict[str, str]:
+    """Templates from a table, for `scan`: name -> text.  They go to every task, so their size is checked; a name that is
+    null or there twice, or a size beyond the bound, raises ValueError.  Rows without words are left out."""
+    rows = table.select(col(name_col).cast("string").alias("name"), col(text_col).cast("string").alias("text"))
+    size, count, names = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*"), F.count_distinct("name")).first()
+    if size > max_bytes:
+        raise ValueError(f"templates of {size} bytes; {max_bytes} at most go to every task")
+    if names < count:
+        raise ValueError("each template needs a name of its own")
+    return {r["name"]: r["text"] for r in rows.collect() if r["text"] and r["text"].split()}
+
+
 def scan(docs: DataFrame, keep: list[str], templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs, license and coverage of the best template (null, 0), first_word, end_word, all licenses
     found (names, best first), and all copies (license, coverage, first_word, end_word; by template name and place)."""

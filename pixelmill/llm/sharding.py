@@ -88,8 +88,8 @@ def _boundaries(records: DataFrame, ranges: int, samples: int) -> list[str]:
     return sorted(out)
 
 
-def plan_shards(records: DataFrame, shards: int = 8, ranges_per_shard: int = 128, samples_per_range: int = 24, overfull: float = 8.0, rounds: int = 3) -> ShardPlan:
-    """records: key string, size long.  At most ranges_per_shard * shards * samples_per_range sampled keys reach the driver in a round."""
+def plan_shards(records: DataFrame, shards: int = 8, ranges_per_shard: int = 128, samples_per_range: int = 24, overfull: float = 8.0, rounds: int | None = None) -> ShardPlan:
+    """records: key string, size long.  Overfull ranges are subdivided until none is left or none can be cut (or for `rounds`).  At most ranges_per_shard * shards * samples_per_range sampled keys reach the driver in a round."""
     ranges = shards * ranges_per_shard
     boundaries = _boundaries(records, ranges, ranges * samples_per_range)
 
@@ -99,7 +99,9 @@ def plan_shards(records: DataFrame, shards: int = 8, ranges_per_shard: int = 128
 
     found = sizes()
     total = sum(b for b, _ in found.values())
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
         large = [r for r, (b, n) in found.items() if b * ranges > overfull * total and n > 1]
         if not large:
             break

@@ -1,6 +1,7 @@
 """Sharding, decontamination, SimHash and cover tree against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -54,6 +55,36 @@ def test_small_groups_stay_together(spark):
     assert all(len(s) == 1 for s in where.values())
 
 
+def test_shards_against_a_plain_computation(spark):
+    """From the plan's boundaries: ranges by bisection, shards by where a range's middle lies, slots by the order of keys."""
+    from bisect import bisect_right
+
+    rng = random.Random(4)
+    texts = [None, "", "hot " * 30] + ["x" * rng.randint(0, 400) for _ in range(500)] + ["hot " * 30] * 200
+    df = spark.createDataFrame([*enumerate(texts), (None, "a"), (3, texts[3]), (3, texts[3])], "doc_id long, text string")
+    records = df.select("doc_id", sharding.size_of(F.col("text")).alias("size"), sharding.key_of(F.col("doc_id"), F.col("text")).alias("key"))
+    plan = sharding.plan_shards(records, 4, 16, 4, overfull=1.5)
+    rows = [(r["key"], r["size"]) for r in records.collect()]
+    assert sorted(r["size"] for r in records.collect()) == sorted(len((t or "").encode()) + 1 for t in [*texts, "a", texts[3], texts[3]])
+    ranges = {}
+    for key, size in rows:
+        ranges.setdefault(bisect_right(plan.boundaries, key), []).append((key, size))
+    total, before, shard_of = sum(s for _, s in rows), 0, {}
+    for r in sorted(ranges):
+        size = sum(s for _, s in ranges[r])
+        shard_of[r] = min(3, (2 * before + size) * 4 // (2 * total))
+        before += size
+        # what is overfull could not be cut: one key
+        assert size * 64 <= 1.5 * total or len({k for k, _ in ranges[r]}) == 1
+    want, filled = [], [0] * 4
+    for r in sorted(ranges):
+        for key, size in sorted(ranges[r]):
+            want.append((key, size, shard_of[r], filled[shard_of[r]]))
+            filled[shard_of[r]] += 1
+    got = [(r["key"], r["size"], r["shard"], r["slot"]) for r in sharding.slots(records, plan).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_overfull_ranges_are_subdivided(spark):
     """With next to no samples the first ranges are uneven; counting finds that and cuts them again."""
     rows = [(i, "text %d" % i * (1 + i % 9)) for i in range(2000)]

@@ -84,6 +84,22 @@ def test_all_copies_against_brute_force():
             assert coverage == pytest.approx(max(common_length(w, t) for w in windows) / len(t))
 
 
+def test_templates_from_a_table(spark):
+    words = [" ".join(f"t{n}w{i}" for i in range(30)) for n in range(3)]
+    table = spark.createDataFrame([(f"lic{n}", w) for n, w in enumerate(words)] + [("empty", " "), ("none", None)], "license string, text string")
+    templates = licenses.load_templates(table)
+    assert templates == {f"lic{n}": w for n, w in enumerate(words)}
+    docs = frame(spark, ["head " + words[1] + " tail " + words[2], words[0].replace("t0w3 ", ""), "nothing"])
+    found = {r["doc_id"]: (r["license"], sorted(r["licenses"])) for r in licenses.scan(docs, ["doc_id"], templates).collect()}
+    assert found == {0: ("lic1", ["lic1", "lic2"]), 1: ("lic0", ["lic0"]), 2: (None, [])}
+    assert licenses.load_templates(table.limit(0)) == {}
+    for bad in (table.union(table.limit(1)), table.withColumn("license", F.lit(None).cast("string"))):
+        with pytest.raises(ValueError):
+            licenses.load_templates(bad)
+    with pytest.raises(ValueError):
+        licenses.load_templates(table, max_bytes=10)
+
+
 def test_license_scan(spark):
     rng = np.random.default_rng(1)
     filler = " ".join(rng.choice(["lorem", "ipsum", "the", "license", "of"], 300))
