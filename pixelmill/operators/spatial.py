@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ def moran(long: DataFrame, feature: str = "feature_id", section: str = "section_
     """
     keys = [feature, section]
     means = long.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    z = long.join(F.broadcast(means), keys).select(*keys, x, y, (F.col(value) - F.col("_mean")).alias("_z"))
+    z = long.join(means, keys).select(*keys, x, y, (F.col(value) - F.col("_mean")).alias("_z"))
     steps = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in FOUR)))
     sent = z.select(*keys, x, y, "_z", steps.alias("_s"))
     sent = sent.select(*keys, (F.col(x) + F.col("_s.dx")).alias(x), (F.col(y) + F.col("_s.dy")).alias(y), F.col("_z").alias("_nb"))
@@ -264,15 +263,3 @@ def gaussian_3d(mask: DataFrame, sigma: float = 2.5) -> DataFrame:
     for axis in ("i", "j", "k"):
         out = out.withColumn("_k", kernel).withColumn(axis, F.col(axis) + F.col("_k.d")).withColumn("density", F.col("density") * F.col("_k.w")).groupBy("i", "j", "k").agg(F.sum("density").alias("density"))
     return out
-
-
-def reference_thin(points: pd.DataFrame, seed: int = 42) -> pd.DataFrame:
-    """One section, one after the other in a seeded order: the plain form of `thin`, for comparison."""
-    order = np.random.default_rng(seed).permutation(len(points))
-    taken, keep = set(), []
-    for r in order:
-        px, py = int(points["x"].iloc[r]), int(points["y"].iloc[r])
-        if not any((px + a, py + b) in taken for a in (-2, -1, 0, 1, 2) for b in (-2, -1, 0, 1, 2)):
-            taken.add((px, py))
-            keep.append(r)
-    return points.iloc[sorted(keep)]
