@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
+import numpy as np
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Bytes that are written to a shipped file at once.
+PIECE = 4 << 20
 #: bytes.translate table for lower-casing A-Z only.
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -45,6 +49,39 @@ def spool(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession, content: Iterable[bytes | memoryview]) -> str:
+    """Writes a file of the shared folder that Spark fetches once an executor (also for new ones); its name, by which
+    SparkFiles finds it in a task.  The caller checks its size."""
+    name = f"shipped-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = files.create(at)
+    for part in content:
+        view = memoryview(part).cast("B")
+        for i in range(0, len(view), PIECE):
+            out.write(bytearray(view[i:i + PIECE]))
+    out.close()
+    files.deleteOnExit(at)
+    spark.sparkContext.addFile(files.makeQualified(at).toString())
+    return name
+
+
+def ship_arrays(spark: SparkSession, arrays: Sequence[np.ndarray]) -> tuple[str, list[tuple[str, int, int]]]:
+    """Arrays of one dimension as such a file; its name, and dtype, length and place of each for `mapped`."""
+    layout, at, content = [], 0, []
+    for a in arrays:
+        layout.append((a.dtype.str, len(a), at))
+        content += [np.ascontiguousarray(a).data, bytes(-a.nbytes % 8)] if len(a) else []
+        at += a.nbytes + -a.nbytes % 8
+    return ship(spark, content), layout
+
+
+def mapped(name: str, layout: Sequence[tuple[str, int, int]]) -> list[np.ndarray]:
+    """In a task: the arrays, mapped from the executor's one copy of the file; workers share its pages."""
+    path = SparkFiles.get(name)
+    return [np.memmap(path, dtype, "r", at, (n,)) if n else np.zeros(0, dtype) for dtype, n, at in layout]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

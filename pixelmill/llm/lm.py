@@ -10,7 +10,7 @@ proper suffix by GAIN bits over its occurrences, and so are the suffixes of reta
 a block of grams and those of one shorter context.  The tree grows with the corpus; nothing caps it.
 
 Distributions are smoothed towards the suffix's one (Witten-Bell), down to an add-one distribution over bytes.  The tree
-is broadcast as sorted arrays; beyond PART_ROWS rows it is cut by the last two bytes of contexts, which all contexts of a
+goes to executors as a file of sorted arrays, which their workers map and share; beyond PART_ROWS rows it is cut by the last two bytes of contexts, which all contexts of a
 symbol share, and texts are read once for each part and the sums added.  What grams cost is remembered in a table of
 MEMO places; what it has no place for is looked up again.
 
@@ -31,10 +31,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, extended, require_free, shelved, spool
+from .common import LOWER_BYTES, extended, mapped, require_free, shelved, ship_arrays, spool
 
 #: Most bytes of a context: grams of one more fit into a long.
 DEPTH = 6
@@ -42,7 +42,7 @@ DEPTH = 6
 GAIN, LEAST = 16.0, 8
 #: Contexts of more bytes than this are judged where their last SPLIT bytes are together.
 SPLIT = 3
-#: Rows (next symbols of contexts) of the tree that are broadcast at once, 12 bytes each.
+#: Rows (next symbols of contexts) of the tree in one file, 12 bytes each.
 PART_ROWS = 8_000_000
 #: How length, gram and n are packed.
 PACKED = ("u1", "u8", "u8")
@@ -494,16 +494,19 @@ def fit(training: DataFrame, text_col: str = "text") -> Model:
     return Model(rows, root, parts_of(rows), words, dictionary, tokens, kinds, least)
 
 
-def _plain(automaton: Automaton) -> list:
-    """What is broadcast: arrays only, for executors know nothing of this package."""
-    return [automaton.root, automaton.levels, automaton.tails]
+def _shipped(spark: SparkSession, automaton: Automaton) -> list:
+    """What is broadcast of a part of the tree: where its arrays are in a file that executors map.  Executors know nothing of
+    this package, so nothing but names and arrays travels."""
+    tails = [] if automaton.tails is None else [automaton.tails]
+    return [*ship_arrays(spark, [automaton.root, *(a for level in automaton.levels for a in level), *tails])]
 
 
-def _built(arrays: list) -> Automaton:
-    """The automaton of broadcast arrays, made once a worker and kept behind them with what it remembers."""
-    if len(arrays) < 4:
-        arrays.append(Automaton(*arrays))
-    return arrays[3]
+def _built(place: list) -> Automaton:
+    """The automaton over the mapped arrays, made once a worker and kept behind their place with what it remembers."""
+    if len(place) < 3:
+        root, *arrays = mapped(*place)
+        place.append(Automaton(np.array(root), [tuple(arrays[4 * k:4 * k + 4]) for k in range(DEPTH)], arrays[4 * DEPTH] if len(arrays) > 4 * DEPTH else None))
+    return place[2]
 
 
 def _partial(shared):
@@ -522,7 +525,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     spark = docs.sparkSession
     require_free(keep, ["n_tokens", "n_known", "base_score", "score"])
     keep, put, back = shelved(keep)
-    shared = spark.sparkContext.broadcast((_plain(load(model.rows, model.root, model.parts[0])), model.dictionary))
+    shared = spark.sparkContext.broadcast((_shipped(spark, load(model.rows, model.root, model.parts[0])), model.dictionary))
     kept = docs.select(*put)
     names = [*keep, "_row", "_key", "_times", "_tokens", "_known", "_sum", "_score"]
 
@@ -570,7 +573,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     flat = numbered.mapInArrow(run, extended(kept, "_row long, _key binary, _times long, _tokens long, _known long, _sum double, _score double"))
     rest = model.words.where((F.col("n") < model.least) & (F.col("word") != F.lit(END))).select(F.col("word").alias("_key"), "n")
     for tails in model.parts[1:]:
-        more = numbered.select("_row", "_text").mapInArrow(_partial(spark.sparkContext.broadcast(_plain(load(model.rows, model.root, tails)))), "_row long, _key binary, _score double")
+        more = numbered.select("_row", "_text").mapInArrow(_partial(spark.sparkContext.broadcast(_shipped(spark, load(model.rows, model.root, tails)))), "_row long, _key binary, _score double")
         flat = flat.unionByName(more, allowMissingColumns=True)
     joined = flat.join(rest, "_key", "left")
     n = F.coalesce("n", F.lit(0))

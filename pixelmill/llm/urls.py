@@ -17,23 +17,21 @@ tables give empty results or default verdicts; kept columns under a name of the
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelmill.operators.base import lookup
 
-from .common import ascii_lower, col, extended, require_free, shared_dir, shelved, spool
+from .common import ascii_lower, col, extended, require_free, shelved, ship, spool
 
 #: Most bytes of a list (its strings and 17 bytes a rule) that are shipped as a file.
 MAX_BYTES = 256 << 20
-PIECE = 4 << 20
 FOUND = ("host", "path", "rule", "verdict")
 
 
@@ -93,20 +91,6 @@ class Mapped:
         return -1
 
 
-def _ship(spark: SparkSession, content: bytes) -> str:
-    name = f"urls-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = files.create(at)
-    for i in range(0, len(content), PIECE):
-        out.write(bytearray(content[i:i + PIECE]))
-    out.close()
-    files.deleteOnExit(at)
-    spark.sparkContext.addFile(files.makeQualified(at).toString())
-    return name
-
-
 def build(rules: DataFrame, host_col: str = "host", path_col: str = "path", verdict_col: str = "verdict", max_bytes: int = MAX_BYTES) -> UrlList:
     """The list of rules (host, path, verdict "allow" or "block"; a null path is empty)."""
     host, path = ascii_lower(F.col(host_col)), F.coalesce(F.col(path_col), F.lit(""))
@@ -122,7 +106,7 @@ def build(rules: DataFrame, host_col: str = "host", path_col: str = "path", verd
     if (size or 0) + 17 * count + 8 <= max_bytes:
         held = table.select("key", F.xxhash64("key").alias("digest"), (F.col("verdict") == "block").alias("block")).orderBy("digest", "key").toArrow()
         keys = [k.encode() for k in held["key"].to_pylist()]
-        name = _ship(rules.sparkSession, _file(held["digest"].to_numpy(), held["block"].to_numpy(), keys))
+        name = ship(rules.sparkSession, [_file(held["digest"].to_numpy(), held["block"].to_numpy(), keys)])
     return UrlList(table.select("key", "verdict"), count, labels or 0, lengths, name)
 
 
