@@ -33,6 +33,12 @@ def spool(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """df, as a side of a join that grows with the input: it is sorted and merged.  Files of coordinates are so small against
+    their rows that Spark would broadcast a table of any size through the driver."""
+    return df.hint("merge")
+
+
 def earlier():
     """The window over the summaries of all ranges before one's own; they are as many rows as there are partitions."""
     return Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

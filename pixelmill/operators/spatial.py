@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import ratio, spool
+from .base import ratio, spool, unsent
 from .joins import EIGHT, FOUR, neighbours
 from .quantiles import exact_quantiles
 
@@ -24,7 +24,7 @@ def moran(long: DataFrame, feature: str = "feature_id", section: str = "section_
     sent = z.select(*keys, x, y, "_z", steps.alias("_s"))
     sent = sent.select(*keys, (F.col(x) + F.col("_s.dx")).alias(x), (F.col(y) + F.col("_s.dy")).alias(y), F.col("_z").alias("_nb"))
     lag = sent.groupBy(*keys, x, y).agg(F.avg("_nb").alias("_lag"))
-    joined = z.join(lag, [*keys, x, y], "left")
+    joined = z.join(unsent(lag), [*keys, x, y], "left")
     i = ratio(F.count("*"), F.count("_lag")) * ratio(F.sum(F.col("_z") * F.col("_lag")), F.sum(F.col("_z") * F.col("_z")))
     return joined.groupBy(*keys).agg(F.coalesce(i, F.lit(0.0)).alias("moran_i"))
 
@@ -58,7 +58,7 @@ def nearest_distance(pixels: DataFrame, section: str = "section_id", x: str = "x
         tiles = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
         left = todo.select(section, x, y, tiles.alias("_t")).select(section, x, y, (F.floor(F.col(x) / width) + F.col("_t.i")).alias("_i"), (F.floor(F.col(y) / width) + F.col("_t.j")).alias("_j"))
         right = everything.withColumn("_i", F.floor(F.col("_x") / width)).withColumn("_j", F.floor(F.col("_y") / width))
-        near = left.join(right, [section, "_i", "_j"]).where((F.col(x) != F.col("_x")) | (F.col(y) != F.col("_y")))
+        near = left.join(unsent(right), [section, "_i", "_j"]).where((F.col(x) != F.col("_x")) | (F.col(y) != F.col("_y")))
         apart = F.min(F.pow(F.col(x) - F.col("_x"), 2) + F.pow(F.col(y) - F.col("_y"), 2))
         found = near.groupBy(section, x, y).agg(F.sqrt(apart).alias("distance"))
         last = width >= widest
@@ -66,7 +66,7 @@ def nearest_distance(pixels: DataFrame, section: str = "section_id", x: str = "x
         done = found if done is None else done.unionByName(found)
         if last:
             return done
-        todo = spool(todo.join(found, [section, x, y], "left_anti"))
+        todo = spool(todo.join(unsent(found), [section, x, y], "left_anti"))
         if todo.isEmpty():
             return done
         width *= 2
@@ -84,17 +84,17 @@ def thin(pixels: DataFrame, seed: int = 42, section: str = "section_id", x: str
         sent = left.select(section, x, y, F.struct("_h", x, y).alias("_me"), steps.alias("_s"))
         sent = sent.select(section, (F.col(x) + F.col("_s.dx")).alias(x), (F.col(y) + F.col("_s.dy")).alias(y), "_me")
         least = sent.groupBy(section, x, y).agg(F.min("_me").alias("_least"))
-        now = spool(left.join(least, [section, x, y]).where(F.struct("_h", x, y) == F.col("_least")).select(section, x, y))
+        now = spool(left.join(unsent(least), [section, x, y]).where(F.struct("_h", x, y) == F.col("_least")).select(section, x, y))
         kept = now if kept is None else kept.unionByName(now)
         near = now.select(section, x, y, steps.alias("_s")).select(section, (F.col(x) + F.col("_s.dx")).alias(x), (F.col(y) + F.col("_s.dy")).alias(y)).distinct()
-        left = spool(left.join(near, [section, x, y], "left_anti"))
+        left = spool(left.join(unsent(near), [section, x, y], "left_anti"))
     return pixels.select(section, x, y).limit(0) if kept is None else kept
 
 
 def train_test(pixels: DataFrame, seed: int = 42, section: str = "section_id", x: str = "x", y: str = "y") -> tuple[DataFrame, DataFrame]:
     """A thinned set, and a thinned set of what it leaves."""
     train = thin(pixels, seed, section, x, y)
-    return train, thin(pixels.join(train, [section, x, y], "left_anti"), seed, section, x, y)
+    return train, thin(pixels.join(unsent(train), [section, x, y], "left_anti"), seed, section, x, y)
 
 
 def voxels(points: DataFrame, i: Column, j: Column, k: Column, shape: tuple[int, int, int]) -> DataFrame:

@@ -41,3 +41,20 @@ def test_few_pixels_are_searched_by_one_task(spark):
     assert all(a == pytest.approx(b) for a, b in zip(centres, got))
     assert [f and f[0] for f in found] == [f and f[0] for f in sides] and any(sides)
     assert all((a is None) == (b is None) and (a is None or (a[1] == b[1]).all()) for a, b in zip(found, sides))
+
+
+def _grid(spark):
+    return spool(spark.range(4000).select(F.lit(0).alias("section_id"), (F.col("id") % 50).alias("x"), F.floor(F.col("id") / 50).alias("y"), (F.col("id") % 3).cast("string").alias("label")))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_distances_send_no_pixels_through_the_driver(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(S, "spool", lambda df: plans.append(_plan(df)) or spool(df))
+    points = _grid(spark).where("x % 7 = 0 OR y > 70")
+    got = {(r["x"], r["y"]): r["distance"] for r in S.nearest_distance(points, reach=1).collect()}
+    assert len(got) == points.count() and set(got.values()) == {1.0}
+    assert plans and not any("Broadcast" in p for p in plans)
