@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +57,12 @@ def protected_split(text: Column) -> Column:
 
 
 def mz_key(mz: Column, digits: int = 6) -> Column:
-    return F.format_string(f"%.{digits}f", mz.cast("double"))
+    """The number as C prints it: rounded by its exact binary value, with the sign of -0; nan and inf; null of null."""
+    @F.pandas_udf("string")
+    def printed(x: pd.Series) -> pd.Series:
+        return pd.Series([f"%.{digits}f" % v for v in x.tolist()], dtype=object)
+
+    return F.when(mz.isNotNull(), printed(mz.cast("double")))
 
 
 def safe_file_name(text: Column) -> Column:

@@ -26,7 +26,10 @@ def molecules(spark, sf_dir):
 
 
 def peaks(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("mz")).distinct()
+    """Distinct masses.  Grouping makes 0 of -0; where only -0 is there, it stays (DISTINCT keeps it)."""
+    mz = F.col("c_acctbal")
+    each = table(spark, sf_dir, "customer").groupBy(mz.alias("mz")).agg(F.bool_and(mz.cast("string") == "-0.0").alias("_negative"))
+    return each.select(F.when(F.col("_negative"), F.lit(-0.0)).otherwise(F.col("mz")).alias("mz"))
 
 
 def references(spark, sf_dir):

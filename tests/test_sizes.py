@@ -58,3 +58,10 @@ def test_nearest_distances_send_no_pixels_through_the_driver(spark, monkeypatch)
     got = {(r["x"], r["y"]): r["distance"] for r in S.nearest_distance(points, reach=1).collect()}
     assert len(got) == points.count() and set(got.values()) == {1.0}
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_mass_keys_are_printed_as_c_does(spark, tmp_path):
+    values = [-0.0, 0.5e-6, 1.5, 1.5, None, float("nan"), float("inf")]
+    spark.createDataFrame([(v,) for v in values], "c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r["mz_key"]: r["checksum"] for r in QUERIES["mz_keys"](spark, str(tmp_path)).collect()}
+    assert got == {k: k and hashlib.md5(k.encode()).hexdigest() for k in ("-0.000000", "0.000000", "1.500000", None, "nan", "inf")}
