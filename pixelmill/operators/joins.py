@@ -10,10 +10,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import ordered_index
+from .base import ordered_index, unsent
 
 FOUR = ((1, 0), (-1, 0), (0, 1), (0, -1))
 EIGHT = tuple((dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy)
+#: Half of them: with their opposites they are all eight.
+HALF = EIGHT[4:]
 #: Masses of the adducts Na, K, H, NH4 (fixed values).
 ADDUCTS = (22.989769, 38.963707, 1.007825, 18.033823)
 
@@ -137,7 +139,7 @@ def neighbours(pixels: DataFrame, offsets=FOUR, section: str = "section_id", x:
     left = pixels.select(section, x, y, label, steps.alias("_step"))
     left = left.select(section, x, y, label, (F.col(x) + F.col("_step.dx")).alias("_x"), (F.col(y) + F.col("_step.dy")).alias("_y"))
     right = pixels.select(section, F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(label).alias(f"nb_{label}"))
-    return left.join(right, [section, "_x", "_y"]).drop("_x", "_y")
+    return left.join(unsent(right), [section, "_x", "_y"]).drop("_x", "_y")
 
 
 def first_abundant(annotated: DataFrame, fractions: DataFrame, key: str, names: str, name: str, fraction: str, threshold: float = 0.8) -> DataFrame:

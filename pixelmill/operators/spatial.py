@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .base import ratio, spool, unsent
-from .joins import EIGHT, FOUR, neighbours
+from .joins import FOUR, HALF, neighbours
 from .quantiles import exact_quantiles
 
 
@@ -30,11 +31,12 @@ def moran(long: DataFrame, feature: str = "feature_id", section: str = "section_
 
 
 def neighbourhood(pixels: DataFrame, section: str = "section_id", x: str = "x", y: str = "y", label: str = "label") -> DataFrame:
-    """Per label, the share of each label among its 8-neighbours."""
-    pairs = neighbours(pixels, EIGHT, section, x, y, label)
-    counts = pairs.groupBy(label, f"nb_{label}").agg(F.count("*").alias("n"))
-    totals = counts.groupBy(label).agg(F.sum("n").alias("_all"))
-    return counts.join(totals, label).select(label, f"nb_{label}", "n", (F.col("n") / F.col("_all")).alias("share"))
+    """Per label, the share of each label among its 8-neighbours.  Pixels meet on half of the offsets, counts are turned."""
+    other = f"nb_{label}"
+    once = neighbours(pixels, HALF, section, x, y, label).groupBy(label, other).agg(F.count("*").alias("n"))
+    ways = F.explode(F.array(F.struct(F.col(label).alias("a"), F.col(other).alias("b")), F.struct(F.col(other).alias("a"), F.col(label).alias("b"))))
+    counts = once.select(ways.alias("_w"), "n").groupBy(F.col("_w.a").alias(label), F.col("_w.b").alias(other)).agg(F.sum("n").alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(label)))
 
 
 def neighbourhood_map(pixels: DataFrame, section: str = "section_id", x: str = "x", y: str = "y", label: str = "label") -> DataFrame:
@@ -114,7 +116,7 @@ def border(cells: DataFrame, section: str, x: str, y: str, label: str) -> DataFr
     """Cells that erosion removes: those of which a 4-neighbour is missing or has another label."""
     same = neighbours(cells, FOUR, section, x, y, label).where(F.col(label) == F.col(f"nb_{label}"))
     whole = same.groupBy(section, x, y).agg(F.count("*").alias("_n")).where(F.col("_n") == 4)
-    return cells.join(whole, [section, x, y], "left_anti")
+    return cells.join(unsent(whole), [section, x, y], "left_anti")
 
 
 def to_255(values: DataFrame, value: str) -> DataFrame:

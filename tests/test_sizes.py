@@ -65,3 +65,16 @@ def test_mass_keys_are_printed_as_c_does(spark, tmp_path):
     spark.createDataFrame([(v,) for v in values], "c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
     got = {r["mz_key"]: r["checksum"] for r in QUERIES["mz_keys"](spark, str(tmp_path)).collect()}
     assert got == {k: k and hashlib.md5(k.encode()).hexdigest() for k in ("-0.000000", "0.000000", "1.500000", None, "nan", "inf")}
+
+
+def test_neighbourhoods_meet_without_a_broadcast(spark):
+    found = S.neighbourhood(_grid(spark))
+    assert "Broadcast" not in _plan(found)
+    cells = {(i % 50, i // 50): str(i % 3) for i in range(4000)}
+    want = {}
+    for (x, y), a in cells.items():
+        for d in ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)):
+            if b := cells.get((x + d[0], y + d[1])):
+                want[a, b] = want.get((a, b), 0) + 1
+    assert {(r["label"], r["nb_label"]): r["n"] for r in found.collect()} == want
+    assert sum(r["share"] for r in found.collect()) == pytest.approx(3)
