@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelmill.operators import cluster as C
+from pixelmill.operators import graph as G
 from pixelmill.operators import spatial as S
 from pixelmill.operators.base import spool
 from pixelmill.plans import QUERIES
@@ -67,6 +68,28 @@ def test_mass_keys_are_printed_as_c_does(spark, tmp_path):
     assert got == {k: k and hashlib.md5(k.encode()).hexdigest() for k in ("-0.000000", "0.000000", "1.500000", None, "nan", "inf")}
 
 
+def test_components_send_no_voxels_through_the_driver(spark, monkeypatch):
+    """Components that wind through many blocks, against plain labels; no table of voxels or links is broadcast."""
+    plans = []
+    for module in (S, G):
+        monkeypatch.setattr(module, "spool", lambda df: plans.append(_plan(df)) or spool(df))
+    rng = np.random.default_rng(3)
+    voxels = {tuple(map(int, v)) for v in rng.integers(-6, 7, (700, 3))} | {(i, 0, 9) for i in range(-20, 20)}
+    least = {v: v for v in voxels}
+    moved = True
+    while moved:
+        moved = False
+        for i, j, k in voxels:
+            best = min(least[w] for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (w := (i + a, j + b, k + c)) in voxels)
+            if best < least[i, j, k]:
+                least[i, j, k], moved = best, True
+    mask = spark.createDataFrame([*voxels, (0, 0, 9)], "i int, j int, k long")
+    found = S.components_3d(mask, edge=4)
+    assert {(r["i"], r["j"], r["k"]): tuple(r["component"]) for r in found.collect()} == least and found.count() == len(voxels)
+    assert dict(found.dtypes)["component"] == "struct<i:int,j:int,k:bigint>" and S.components_3d(mask.limit(0)).count() == 0
+    assert len(plans) > 3 and not any("Broadcast" in p for p in [*plans, _plan(found)])
+
+
 def test_neighbourhoods_meet_without_a_broadcast(spark):
     found = S.neighbourhood(_grid(spark))
     assert "Broadcast" not in _plan(found)
