@@ -3,6 +3,7 @@
 import io
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +181,63 @@ def test_communities_of_odd_graphs(spark):
     assert got == {"a": "a", "b": "a", "c": "c", "g": "g", "h": "g"}
 
 
+def shuffled_mb(spark):
+    """MB that the stages so far have shuffled."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() / 1e6 for i in range(stages.size())}
+
+
+def test_rounds_of_communities_move_labels_not_links(spark):
+    """On tables too large to broadcast, all rounds together shuffle little for each link."""
+    rng = np.random.default_rng(8)
+    edges = pd.DataFrame({"src": np.repeat(np.arange(3000), 12), "dst": rng.integers(0, 3000, 36000)})
+    edges["dst"] = np.where(rng.random(36000) < 0.6, edges["src"] // 100 * 100 + edges["dst"] % 100, edges["dst"])
+    frame = spark.createDataFrame(edges)
+    before, threshold = shuffled_mb(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = M.modularity_communities(frame, iterations=1).toPandas()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    moved = sum(mb for stage, mb in shuffled_mb(spark).items() if stage not in before)
+    assert len(found) == 3000 and (found.groupby(found["node"] // 100)["community"].agg(lambda c: c.value_counts().iloc[0]) > 80).all()
+    assert moved < 15
+
+
+@pytest.mark.parametrize("hub", [30, 10**6])
+def test_blocks_propose_as_joins_do(spark, monkeypatch, hub):
+    """Moves by blocks of nodes, with hubs apart or without hubs, are those that grouped sums of all links give."""
+    monkeypatch.setattr(M, "LINKS", 150)
+    monkeypatch.setattr(M, "HUB", hub)
+    edges, _ = planted(4, 30, 0.2, 0.03, 9)
+    edges += [(0, i, 1.0) for i in range(1, 90)] + [(200, 201, 2.0), (300, 300, 1.0)]
+    links = spool(M._symmetric(spark.createDataFrame(edges, "src long, dst long, weight double"), "src", "dst", "weight"))
+    total = links.agg(F.sum("w")).first()[0]
+    nodes, blocks = M._routed(links)
+    assert blocks > 5 and nodes.where("home IS NULL").count() == (1 if hub == 30 else 0)
+    label = nodes.withColumn("community", F.when(F.col("node") < 60, F.col("node") - F.col("node") % 3).otherwise(F.col("node")))
+    sums = label.groupBy("community").agg(F.sum("degree").alias("strength"), F.count("*").alias("size"), F.min("node").alias("least"))
+    labels = spool(label.join(sums, "community"))
+    between = links.where("u <> v")
+    got = M._blockwise(M._dealt(between, nodes, blocks), labels, blocks, total, 1.0)
+    want = M._proposals(between.join(nodes.select(F.col("node").alias("u"), "degree"), "u"), labels, total, 1.0, nodes)
+    light = want.join(nodes.where("home IS NOT NULL").select("node", "home", "routes"), "node")
+    assert sorted(map(str, got.select(light.columns).collect())) == sorted(map(str, light.collect()))
+
+
+def test_communities_by_blocks_and_hubs(spark, monkeypatch):
+    """A star with a chain, all in small blocks: ids of another type give the same partition, by names in order."""
+    monkeypatch.setattr(M, "LINKS", 16)
+    monkeypatch.setattr(M, "HUB", 8)
+    edges = [(0, i) for i in range(1, 13)] + [(i, i + 1) for i in range(20, 26)]
+    for kind in ("int", "string"):
+        frame = spark.createDataFrame(edges, "src int, dst int").select(*((F.col(c) if kind == "int" else F.format_string("n%02d", c)).alias(c) for c in ("src", "dst")))
+        found = M.modularity_communities(frame, coarse=0)
+        assert dict(found.dtypes) == {"node": kind, "community": kind}
+        got = {int(str(r["node"]).strip("n")): int(str(r["community"]).strip("n")) for r in found.collect()}
+        assert len(got) == 20 and all(got[i] == 0 for i in range(13)) and min(got[i] for i in range(20, 27)) == 20 and all(got[c] == c for c in got.values())
+
+
 def test_noise_model(spark):
     mean = np.linspace(0.5, 50, 40)
     cv = mean**-0.6 + 0.15
