@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pixelmill.operators import cluster as C
 from pixelmill.operators import graph as G
 from pixelmill.operators import spatial as S
+from pixelmill.operators import windows as W
 from pixelmill.operators.base import spool
 from pixelmill.plans import QUERIES
 
@@ -101,3 +102,44 @@ def test_neighbourhoods_meet_without_a_broadcast(spark):
                 want[a, b] = want.get((a, b), 0) + 1
     assert {(r["label"], r["nb_label"]): r["n"] for r in found.collect()} == want
     assert sum(r["share"] for r in found.collect()) == pytest.approx(3)
+
+
+def test_nodes_of_a_level_share_their_jobs(spark, monkeypatch):
+    """Small nodes are learned together, level by level, as they are by jobs of their own; tables are written by level."""
+    rng = np.random.default_rng(7)
+    n = 480
+    kind = np.arange(n) // 2 % 4
+    centre = np.array([[6, 1, 1, 1], [5, 6, 1, 1], [1, 1, 6, 1], [1, 1, 5, 6]])[kind]
+    x = np.repeat(centre, 3, axis=1) * rng.gamma(20, 0.05, (n, 12))
+    rows = [(i, i // 8 % 6 or None, x[i].tolist(), (centre[i] + rng.normal(0, 0.1, 4)).tolist()) for i in range(n)]
+    pixels = spark.createDataFrame(rows, "pixel_id int, section_id int, features array<double>, embedding array<double>")
+    config, written = C.TreeConfig(clusters=8, least_pixels=60, sweep=2, trees=2, depth=2, least_per_section=5, candidates=20), []
+    monkeypatch.setattr(C, "spool", lambda df, *by: written.append(1) or spool(df, *by))
+    root, learned = C.learn_tree(pixels, config=config)
+    together = {r["pixel_id"]: r["path"] for r in learned.collect()}
+    assert len(together) == n and {len(p) for p in together.values()} == {2} and len(written) <= 12
+    written.clear()
+    assert {r["pixel_id"]: r["path"] for r in C.apply_tree(root, pixels, config=config).collect()} == together
+    assert len(written) <= 2
+    monkeypatch.setattr(C, "GROUP", 0)
+    assert {r["pixel_id"]: r["path"] for r in C.learn_tree(pixels, config=config)[1].collect()} == together
+
+
+def test_splits_are_judged_by_a_task_as_by_tables(spark):
+    rng = np.random.default_rng(8)
+    values, first = np.clip(np.round(rng.normal(0.5, 0.3, (90, 6)), 1), 0, 1), rng.random(90) < 0.3
+    values[:, 1] = 0.4
+    values[first, 2], values[~first, 3] = 0.9, values[~first, 3] / 3
+    long = spark.createDataFrame([(j, 1 if first[i] else 2, float(values[i, j])) for i in range(90) for j in range(6)], "feature int, side int, value double")
+    for change, threshold in ((0.2, 0.05), (0.05, 0.6), (2.0, 0.05)):
+        config = C.TreeConfig(least_change=change, threshold=threshold)
+        assert C._altered(values, *C._midranks(values), first, config) == C.differential(long, "feature", "side", "value", 1, 2, change, threshold).where("passes").count()
+    sections, config = [None, *range(2, 30, 3), 31, 32], C.TreeConfig(least_per_section=4)
+    counts = [rng.integers(0, 9, len(sections)) * (rng.random(len(sections)) < share) for share in (0.2, 0.5, 0.9) for _ in range(8)]
+    counts += [np.array([0, 9, 9, 0, 0, 0, 9, 9, 0, 0, 9, 9]), np.array([0, 9, 9, 9, 9, 0, 0, 0, 0, 0, 0, 0]), np.array([9, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0])]
+    table = spark.createDataFrame([(g, s, int(k)) for g, c in enumerate(counts) for s, k in zip(sections, c) if k], "g int, s int, n int")
+    runs = W.consecutive_sections(table, "g", "s", "n", 4, 3)
+    tops = W.peaks(W.smoothed(table, "g", "s", "n"), "g", "s")
+    want = {r["g"] for r in runs.join(tops, "g", "left").where(~F.col("continuous") | ((F.coalesce("peaks", F.lit(0)) >= 3) & (F.col("peak_ratio") <= 1.4))).collect()}
+    got = {g for g, c in enumerate(counts) if c.any() and C._broken(sections, c, config)}
+    assert got == want and 0 < len(got) < len(counts)
